@@ -65,23 +65,18 @@ def grow_tree(docs: DataFrame, leaves: int, id_col: str, text_col: str, categori
             del level[node]
         if not level:
             break
-        rows = at_node(slim, splits).filter(F.col("_node").isin(list(level)))
+        rows = at_node(slim, splits).filter(by_node({n: 1 for n in level}) == 1)
         widths = {r["_node"]: r for r in rows.groupBy("_node").agg(*[(F.max(d) - F.min(d)).alias(d) for d in dims], F.sum("_bytes").alias("_bytes")).collect()}
         dim_of = {n: max(dims, key=lambda d, n=n: (widths[n][d] / (spans[d] or 1), -list(dims).index(d))) if n in widths else "_size" for n in level}
         goal = {n: widths[n]["_bytes"] * (k // 2) / k if n in widths else 0 for n, k in level.items()}
-        chosen = F.lit(None).cast("int")
-        wanted = F.lit(None).cast("double")
-        for n in level:
-            chosen = F.when(F.col("_node") == n, F.col(dim_of[n])).otherwise(chosen)
-            wanted = F.when(F.col("_node") == n, F.lit(float(goal[n]))).otherwise(wanted)
-        rows = rows.withColumn("_value", chosen)
-        cells = crossing(rows.groupBy("_node", "_value").agg(F.sum("_bytes").alias("_bytes")), "_value", wanted)
-        at = F.lit(None).cast("int")
-        rest = F.lit(None).cast("double")
-        for n, (value, before) in cells.items():
-            at = F.when(F.col("_node") == n, F.lit(value)).otherwise(at)
-            rest = F.when(F.col("_node") == n, F.lit(goal[n] - before)).otherwise(rest)
-        ties = crossing(rows.filter(F.col("_value") == at).groupBy("_node", "_tie").agg(F.sum("_bytes").alias("_bytes")), "_tie", rest)
+        order = list(dims)
+        value_of = F.element_at(F.array(*order), by_node({n: order.index(dim_of[n]) + 1 for n in level}))
+        cells = crossing(rows.groupBy("_node", value_of.alias("_value")).agg(F.sum("_bytes").alias("_bytes")), "_value", by_node({n: float(goal[n]) for n in level}))
+        if cells:
+            inside = rows.filter(value_of == by_node({n: value for n, (value, _) in cells.items()}))
+            ties = crossing(inside.groupBy("_node", "_tie").agg(F.sum("_bytes").alias("_bytes")), "_tie", by_node({n: float(goal[n] - before) for n, (_, before) in cells.items()}), nearest=True)
+        else:
+            ties = {}
         following, starts = {}, {}
         for n, k in level.items():
             value, _ = cells.get(n, (0, 0.0))
@@ -93,11 +88,20 @@ def grow_tree(docs: DataFrame, leaves: int, id_col: str, text_col: str, categori
     return splits, shards
 
 
-def crossing(counts: DataFrame, value: str, wanted: Column) -> dict[int, tuple[int, float]]:
-    """The nearest cut to the wanted bytes in each node: rows below ``value`` go left; with the bytes that are below it."""
+def by_node(values: dict[int, int | float]) -> Column:
+    """The value of the row's node, null where it has none; at most one entry per leaf."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("_node"))
+
+
+def crossing(counts: DataFrame, value: str, wanted: Column, nearest: bool = False) -> dict[int, tuple[int, float]]:
+    """For each node the ``value`` at which the wanted bytes are reached, and the bytes below it.
+
+    That is the last one with no more bytes below it than wanted, or with ``nearest`` the one with the nearest number.
+    """
     below = F.coalesce(F.sum("_bytes").over(Window.partitionBy("_node").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("_below", below).withColumn("_wanted", wanted).filter(F.col("_below") <= F.col("_wanted"))
-    last = ranked.groupBy("_node").agg(F.max_by(F.struct(value, "_below"), "_below").alias("_x"))
+    ranked = counts.withColumn("_below", below).withColumn("_off", F.col("_below") - wanted)
+    ranked = ranked if nearest else ranked.filter("_off <= 0")
+    last = ranked.groupBy("_node").agg(F.min_by(F.struct(value, "_below"), F.struct(F.abs("_off"), value)).alias("_x"))
     return {r["_node"]: (r["_x"][0], float(r["_x"][1])) for r in last.collect()}
 
 
@@ -130,8 +134,7 @@ def assign_shards(docs: DataFrame, leaves: int | None = None, target_bytes: int
     dims = metadata_dims(id_col, text_col, categories)
     coded = docs.withColumns({**dims, "_tie": tie_break(id_col)})
     coded = at_node(coded, splits)
-    leaf = F.element_at(F.create_map(*[F.lit(x) for pair in shards.items() for x in pair]), F.col("_node"))
-    return coded.withColumn("shard", leaf.cast("int")).drop(*dims, "_tie", "_node")
+    return coded.withColumn("shard", by_node(shards).cast("int")).drop(*dims, "_tie", "_node")
 
 
 def with_slots(sharded: DataFrame, id_col: str = "doc_id", tie: Column | None = None) -> DataFrame:
