@@ -20,7 +20,7 @@ MAX_POSITIVE, MAX_UNLABELLED = 4000, 8000
 #: A feature takes part if it stands in this many of the sample's documents, and if its share of the toxic ones differs
 #: from that of the unlabelled ones by this many standard errors: else thousands of common words add up to noise.
 MIN_DOCS, MIN_Z = 8, 6.0
-STEPS, RATE, DECAY = 300, 0.1, 1e-4
+STEPS, RATE, DECAY = 300, 0.1, 1e-3
 THRESHOLD = 0.7
 RESULT = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
 
