@@ -200,7 +200,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = stored(annotate(slim, ["text"], lambda: lambda texts: [[fingerprint(t.as_py()) for t in texts]], [T.StructField("fp", T.LongType())], keep=["doc_id"]))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"))
     roots = components(near_links(nodes.filter("node is not null")))
-    nodes = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    # Stored, so that the join below has only its own exchanges and Spark can split a fingerprint that very many rows share.
+    nodes = stored(nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id")))
     return prints.join(nodes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
