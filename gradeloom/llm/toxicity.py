@@ -16,11 +16,12 @@ BITS = 20
 #: Lengths of the words' first parts that are features too.
 PREFIXES = (4, 5)
 #: Training sample: this many confirmed toxic and unlabelled documents at most, those with the smallest md5 of the id.
+#: It bounds what reaches the driver; every document is scored.
 MAX_POSITIVE, MAX_UNLABELLED = 4000, 8000
 #: A feature takes part if it stands in this many of the sample's documents, and if its share of the toxic ones differs
 #: from that of the unlabelled ones by this many standard errors: else thousands of common words add up to noise.
 MIN_DOCS, MIN_Z = 8, 6.0
-STEPS, RATE, DECAY = 300, 0.1, 1e-3
+STEPS, RATE, DECAY = 300, 0.1, 2e-4
 THRESHOLD = 0.7
 RESULT = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
 
@@ -98,10 +99,10 @@ def fit_nnpu(positive: list[list[int]], unlabelled: list[list[int]], prior: floa
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Classifier:
-    """Train from ``docs``: rows whose label is 1 are confirmed toxic, all others (label 0 or none) are unlabelled.
+    """Train from ``docs``: rows whose label is 1 are confirmed toxic; the unlabelled sample is of all rows, whatever their
+    label, so that the class prior, the share of label 1 among labelled rows, holds in it.
 
-    The class prior is the share of label 1 among labelled rows.  The sample's bounds are MAX_POSITIVE and
-    MAX_UNLABELLED; a document labelled both ways is confirmed.  Without toxic or other rows every score is near 0.
+    The sample's bounds are MAX_POSITIVE and MAX_UNLABELLED; a document labelled both ways is confirmed.  Without toxic or other rows every score is near 0.
     """
     ids = docs.select(F.col(id_col).alias("_id"))
     marks = labels.select(F.col(id_col).alias("_lid"), F.col(label_col).alias("_y")).filter("_y is not null and _lid is not null").groupBy("_lid").agg(F.max("_y").alias("_y"))
@@ -109,21 +110,21 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = marked.agg(F.count("_y"), F.sum(F.col("_y"))).first()
     prior = min(0.95, max(1e-3, (known[1] or 0) / known[0])) if known[0] else 0.01
     order = [F.md5(F.col("_id").cast("string").cast("binary")), F.col("_id")]
-    chosen = marked.filter("_y = 1").orderBy(*order).limit(MAX_POSITIVE).unionByName(marked.filter("_y is null or _y <> 1").orderBy(*order).limit(MAX_UNLABELLED))
-    picked = {r["_id"]: r["_y"] == 1 for r in chosen.collect()}
-    wanted = docs.sparkSession.sparkContext.broadcast(picked)
+    confirmed = {r["_id"] for r in marked.filter("_y = 1").orderBy(*order).limit(MAX_POSITIVE).collect()}
+    drawn = {r["_id"] for r in marked.orderBy(*order).limit(MAX_UNLABELLED).collect()}
+    wanted = docs.sparkSession.sparkContext.broadcast({i: (i in confirmed) + 2 * (i in drawn) for i in confirmed | drawn})
 
     def extract(batches):
         for batch in batches:
             rows = [(wanted.value[i], features(t.as_py())) for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) if i in wanted.value]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.bool_()), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], names=["positive", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], names=["part", "words"])
 
-    sample = docs.select(id_col, text_col).mapInArrow(extract, "positive boolean, words array<int>").toArrow()
-    positive = sample.column("positive").to_numpy()
+    sample = docs.select(id_col, text_col).mapInArrow(extract, "part int, words array<int>").toArrow()
+    part = sample.column("part").to_numpy()
     lists = [np.asarray(x.values.to_numpy() if x.values is not None else [], dtype=np.int64) for x in sample.column("words")]
     # A fixed order, whatever the order in which tasks end.
-    by = lambda want: sorted((lists[k] for k in range(len(lists)) if positive[k] == want), key=lambda x: x.tobytes())
-    return fit_nnpu(by(True), by(False), prior)
+    by = lambda want: sorted((lists[k] for k in range(len(lists)) if part[k] & want), key=lambda x: x.tobytes())
+    return fit_nnpu(by(1), by(2), prior)
 
 
 def score_toxicity(docs: DataFrame, model: Classifier, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
