@@ -208,13 +208,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their component; one of the rows that repeat such an id.
 
-    Rows without an id stay only if no row with an id has their fingerprint.
+    Of rows without an id, one stays for each fingerprint that no row with an id has.
     """
     found = near_duplicates(docs, id_col, text_col)
     kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     rows = docs.join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
     first = Window.partitionBy(id_col).orderBy(text_col)
-    return rows.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").drop("_rank")
+    rows = rows.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").drop("_rank")
+    nameless = annotate(docs.filter(F.col(id_col).isNull()), [text_col], lambda: lambda texts: [[fingerprint(t.as_py()) for t in texts]], [T.StructField("_fp", T.LongType())])
+    taken = found.filter("doc_id is not null").select(F.conv(F.col("fingerprint"), 16, -10).cast("long").alias("_taken")).distinct()
+    nameless = nameless.join(taken, F.col("_fp") == F.col("_taken"), "left_anti")
+    nameless = nameless.withColumn("_rank", F.row_number().over(Window.partitionBy("_fp").orderBy(text_col))).filter("_rank = 1").drop("_rank", "_fp")
+    return rows.unionByName(nameless.select(*docs.columns))
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
