@@ -27,13 +27,16 @@ def ranked_scores(scores: Column) -> Column:
     return F.array_sort(F.transform(F.map_entries(scores), lambda e: F.struct((-e["value"]).alias("k"), e["key"].alias("label"), e["value"].alias("score"))))
 
 
-def scored_rows(df: DataFrame, keys: list[str], scores: str = "scores") -> DataFrame:
+def scored_rows(df: DataFrame, keys: list[str], scores: str = "scores", order: str | None = None) -> DataFrame:
     """Argmax prediction, margin to the second, and the run's positive label and its score.
 
-    A run's labels are those of its first non-empty map; a row that lacks one of them, or a score, is left out.
+    A run's labels are those of its first non-empty map in ``order``, or without one the most that any map has; a row
+    that lacks one of them, or a score, is left out.
     """
     full = df.filter(F.size(scores) > 0)
-    runs = full.groupBy(*keys).agg(F.max(F.sort_array(F.map_keys(scores))).alias("_labels"))
+    names = F.sort_array(F.map_keys(scores))
+    chosen = F.min_by(names, F.struct(order, names)) if order else F.max_by(names, F.struct(F.size(scores), names))
+    runs = full.groupBy(*keys).agg(chosen.alias("_labels"))
     rows = full.join(runs, keys).filter(F.forall("_labels", lambda x: F.map_contains_key(F.col(scores), x) & F.try_element_at(F.col(scores), x).isNotNull()))
     best = ranked_scores(F.map_filter(F.col(scores), lambda k, v: F.array_contains("_labels", k)))
     rows = rows.withColumn("_r", best).withColumn("positive", positive_label(F.col("_labels")))
