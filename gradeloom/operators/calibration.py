@@ -34,9 +34,9 @@ def scored_rows(df: DataFrame, keys: list[str], scores: str = "scores", order: s
     that lacks one of them, or a score, is left out.
     """
     full = df.filter(F.size(scores) > 0)
-    names = F.sort_array(F.map_keys(scores))
-    chosen = F.min_by(names, F.struct(order, names)) if order else F.max_by(names, F.struct(F.size(scores), names))
-    runs = full.groupBy(*keys).agg(chosen.alias("_labels"))
+    named = full.select(*keys, F.sort_array(F.map_keys(scores)).alias("_set"), *([F.col(order).alias("_order")] if order else []))
+    named = named if order else named.withColumn("_order", -F.size("_set"))
+    runs = named.groupBy(*keys).agg(F.min(F.struct("_order", "_set")).alias("_first")).select(*keys, F.col("_first._set").alias("_labels"))
     rows = full.join(runs, keys).filter(F.forall("_labels", lambda x: F.map_contains_key(F.col(scores), x) & F.try_element_at(F.col(scores), x).isNotNull()))
     best = ranked_scores(F.map_filter(F.col(scores), lambda k, v: F.array_contains("_labels", k)))
     rows = rows.withColumn("_r", best).withColumn("positive", positive_label(F.col("_labels")))
