@@ -37,7 +37,8 @@ def scored_rows(df: DataFrame, keys: list[str], scores: str = "scores", order: s
     named = full.select(*keys, F.sort_array(F.map_keys(scores)).alias("_set"), *([F.col(order).alias("_order")] if order else []))
     named = named if order else named.withColumn("_order", -F.size("_set"))
     runs = named.groupBy(*keys).agg(F.min(F.struct("_order", "_set")).alias("_first")).select(*keys, F.col("_first._set").alias("_labels"))
-    rows = full.join(runs, keys).filter(F.forall("_labels", lambda x: F.map_contains_key(F.col(scores), x) & F.try_element_at(F.col(scores), x).isNotNull()))
+    scored = F.map_keys(F.map_filter(scores, lambda k, v: v.isNotNull()))
+    rows = full.withColumn("_scored", scored).join(runs, keys).filter(F.size(F.array_except("_labels", "_scored")) == 0).drop("_scored")
     best = ranked_scores(F.map_filter(F.col(scores), lambda k, v: F.array_contains("_labels", k)))
     rows = rows.withColumn("_r", best).withColumn("positive", positive_label(F.col("_labels")))
     return rows.withColumns({"pred": F.col("_r")[0]["label"], "margin": F.col("_r")[0]["score"] - F.try_element_at("_r", F.lit(2))["score"], "score": F.try_element_at(F.col(scores), F.col("positive"))}).drop("_r")
