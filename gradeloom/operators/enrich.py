@@ -85,8 +85,8 @@ def coverage(expected: DataFrame, landed: DataFrame, keys: list[str]) -> DataFra
 
 
 def cascade_grid(asr_models: DataFrame, tasks: DataFrame, llms: DataFrame) -> DataFrame:
-    """All runs of a cascade: three small tables, each of one row per model or task."""
-    return asr_models.crossJoin(F.broadcast(tasks)).crossJoin(F.broadcast(llms))
+    """All runs of a cascade: three small tables, each of one row per model or task.  Spark checks their sizes before it broadcasts any."""
+    return asr_models.crossJoin(tasks).crossJoin(llms)
 
 
 def filter_required(records: DataFrame, record: str = "record") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from .partitions import prefix_by_partition
 
 # The keys of each task's hypothesis map, in reading order, with their gold labels.
 TASK_KEYS = {
@@ -68,12 +69,13 @@ def question_prefix(question: Column, hypothesis: Column) -> Column:
 
 
 def named_clips(df: DataFrame, order: str, transcript: str = "transcript", file_name: str = "file_name") -> DataFrame:
-    """Clips with a transcript; those without a name are called by their place in the table's order, skipped ones counted."""
-    from pyspark.sql import Window
+    """Clips with a transcript; those without a name are called by their place in the table's order, skipped ones counted.
 
-    placed = df.withColumn("_i", F.row_number().over(Window.orderBy(order)))
-    name = F.coalesce(F.nullif(L.strip(F.col(file_name)), F.lit("")), F.concat(F.lit("row_"), F.col("_i"), F.lit(".wav")))
-    return placed.withColumn(file_name, name).filter(L.strip(F.col(transcript)) != "").drop("_i")
+    ``order`` is a column of distinct numbers.  Rows are counted range by range, so no task orders the whole table.
+    """
+    placed = prefix_by_partition(df.withColumn("_one", F.lit(1)), order, ["_one"])
+    name = F.coalesce(F.nullif(L.strip(F.col(file_name)), F.lit("")), F.concat(F.lit("row_"), F.col("_one_before") + 1, F.lit(".wav")))
+    return placed.withColumn(file_name, name).filter(L.strip(F.col(transcript)) != "").drop("_one", "_one_before")
 
 
 def composition(df: DataFrame) -> DataFrame:

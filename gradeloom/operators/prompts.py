@@ -12,6 +12,9 @@ from .hypotheses import TASK_KEYS, as_list
 CLASSIFY = {
     "nli": "You are given a speech transcript and a statement.\n\nBased only on the transcript, determine whether the statement is:\n- ENTAILMENT\n- CONTRADICTION\n- NEUTRAL\n\nOutput exactly one label:\nENTAILMENT or CONTRADICTION or NEUTRAL\n\nTranscript:\n{transcript}\n\nStatement:\n{hypothesis}\n",
     "consistency": "You are given a speech transcript and a statement.\n\nDetermine whether the statement is consistent with the transcript meaning.\nOutput exactly one label:\nCONSISTENT or INCONSISTENT\n\nTranscript:\n{transcript}\n\nStatement:\n{hypothesis}\n",
+    "plausibility": "You are given a speech transcript and a statement.\n\nIs the statement plausible given the transcript?\nOutput exactly one label:\nPLAUSIBLE or IMPLAUSIBLE\n\nTranscript:\n{transcript}\n\nStatement:\n{hypothesis}\n",
+    "restraint": "You are given a speech transcript and a statement.\n\nBased only on transcript evidence, determine whether the statement is supported.\nOutput exactly one label:\nSUPPORTED or UNSUPPORTED\n\nTranscript:\n{transcript}\n\nStatement:\n{hypothesis}\n",
+    "accent_drift": "You are given a speech transcript and a statement.\n\nDetermine whether the statement is semantically true with respect to transcript content.\nOutput exactly one label:\nTRUE or FALSE\n\nTranscript:\n{transcript}\n\nStatement:\n{hypothesis}\n",
 }
 LABEL_SENTENCE = "Given the audio, the following statement is {label}: {hypothesis}"
 ICL_HEADER = "Use the solved examples below to classify the target pair.\nEach example includes {fields}.\nValid labels: ENTAILMENT, CONTRADICTION, NEUTRAL.\n"

@@ -226,3 +226,28 @@ def test_query_equals_sql(spark, name):
 
 def test_entry_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_named_clips(spark):
+    rows = [(5, None, "t"), (1, "a", ""), (3, " ", None), (9, "", "u"), (7, "b", " v ")]
+    got = {r.k: r.file_name for r in H.named_clips(spark.createDataFrame(rows, "k int, file_name string, transcript string"), "k").collect()}
+    assert got == {5: "row_3.wav", 9: "row_5.wav", 7: "b"}
+    assert H.named_clips(spark.createDataFrame([], "k int, file_name string, transcript string"), "k").count() == 0
+
+
+def test_scores_of_own_and_shared_labels(spark, monkeypatch):
+    e = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None)], "i int, e array<float>")
+    t = spark.createDataFrame([(1, "a", [1.0, 1.0]), (1, "b", [1.0, 0.0]), (2, "a", [0.0, 2.0]), (2, "c", [0.0, 1.0])], "i int, l string, v array<float>")
+    got = {r.i: (r.pred, round(r.top1, 6)) for r in V.score_pairs(e, t, "i", "e", "l", "v").collect()}
+    assert got == {1: ("b", 1.0), 2: ("a", 1.0)}
+    shared = t.filter("i = 1").drop("i")
+    assert {r.i: r.pred for r in V.score_labels(e.filter("e is not null"), shared, "i", "e", "l", "v").collect()} == {1: "b", 2: "a"}
+    monkeypatch.setattr(V, "MAX_LABELS", 1)
+    with pytest.raises(Exception, match="more than 1 labels"):
+        V.score_labels(e, shared, "i", "e", "l", "v").collect()
+
+
+def test_overlay_output(spark):
+    df = spark.createDataFrame([('{"entailment": ["x", {"hypothesis": "y"}], "neutral": "z"}',), ('{"neutral": null}',)], "o string")
+    got = [r[0].asDict() for r in df.select(P.overlay_output(F.parse_json("o"), F.lit("p "))).collect()]
+    assert got == [{"entailment": ["p x", "p y"], "neutral": ["p z"], "contradiction": []}, {"entailment": [], "neutral": [], "contradiction": []}]
