@@ -20,6 +20,8 @@ BLOCKS = frozenset(
 )
 #: Elements that never hold main text, whatever their ratios.
 CHROME = frozenset("head nav footer aside form button select option menu dialog script style noscript iframe template svg math textarea title object canvas label fieldset".split())
+#: Blocks that stand within an article, and are never the whole of one.
+TEXT_BLOCKS = frozenset("address blockquote caption dd details dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup legend li ol p pre summary ul".split())
 #: Words of class, id and role that name what surrounds an article.
 CHROME_NAMES = re.compile(
     r"(?:^|[^a-z])(?:ad|ads|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|footer\w*|header|masthead|sidebar\w*|side|widget\w*|comment\w*|disqus|reply|replies|respond|notice\w*|cookie\w*|consent|gdpr|alert|popup|modal|overlay|share|sharing|social|related|recommend\w*|newsletter|subscri\w*|signup|login|search|pager|pagination|toolbar|complementary|contentinfo|navigation)(?:$|[^a-z])"
@@ -32,12 +34,13 @@ SMOOTH, STRICT = 2, 0.5
 
 
 class Leaf:
-    """A run of text of one block: its element path, the numbers of the elements on it, and its pieces."""
+    """A run of text of one block: its element path, the numbers of the elements on it, whether one is article or main, and its pieces."""
 
-    __slots__ = ("path", "nodes", "pieces", "chrome")
+    __slots__ = ("path", "nodes", "pieces", "chrome", "main")
 
-    def __init__(self, path: str, nodes: tuple[int, ...], chrome: bool):
-        self.path, self.nodes, self.chrome, self.pieces = path, nodes, chrome, []
+    def __init__(self, names: list[str], nodes: tuple[int, ...], chrome: bool):
+        self.path, self.nodes, self.chrome, self.pieces = "/".join(names), nodes, chrome, []
+        self.main = "article" in names or "main" in names
 
 
 def leaves_of(page: str) -> list[Leaf]:
@@ -55,7 +58,7 @@ def leaves_of(page: str) -> list[Leaf]:
         if m[4] is not None:
             if leaf is None:
                 blocks = [x for x in stack if x[0] in BLOCKS]
-                leaf = Leaf("/".join(x[0] for x in blocks), tuple(x[1] for x in blocks), any(x[2] for x in stack))
+                leaf = Leaf([x[0] for x in blocks], tuple(x[1] for x in blocks), any(x[2] for x in stack))
                 out.append(leaf)
             leaf.pieces.append(m[4])
             continue
@@ -104,9 +107,10 @@ def extract(page: str | None) -> str:
     """The main text of a page.
 
     For each element path, the length of its text and its punctuation per leaf are found.  Both series, over the leaves
-    in page order, are smoothed and multiplied, and paths whose largest value passes a threshold are content.  The
-    deepest element that holds most of the content's text is the article; all of its blocks are given, in page order,
-    but those inside menus, adverts and the like.
+    in page order, are smoothed and multiplied, and paths whose largest value passes a threshold are content.  All blocks
+    of the deepest element that holds all of the content are given, in page order, but those inside menus, adverts and
+    the like.  Where article and main elements hold most of the content, they are taken, all of them, and the h1 of the
+    page, instead.
     """
     found = []
     for leaf in leaves_of(page or ""):
@@ -126,24 +130,23 @@ def extract(page: str | None) -> str:
     total = np.concatenate([np.zeros((1, 2)), np.cumsum(wide, axis=0)])
     smooth = (total[2 * SMOOTH + 1 :] - total[: -2 * SMOOTH - 1]) / (2 * SMOOTH + 1)
     fused = np.sqrt(smooth[:, 0] * smooth[:, 1])
-    least = min(fused.max(), max(0.0, fused.mean() - STRICT * fused.std()))
+    # The deviation alone bounds the threshold too: on a page of much the same blocks all of them pass.
+    least = max(0.0, min(fused.max(), fused.std(), fused.mean() - STRICT * fused.std()))
     content = {f.path for (f, _), x in zip(found, fused, strict=True) if x >= least}
-    weight: dict[int, int] = {}
-    whole = 0
-    for leaf, text in found:
-        if leaf.path in content:
-            whole += len(text)
-            for node in leaf.nodes:
-                weight[node] = weight.get(node, 0) + len(text)
-    # Elements are numbered in page order, so the largest number among those that hold most of the content is the deepest.
-    holders = [n for n, x in weight.items() if 2 * x > whole]
-    inside = max(holders) if holders else None
-    # A single block may hold most of the text: its parent, if the article is that, holds the others.
-    if inside is not None:
-        chains = [f.nodes for f, _ in found if inside in f.nodes]
-        if all(c[-1] == inside for c in chains) and len(chains[0]) > 1:
-            inside = chains[0][-2]
-    return "\n".join(text for leaf, text in found if inside is None or inside in leaf.nodes)
+    scored = [(leaf, text) for leaf, text in found if leaf.path in content]
+    if 2 * sum(len(text) for leaf, text in scored if leaf.main) > sum(len(text) for _, text in scored):
+        return "\n".join(text for leaf, text in found if leaf.main or "h1" in leaf.path.split("/"))
+    # Of the elements around the first content block, those around all others too; a block of running text is no article.
+    shared = 0
+    for level in zip(*[leaf.nodes for leaf, _ in scored]):
+        if len(set(level)) > 1:
+            break
+        shared += 1
+    chain, names = scored[0][0].nodes, scored[0][0].path.split("/")
+    while shared and names[shared - 1] in TEXT_BLOCKS:
+        shared -= 1
+    inside = chain[shared - 1] if shared else None
+    return "\n".join(text for leaf, text in found if inside is None or inside in leaf.nodes or "h1" in leaf.path.split("/"))
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:

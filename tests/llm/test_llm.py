@@ -266,6 +266,29 @@ def test_html(spark):
     assert html_text.extract_text(rows.limit(0)).count() == 0
 
 
+def blocks(kind, size):
+    """Three texts of about ``size`` characters in all, and their markup."""
+    texts = [f"{kind} {k}, " + "some words, more. " * (size // 54) + "end." for k in range(3)]
+    one = {"section": "<p>{}</p>", "div": "<p>{}</p>", "blockquote": "<p>{}</p>", "ul": "<li>{}</li>", "table": "<tr><td>{}</td></tr>"}[kind]
+    return texts, f"<{kind}>" + "".join(one.format(t) for t in texts) + f"</{kind}>"
+
+
+@pytest.mark.parametrize("large", ["section", "div", "blockquote", "ul", "table"])
+@pytest.mark.parametrize("small", ["section", "div", "blockquote", "ul", "table"])
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<div><div>{}</div></div>", "{}"])
+def test_html_keeps_all_parts(wrap, small, large):
+    """An article in two parts, of which one holds over half of the text, with a heading above."""
+    (a, big), (b, little) = blocks(large, 600), blocks(small, 300)
+    for parts, texts in ((big + little, a + b), (little + big, b + a)):
+        page = "<html><body><nav><a>Home</a></nav>" + wrap.format("<h1>The head</h1>" + parts) + "<footer>foot</footer></body></html>"
+        assert html_text.extract(page).split("\n") == ["The head", *texts]
+
+
+def test_html_keeps_all_articles():
+    page = "<body><h1>Head</h1><div>Buy this, now, please.</div><article><p>" + "Long, text. " * 60 + "</p></article><article><p>Short, too.</p></article></body>"
+    assert html_text.extract(page).split("\n") == ["Head", ("Long, text. " * 60).strip(), "Short, too."]
+
+
 def test_toxicity(docs, empty, spark):
     rng = random.Random(5)
     rows, marks = [], []
