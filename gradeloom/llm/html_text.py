@@ -26,6 +26,8 @@ TEXT_BLOCKS = frozenset("address blockquote caption dd details dl dt figcaption
 CHROME_NAMES = re.compile(
     r"(?:^|[^a-z])(?:ad|ads|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|footer\w*|header|masthead|sidebar\w*|side|widget\w*|comment\w*|disqus|reply|replies|respond|notice\w*|cookie\w*|consent|gdpr|alert|popup|modal|overlay|share|sharing|social|related|recommend\w*|newsletter|subscri\w*|signup|login|search|pager|pagination|toolbar|complementary|contentinfo|navigation)(?:$|[^a-z])"
 )
+#: Names that only say what a wrapper holds or lacks, and those of an article's own head.
+WRAPPER_NAMES = re.compile(r"(?:^|[-_])(?:with|without|no|not|has|have|hide|show|is)[-_]|(?:^|[-_])(?:article|entry|post|story|section|content)[-_]*header$")
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
@@ -34,18 +36,24 @@ SMOOTH, STRICT = 2, 0.5
 
 
 class Leaf:
-    """A run of text of one block: its element path, the numbers of the elements on it, whether one is article or main, and its pieces."""
+    """A run of text of one block: its element path, the numbers of the elements on it, whether one is article or main, the names of chrome above it, and its pieces."""
 
-    __slots__ = ("path", "nodes", "pieces", "chrome", "main")
+    __slots__ = ("path", "nodes", "pieces", "chrome", "named", "main")
 
-    def __init__(self, names: list[str], nodes: tuple[int, ...], chrome: bool):
-        self.path, self.nodes, self.chrome, self.pieces = "/".join(names), nodes, chrome, []
+    def __init__(self, names: list[str], nodes: tuple[int, ...], chrome: bool, named: frozenset[str]):
+        self.path, self.nodes, self.chrome, self.named, self.pieces = "/".join(names), nodes, chrome, named, []
         self.main = "article" in names or "main" in names
 
 
+def chrome_name(named: str, inside: bool) -> str:
+    """Those of an element's names that speak of chrome; ``inside`` an article or main, a header is its own."""
+    names = [x for x in named.split() if CHROME_NAMES.search(x) and not WRAPPER_NAMES.search(x)]
+    return " ".join(x for x in names if not (inside and CHROME_NAMES.search(x)[0].strip("-_") == "header"))
+
+
 def leaves_of(page: str) -> list[Leaf]:
     """Blocks of text in page order.  Inline elements join; a block's start or end parts them."""
-    stack: list[tuple[str, int, bool]] = []
+    stack: list[tuple[str, int, bool, str]] = []
     out: list[Leaf] = []
     leaf: Leaf | None = None
     count, at, end = 0, 0, len(page)
@@ -58,7 +66,7 @@ def leaves_of(page: str) -> list[Leaf]:
         if m[4] is not None:
             if leaf is None:
                 blocks = [x for x in stack if x[0] in BLOCKS]
-                leaf = Leaf([x[0] for x in blocks], tuple(x[1] for x in blocks), any(x[2] for x in stack))
+                leaf = Leaf([x[0] for x in blocks], tuple(x[1] for x in blocks), any(x[2] for x in stack), frozenset(x[3] for x in stack if x[3]))
                 out.append(leaf)
             leaf.pieces.append(m[4])
             continue
@@ -68,7 +76,7 @@ def leaves_of(page: str) -> list[Leaf]:
         if m[1]:
             depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
             if depth is not None:
-                if any(x[0] in BLOCKS or x[2] for x in stack[depth:]):
+                if any(x[0] in BLOCKS or x[2] or x[3] for x in stack[depth:]):
                     leaf = None
                 del stack[depth:]
             continue
@@ -94,15 +102,34 @@ def leaves_of(page: str) -> list[Leaf]:
                 if stack[k][0] in stop:
                     break
         named = " ".join(x for t in NAMES.findall(m[3]) for x in t if x).lower() if m[3] and "=" in m[3] else ""
-        chrome = name in CHROME or (name == "header" and not any(x[0] in ("article", "main") for x in stack)) or bool(named and name not in ("html", "body") and CHROME_NAMES.search(named))
+        inside = any(x[0] in ("article", "main") for x in stack)
+        chrome = name in CHROME or (name == "header" and not inside)
+        called = chrome_name(named, inside or name in ("article", "main")) if named and name not in ("html", "body") else ""
         count += 1
-        if chrome and leaf is not None:
+        if (chrome or called) and leaf is not None:
             leaf = None
         if not m[3].endswith("/"):
-            stack.append((name, count, chrome))
+            stack.append((name, count, chrome, called))
     return out
 
 
+def without_named(found: list[tuple[Leaf, str]]) -> list[tuple[Leaf, str]]:
+    """The leaves that no name marks as chrome.
+
+    A name doesn't count where it covers over half of the page's text, unless an article or main stands outside all that
+    it covers and not within it; and no name counts where nothing would be left.
+    """
+    covered: dict[str, int] = {}
+    for leaf, text in found:
+        for name in leaf.named:
+            covered[name] = covered.get(name, 0) + len(text)
+    whole = sum(len(text) for _, text in found)
+    for name, size in list(covered.items()):
+        if 2 * size > whole and not (any(f.main and name not in f.named for f, _ in found) and not any(f.main and name in f.named for f, _ in found)):
+            del covered[name]
+    return [x for x in found if not any(name in covered for name in x[0].named)] or found
+
+
 def extract(page: str | None) -> str:
     """The main text of a page.
 
@@ -119,6 +146,7 @@ def extract(page: str | None) -> str:
             found.append((leaf, text))
     if not found:
         return ""
+    found = without_named(found)
     length: dict[str, list[int]] = {}
     for leaf, text in found:
         sums = length.setdefault(leaf.path, [0, 0, 0])

@@ -289,6 +289,25 @@ def test_html_keeps_all_articles():
     assert html_text.extract(page).split("\n") == ["Head", ("Long, text. " * 60).strip(), "Short, too."]
 
 
+@pytest.mark.parametrize("name", ["layout with-sidebar", "no-sidebar", "has-ads", "main no-comments", "widget-text", "promo"])
+def test_html_names_of_wrappers(name):
+    """A name doesn't empty a page whose text it wraps, or whose parts all have it."""
+    parts = [f"<section{{}}><p>Part {k}, with words, and more words. Really.</p></section>" for k in range(3)]
+    want = [f"Part {k}, with words, and more words. Really." for k in range(3)]
+    for body in (f'<div class="{name}">' + "".join(parts).format("", "", "") + "</div>", "".join(parts).format(*[f' class="{name}"'] * 3)):
+        got = html_text.extract(f'<body><nav>Home</nav><h1>Head</h1>{body}<div class="sidebar"><p>Side words, many.</p></div></body>')
+        assert got.split("\n") == ["Head", *want]
+
+
+@pytest.mark.parametrize("name", ["article-header", "entry-header", "post_header", "header"])
+def test_html_names_of_heads(name):
+    page = f'<body><div class="site-header"><p>The site</p></div><article><div class="{name}"><h1>Head</h1><p>By one.</p></div><p>First, words. More.</p><div class="comments"><p>{"A reader, says. " * 20}</p></div></article></body>'
+    assert html_text.extract(page).split("\n")[:3] == ["Head", "By one.", "First, words. More."]
+    page = f'<body><article><h1>Head</h1><p>First, words. More.</p></article><div class="comments"><p>{"A reader, says. " * 20}</p></div></body>'
+    assert html_text.extract(page) == "Head\nFirst, words. More."
+    assert html_text.extract('<body><div class="entry-header"><h1>Head</h1></div><div><p>First, words. More.</p></div></body>') == "Head\nFirst, words. More."
+
+
 def test_toxicity(docs, empty, spark):
     rng = random.Random(5)
     rows, marks = [], []
