@@ -12,10 +12,11 @@ SHARDS = 40
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters and those far from every language's profile."""
+    """Rejects documents without letters and long ones far from every language's profile; a short text's distance says nothing."""
     profiles = language_id.learn_profiles(docs)
-    judged = language_id.predict_language(docs, profiles)
-    kept = judged.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= language_id.MIN_SCORE))
+    judged = language_id.predict_language(docs, profiles, grams_col="_n_grams")
+    near = (F.col("score") >= language_id.MIN_SCORE) | (F.col("_n_grams") < language_id.MIN_GRAMS)
+    kept = judged.filter((F.col("lang_pred") != language_id.UNKNOWN) & near)
     return kept.select(*docs.columns)
 
 

@@ -411,3 +411,18 @@ def test_pipeline(spark):
     assert out.columns == [*docs.columns, "shard", "slot"]
     clean = {r.doc_id for r in decontaminate.find_contamination(step, spark.read.parquet(f"{sf}/benchmark.parquet")).filter("not contaminated").collect()}
     assert {r.doc_id for r in out.collect()} <= clean
+
+
+def test_pipeline_keeps_short_documents(spark):
+    """Each word of the corpus alone, and in pairs; only the texts without letters and a long one of strange letters go."""
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    vocab = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(1, 6))) for _ in range(300)]
+    texts = [" ".join(rng.choice(vocab) for _ in range(200)) for _ in range(40)] + [w.capitalize() + "." for w in vocab] + [f"{a} {b}" for a, b in itertools.pairwise(vocab)]
+    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(texts)]
+    strange = "".join(rng.choice("bcdfgjkmpqvwxyz") for _ in range(2000))
+    df = spark.createDataFrame([*rows, (-1, "12 ... 34", None, "s", 0), (-2, strange, None, "s", 0), (-3, None, "en", "s", 0)], SCHEMA)
+    kept = corpus_pipeline.identify_language(spark, df, "")
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [r[0] for r in rows]
