@@ -409,7 +409,7 @@ def icl_fan_out(spark, sf_dir):
     """Every labelled document as a target, times variants and shots."""
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     answer = F.when(F.col("toxic") == 1, "CONTRADICTION").when(F.col("quality") == 1, "ENTAILMENT").otherwise("NEUTRAL")
-    rows = docs.select(F.concat("source", F.lit("/"), "doc_id", F.lit(".wav")).alias("file_name"), L.clip_text(F.col("text"), 200).alias("hypothesis"), answer.alias("answer"), L.clip_text(F.col("text"), 120).alias("transcript"))
+    rows = docs.select(F.concat("source", F.lit("/"), "doc_id", F.lit(".wav")).alias("file_name"), F.col("text").alias("hypothesis"), answer.alias("answer"), F.col("text").alias("transcript"))
     chosen = P.pick_exemplars(rows, 10, 7)
     out = P.icl_fan_out(rows, chosen, [1, 3, 5, 7, 10])
     return out.select("file_name", "variant", "shot", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"), L.strip_icl_prefix(F.col("prompt")).alias("target"))

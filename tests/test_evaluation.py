@@ -251,3 +251,26 @@ def test_overlay_output(spark):
     df = spark.createDataFrame([('{"entailment": ["x", {"hypothesis": "y"}], "neutral": "z"}',), ('{"neutral": null}',)], "o string")
     got = [r[0].asDict() for r in df.select(P.overlay_output(F.parse_json("o"), F.lit("p "))).collect()]
     assert got == [{"entailment": ["p x", "p y"], "neutral": ["p z"], "contradiction": []}, {"entailment": [], "neutral": [], "contradiction": []}]
+
+
+def test_icl_fan_out_query_brute(spark, tmp_path):
+    """Whole texts, also those that share a long beginning, in every prompt and target."""
+    import hashlib
+
+    from gradeloom.plans.queries import QUERIES
+
+    same = "The same beginning of all, " * 12
+    texts = [f"{same}{k} end {'x ' * k}." for k in range(14)]
+    spark.createDataFrame([(k, t, "web") for k, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, int(k % 3 == 1), int(k % 3 == 2)) for k in range(13)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [{"file_name": f"web/{k}.wav", "hypothesis": texts[k], "answer": ["NEUTRAL", "ENTAILMENT", "CONTRADICTION"][k % 3], "transcript": texts[k]} for k in range(13)]
+    chosen = P.pick_exemplars(spark.createDataFrame(rows, "file_name string, hypothesis string, answer string, transcript string"), 10, 7)
+    want = set()
+    for r in rows:
+        for variant, (transcript, hypothesis) in P.VARIANTS.items():
+            for shot in (1, 3, 5, 7, 10):
+                lines = ["", f"Target AudioFile: {r['file_name'][4:]}", *([f"Target Transcript: {r['transcript']}"] if transcript else []), f"Target Hypothesis: {r['hypothesis']}", "Answer:"]
+                prompt = P.icl_prefix(chosen, shot, transcript, hypothesis) + "\n".join(lines)
+                want.add((r["file_name"], variant, shot, hashlib.md5(prompt.encode()).hexdigest(), r["hypothesis"]))
+    got = [tuple(r) for r in QUERIES["icl_fan_out"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want
