@@ -18,71 +18,144 @@ RAW = frozenset("script style textarea title noscript iframe template svg math".
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements that never hold main text, whatever their ratios.
-CHROME = frozenset("head nav footer aside form button select option menu dialog script style noscript iframe template svg math textarea title object canvas label fieldset".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Blocks that stand within an article, and are never the whole of one.
-TEXT_BLOCKS = frozenset("address blockquote caption dd details dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup legend li ol p pre summary ul".split())
-#: Words of class, id and role that name what surrounds an article.
-CHROME_NAMES = re.compile(
-    r"(?:^|[^a-z])(?:ad|ads|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|footer\w*|header|masthead|sidebar\w*|side|widget\w*|comment\w*|disqus|reply|replies|respond|notice\w*|cookie\w*|consent|gdpr|alert|popup|modal|overlay|share|sharing|social|related|recommend\w*|newsletter|subscri\w*|signup|login|search|pager|pagination|toolbar|complementary|contentinfo|navigation)(?:$|[^a-z])"
+TEXT_BLOCKS = HEADINGS | frozenset("address blockquote caption dd details dl dt figcaption figure hgroup legend li ol p pre summary ul".split())
+#: Elements whose text is never shown as running text.
+UNSEEN = frozenset("head button select option object canvas".split())
+#: Elements that surround an article: they weigh on a path's score, and don't decide by themselves.
+AROUND = frozenset("nav footer aside form menu dialog label fieldset".split())
+#: Words of class, id and role that name what surrounds an article, with the same weight.
+AROUND_NAMES = re.compile(
+    r"(?:^|[^a-z])(?:ad|ads|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|footer\w*|header|masthead|sidebar\w*|side|widget\w*|notice\w*|cookie\w*|consent|gdpr|alert|popup|modal|overlay|share|sharing|social|related|recommend\w*|newsletter|subscri\w*|signup|login|search|pager|pagination|toolbar|complementary|contentinfo|navigation)(?:$|[^a-z])"
 )
+#: Names of reader comments.  They are prose with the ratios of an article, so only the name tells them apart.
+READERS = re.compile(r"(?:^|[^a-z])(?:comment\w*|disqus|reply|replies|respond)(?:$|[^a-z])")
 #: Names that only say what a wrapper holds or lacks, and those of an article's own head.
 WRAPPER_NAMES = re.compile(r"(?:^|[-_])(?:with|without|no|not|has|have|hide|show|is)[-_]|(?:^|[-_])(?:article|entry|post|story|section|content)[-_]*header$")
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+BARE_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>")
+NAMES = re.compile(r"\b(class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))", re.I)
+CLOSE = {name: re.compile(rf"</{name}(?![a-zA-Z0-9:-])", re.I) for name in RAW}
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
-#: Half width of the moving mean over leaves in page order, and the part of the standard deviation that sets the threshold.
-SMOOTH, STRICT = 2, 0.5
+#: A block ends an open paragraph; items and cells end their like.
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "body": ("head",)}
+STOPS = frozenset("ul ol table dl article section div main body".split())
+#: Elements deeper than this are read as if they stood here.
+DEPTH = 128
+#: Half width of the smoothing over leaves in page order.
+SMOOTH = 2
+#: A path is content from this part of the page's mean score on; what surrounds an article by its name weighs less than that.
+STRICT, WEIGHT = 0.4, 0.05
+#: Short blocks go with the container in which this share of the text is content.
+SHARE = 0.6
+
+
+class Path:
+    """A root-to-leaf tag path below <body>: its names, and the sums over the leaves that have it."""
+
+    __slots__ = ("parent", "tag", "depth", "called", "around", "unseen", "main", "n", "length", "marks")
+
+    def __init__(self, parent: Path | None, tag: str, called: str, around: bool, unseen: bool):
+        self.parent, self.tag, self.called, self.around, self.unseen = parent, tag, called, around, unseen
+        self.depth = parent.depth + 1 if parent else 0
+        self.main = tag in ("article", "main") or (parent is not None and parent.main)
+        self.n = self.length = self.marks = 0
 
 
 class Leaf:
-    """A run of text of one block: its element path, the numbers of the elements on it, whether one is article or main, the names of chrome above it, and its pieces."""
+    """A run of text of one block, its path and its pieces."""
+
+    __slots__ = ("path", "pieces", "text")
 
-    __slots__ = ("path", "nodes", "pieces", "chrome", "named", "main")
+    def __init__(self, path: Path):
+        self.path, self.pieces, self.text = path, [], ""
 
-    def __init__(self, names: list[str], nodes: tuple[int, ...], chrome: bool, named: frozenset[str]):
-        self.path, self.nodes, self.chrome, self.named, self.pieces = "/".join(names), nodes, chrome, named, []
-        self.main = "article" in names or "main" in names
 
+def around_name(named: str, inside: bool) -> str:
+    """Those of an element's names that speak of what surrounds an article; ``inside`` an article or main, a header is its own."""
+    names = [x for x in named.split() if (AROUND_NAMES.search(x) or READERS.search(x)) and not WRAPPER_NAMES.search(x)]
+    return " ".join(x for x in names if not (inside and (m := AROUND_NAMES.search(x)) and m[0].strip("-_") == "header"))
 
-def chrome_name(named: str, inside: bool) -> str:
-    """Those of an element's names that speak of chrome; ``inside`` an article or main, a header is its own."""
-    names = [x for x in named.split() if CHROME_NAMES.search(x) and not WRAPPER_NAMES.search(x)]
-    return " ".join(x for x in names if not (inside and CHROME_NAMES.search(x)[0].strip("-_") == "header"))
+
+def tags_of(page: str):
+    """(text, tag match) pieces in page order, in one pass forward: each is one or the other.
+
+    A quote that never closes makes all later quotes plain characters, and a tag that never ends is text.
+    """
+    at, end, tag = 0, len(page), TAG
+    while at < end:
+        lt = page.find("<", at)
+        if lt != at:
+            yield page[at : lt if lt >= 0 else end], None
+            if lt < 0:
+                return
+        if page.startswith("<!--", lt):
+            close = page.find("-->", lt + 4)
+            at = close + 3 if close >= 0 else end
+            continue
+        if page.startswith(("<!", "<?"), lt):
+            close = page.find(">", lt)
+            at = close + 1 if close >= 0 else end
+            continue
+        following = page[lt + 1 : lt + 3].lstrip("/")[:1]
+        if not (following.isascii() and following.isalpha()):
+            yield "<", None
+            at = lt + 1
+            continue
+        m = tag.match(page, lt)
+        if m is None and tag is TAG:
+            tag = BARE_TAG
+            m = tag.match(page, lt)
+        if m is None:
+            yield page[lt:], None
+            return
+        at = m.end()
+        name = m[2].lower()
+        if name in RAW and not m[1]:
+            close = CLOSE[name].search(page, at)
+            close = page.find(">", close.end()) if close else -1
+            at = close + 1 if close >= 0 else end
+            continue
+        yield None, m
 
 
 def leaves_of(page: str) -> list[Leaf]:
-    """Blocks of text in page order.  Inline elements join; a block's start or end parts them."""
-    stack: list[tuple[str, int, bool, str]] = []
+    """Blocks of text in page order.  Inline elements join; the start or end of a block, or of a named element, parts them."""
+    root = Path(None, "", "", False, False)
+    known: dict[tuple[int, str, str], Path] = {}
+    stack: list[tuple[str, Path, Path]] = []  # name, path inside, path outside
+    opened: dict[str, int] = {}
     out: list[Leaf] = []
     leaf: Leaf | None = None
-    count, at, end = 0, 0, len(page)
-    while at < end:
-        m = TOKEN.match(page, at)
+    here = root
+
+    def close(depth: int) -> bool:
+        """Close the elements from ``depth`` on; true if one of them has a path of its own."""
+        nonlocal here
+        own = False
+        for name, inner, outer in stack[depth:]:
+            opened[name] -= 1
+            own |= inner is not outer
+        here = stack[depth][2]
+        del stack[depth:]
+        return own
+
+    for text, m in tags_of(page):
         if m is None:
-            at += 1
-            continue
-        at = m.end()
-        if m[4] is not None:
             if leaf is None:
-                blocks = [x for x in stack if x[0] in BLOCKS]
-                leaf = Leaf([x[0] for x in blocks], tuple(x[1] for x in blocks), any(x[2] for x in stack), frozenset(x[3] for x in stack if x[3]))
+                leaf = Leaf(here)
                 out.append(leaf)
-            leaf.pieces.append(m[4])
-            continue
-        if m[2] is None:
+            leaf.pieces.append(text)
             continue
         name = m[2].lower()
         if m[1]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if depth is not None:
-                if any(x[0] in BLOCKS or x[2] or x[3] for x in stack[depth:]):
+            if opened.get(name):
+                depth = len(stack) - 1
+                while stack[depth][0] != name:
+                    depth -= 1
+                if close(depth) or name in BLOCKS:
                     leaf = None
-                del stack[depth:]
-            continue
-        if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else end
             continue
         if name in VOID:
             if name == "br" and leaf is not None:
@@ -92,96 +165,176 @@ def leaves_of(page: str) -> list[Leaf]:
             continue
         if name in BLOCKS:
             leaf = None
-            # A block ends an open paragraph; items and cells end their like.
-            ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "body": ("head",)}.get(name, ()) + ("p",)
-            stop = {"ul", "ol", "table", "dl", "article", "section", "div", "main", "body"}
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ends:
-                    del stack[k:]
-                    break
-                if stack[k][0] in stop:
-                    break
-        named = " ".join(x for t in NAMES.findall(m[3]) for x in t if x).lower() if m[3] and "=" in m[3] else ""
-        inside = any(x[0] in ("article", "main") for x in stack)
-        chrome = name in CHROME or (name == "header" and not inside)
-        called = chrome_name(named, inside or name in ("article", "main")) if named and name not in ("html", "body") else ""
-        count += 1
-        if (chrome or called) and leaf is not None:
+            ends = (*ENDS.get(name, ()), "p")
+            if any(opened.get(x) for x in ends):
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] in ends:
+                        close(k)
+                        break
+                    if stack[k][0] in STOPS:
+                        break
+        if m[3].endswith("/") or len(stack) >= DEPTH:
+            continue
+        names = {k.lower(): (a or b or c).lower() for k, a, b, c in NAMES.findall(m[3])} if "=" in m[3] else {}
+        called = around_name(" ".join(names.values()), here.main or name in ("article", "main")) if names and name not in ("html", "body") else ""
+        around = name in AROUND or (name == "header" and not here.main)
+        outer = here
+        if name not in ("html", "body") and (name in BLOCKS or around or called or name in UNSEEN):
+            # Containers go by their class too, so that boxes of another kind are another path.
+            kind = "" if name in TEXT_BLOCKS else names.get("class", "")
+            key = (id(here), name, f"{kind}\n{called}")
+            here = known.get(key) or known.setdefault(key, Path(here, name, called, around, here.unseen or name in UNSEEN))
             leaf = None
-        if not m[3].endswith("/"):
-            stack.append((name, count, chrome, called))
+        stack.append((name, here, outer))
+        opened[name] = opened.get(name, 0) + 1
     return out
 
 
-def without_named(found: list[tuple[Leaf, str]]) -> list[tuple[Leaf, str]]:
-    """The leaves that no name marks as chrome.
+def counted_names(leaves: list[Leaf]) -> set[str]:
+    """The names that count: those that cover at most half of the page's text, or outside all of whose text an article or main stands."""
+    covered: dict[str, list] = {}
+    mains = sum(x.path.main for x in leaves)
+    for leaf in leaves:
+        p, names = leaf.path, set()
+        while p is not None:
+            if p.called:
+                names.add(p.called)
+            p = p.parent
+        for name in names:
+            c = covered.setdefault(name, [0, 0])
+            c[0] += len(leaf.text)
+            c[1] += leaf.path.main
+    whole = sum(len(x.text) for x in leaves)
+    counted = {name for name, (size, main) in covered.items() if 2 * size <= whole or (mains and not main)}
+    left = sum(len(x.text) for x in leaves if not any(name in counted for name in names_above(x.path)))
+    return counted if left else set()
+
+
+def names_above(path: Path) -> list[str]:
+    names = []
+    while path is not None:
+        if path.called:
+            names.append(path.called)
+        path = path.parent
+    return names
 
-    A name doesn't count where it covers over half of the page's text, unless an article or main stands outside all that
-    it covers and not within it; and no name counts where nothing would be left.
+
+def likeness(a: Path, b: Path) -> float:
+    """Share of two paths that is the same, from the root: 1 for equal ones; text blocks side by side are half alike at least."""
+    if a is b:
+        return 1.0
+    deepest, least = max(a.depth, b.depth), 0.5 if a.parent is b.parent and a.tag in TEXT_BLOCKS and b.tag in TEXT_BLOCKS else 0.0
+    while a.depth > b.depth:
+        a = a.parent
+    while b.depth > a.depth:
+        b = b.parent
+    while a is not b:
+        a, b = a.parent, b.parent
+    return max(least, a.depth / deepest if deepest else 1.0)
+
+
+def path_scores(leaves: list[Leaf], lists: bool = True, ratios: bool = True) -> tuple[np.ndarray, dict[int, float]]:
+    """The score of each leaf's path in the place of the leaf, and the weight of each path (by id; 0: never content).
+
+    A path's two ratios are the length of its text and its punctuation per leaf, both times the root of the path's text
+    over that of the page's largest path (by weight).  They are smoothed over the leaves in page order, by the likeness of the paths,
+    and fused as their geometric mean.  What surrounds an article by its element or name weighs WEIGHT for each.
+    ``lists`` and ``ratios`` switch either part off, for tests.
     """
-    covered: dict[str, int] = {}
-    for leaf, text in found:
-        for name in leaf.named:
-            covered[name] = covered.get(name, 0) + len(text)
-    whole = sum(len(text) for _, text in found)
-    for name, size in list(covered.items()):
-        if 2 * size > whole and not (any(f.main and name not in f.named for f, _ in found) and not any(f.main and name in f.named for f, _ in found)):
-            del covered[name]
-    return [x for x in found if not any(name in covered for name in x[0].named)] or found
-
-
-def extract(page: str | None) -> str:
+    counted = counted_names(leaves) if lists else set()
+    weights: dict[int, float] = {}
+
+    def weight(p: Path | None) -> float:
+        todo = []
+        while p is not None and id(p) not in weights:
+            todo.append(p)
+            p = p.parent
+        w = weights[id(p)] if p is not None else 1.0
+        for q in reversed(todo):
+            if lists and q.around:
+                w *= WEIGHT
+            if q.called in counted:
+                w *= 0.0 if READERS.search(q.called) else WEIGHT
+            weights[id(q)] = w
+        return w
+
+    for leaf in leaves:
+        p = leaf.path
+        p.n, p.length, p.marks = p.n + 1, p.length + len(leaf.text), p.marks + len(PUNCTUATION.findall(leaf.text)) + 1
+    n = len(leaves)
+    weighed = np.array([weight(x.path) for x in leaves])
+    if not ratios:
+        return weighed, weights
+    most = max(x.path.length * (weights[id(x.path)] or WEIGHT) for x in leaves)
+    own = np.array([(x.path.length / x.path.n, x.path.marks / x.path.n) for x in leaves]) * np.sqrt([[min(1.0, x.path.length / most)] for x in leaves])
+    total, mass = own.copy(), np.ones(n)
+    for k in range(1, SMOOTH + 1):
+        alike = np.array([likeness(leaves[i].path, leaves[i + k].path) for i in range(n - k)]) / (k + 1)
+        if n > k:
+            total[:-k] += own[k:] * alike[:, None]
+            total[k:] += own[:-k] * alike[:, None]
+            mass[:-k] += alike
+            mass[k:] += alike
+    smooth = np.maximum(own, total / mass[:, None])
+    return np.sqrt(smooth[:, 0] * smooth[:, 1]) * weighed, weights
+
+
+def extract(page: str | None, lists: bool = True, ratios: bool = True) -> str:
     """The main text of a page.
 
-    For each element path, the length of its text and its punctuation per leaf are found.  Both series, over the leaves
-    in page order, are smoothed and multiplied, and paths whose largest value passes a threshold are content.  All blocks
-    of the deepest element that holds all of the content are given, in page order, but those inside menus, adverts and
-    the like.  Where article and main elements hold most of the content, they are taken, all of them, and the h1 of the
-    page, instead.
+    A leaf is content if the score of its path reaches STRICT of the page's mean score, weighed by text length over the
+    leaves outside all that surrounds an article.  Headings take the best score of the three leaves after them.  A leaf
+    below that stays if SHARE of the text of a container around it, within the same surroundings, is content.
     """
-    found = []
+    leaves = []
     for leaf in leaves_of(page or ""):
-        text = " ".join(html.unescape("".join(leaf.pieces)).split())
-        if text and not leaf.chrome:
-            found.append((leaf, text))
-    if not found:
+        leaf.text = " ".join(html.unescape("".join(leaf.pieces)).split())
+        if leaf.text and not leaf.path.unseen:
+            leaves.append(leaf)
+    if not leaves:
         return ""
-    found = without_named(found)
-    length: dict[str, list[int]] = {}
-    for leaf, text in found:
-        sums = length.setdefault(leaf.path, [0, 0, 0])
-        sums[0] += len(text)
-        sums[1] += len(PUNCTUATION.findall(text)) + 1
-        sums[2] += 1
-    per = np.array([(length[f.path][0] / length[f.path][2], length[f.path][1] / length[f.path][2]) for f, _ in found])
-    wide = np.concatenate([np.repeat(per[:1], SMOOTH, axis=0), per, np.repeat(per[-1:], SMOOTH, axis=0)])
-    total = np.concatenate([np.zeros((1, 2)), np.cumsum(wide, axis=0)])
-    smooth = (total[2 * SMOOTH + 1 :] - total[: -2 * SMOOTH - 1]) / (2 * SMOOTH + 1)
-    fused = np.sqrt(smooth[:, 0] * smooth[:, 1])
-    # The deviation alone bounds the threshold too: on a page of much the same blocks all of them pass.
-    least = max(0.0, min(fused.max(), fused.std(), fused.mean() - STRICT * fused.std()))
-    content = {f.path for (f, _), x in zip(found, fused, strict=True) if x >= least}
-    scored = [(leaf, text) for leaf, text in found if leaf.path in content]
-    if 2 * sum(len(text) for leaf, text in scored if leaf.main) > sum(len(text) for _, text in scored):
-        return "\n".join(text for leaf, text in found if leaf.main or "h1" in leaf.path.split("/"))
-    # Of the elements around the first content block, those around all others too; a block of running text is no article.
-    shared = 0
-    for level in zip(*[leaf.nodes for leaf, _ in scored]):
-        if len(set(level)) > 1:
-            break
-        shared += 1
-    chain, names = scored[0][0].nodes, scored[0][0].path.split("/")
-    while shared and names[shared - 1] in TEXT_BLOCKS:
-        shared -= 1
-    inside = chain[shared - 1] if shared else None
-    return "\n".join(text for leaf, text in found if inside is None or inside in leaf.nodes or "h1" in leaf.path.split("/"))
+    scores, weights = path_scores(leaves, lists, ratios)
+    sizes = np.array([len(x.text) for x in leaves], dtype=float)
+    plain = np.array([weights[id(x.path)] == 1 for x in leaves])
+    judged = plain if plain.any() else np.ones(len(leaves), dtype=bool)
+    least = STRICT * float((scores * sizes)[judged].sum() / sizes[judged].sum())
+    for i in range(len(leaves) - 1, -1, -1):
+        if leaves[i].path.tag in HEADINGS and i + 1 < len(leaves):
+            after = max((scores[j] / weights[id(leaves[j].path)] if weights[id(leaves[j].path)] else 0.0) * min(1.0, weights[id(leaves[j].path)] / (weights[id(leaves[i].path)] or 1.0)) for j in range(i + 1, min(i + 4, len(leaves))))
+            scores[i] = max(scores[i], after * weights[id(leaves[i].path)])
+    content = (scores >= least) & (scores > 0)
+    if not content.any():
+        content = scores >= scores.max()
+    # Text of each path and of those below it in the same surroundings, and what of it is content.
+    sums: dict[int, list[float]] = {}
+    order: dict[int, Path] = {}
+    for leaf, size, good in zip(leaves, sizes, content, strict=True):
+        p = leaf.path
+        while p is not None and id(p) not in order:
+            order[id(p)] = p
+            p = p.parent
+        s = sums.setdefault(id(leaf.path), [0.0, 0.0])
+        s[0] += size
+        s[1] += size * good
+    for p in sorted(order.values(), key=lambda p: -p.depth):
+        s = sums.setdefault(id(p), [0.0, 0.0])
+        if p.parent is not None and weights[id(p)] == weights[id(p.parent)]:
+            above = sums.setdefault(id(p.parent), [0.0, 0.0])
+            above[0] += s[0]
+            above[1] += s[1]
+    inside: dict[int, bool] = {}
+    for p in sorted(order.values(), key=lambda p: p.depth):
+        s = sums[id(p)]
+        same = p.parent is not None and weights[id(p)] == weights[id(p.parent)]
+        inside[id(p)] = weights[id(p)] > 0 and p.parent is not None and (0 < s[0] * SHARE <= s[1] or (same and inside[id(p.parent)]))
+    return "\n".join(leaf.text for leaf, good in zip(leaves, content, strict=True) if good or inside[id(leaf.path)])
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """Add ``text``, the page's main text, and ``n_chars``, its code points.
 
-    Null and empty pages, and pages without text, give an empty text.  Broken markup is read as far as it goes.  Input
-    columns named ``text`` or ``n_chars`` are replaced.
+    Null and empty pages, and pages without text, give an empty text.  Broken markup is read as far as it goes, in time
+    linear in the page's length.  Input columns named ``text`` or ``n_chars`` are replaced.
     """
 
     def make():
@@ -195,6 +348,7 @@ def extract_text(pages: DataFrame, html_col: str = "html", keep: list[str] | Non
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page: page_id, url, text, n_chars."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.col("html"))
     return extract_text(pages, keep=["page_id", "url"])
 
