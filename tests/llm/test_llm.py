@@ -180,18 +180,6 @@ def test_lm_rare_tokens_are_joined(docs, monkeypatch):
     assert whole == few
 
 
-def test_lm_softmaxes_sum_to_one():
-    import numpy as np
-
-    m = lm_scoring.Model()
-    rng = np.random.default_rng(1)
-    m.w1[:], m.w2[:] = rng.normal(size=m.w1.shape), rng.normal(size=m.w2.shape)
-    feats = lm_scoring.feature_rows(np.array([3, 4, 5]), np.array([True, False, False]))
-    groups = range(lm_scoring.CLASSES * lm_scoring.GROUPS)
-    total = sum(np.exp(m.log_probs(feats, np.full(3, g))) for g in groups)
-    assert np.allclose(total, 1, atol=1e-4)
-
-
 def test_language(docs, empty, spark):
     rng = random.Random(1)
     rows = [(k, " ".join(rng.choice(["the and thing", "with that this"] if k % 2 else ["les des eaux", "pour été où"]) for _ in range(30)), "en" if k % 2 else "fr", "s", 0) for k in range(60)]
