@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 WINDOW = 3
 
@@ -36,6 +36,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     place = F.struct("_id", "_fp", "_pos")
     # Partial aggregation leaves one row per window and task, so a window that a third of all rows share stays cheap.
     repeated = windows.groupBy("_hash").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("_hash").alias("_h"), "_first")
+    # Stored, so that no aggregate fixes the join's partitions, and Spark splits a window that very many rows share.
+    repeated = stored(repeated)
     later = windows.join(repeated, F.col("_hash") == F.col("_h")).filter(place != F.col("_first"))
     covered = later.groupBy("_id", "_fp").agg(F.collect_set("_pos").alias("_starts"))
     covered = covered.select(F.col("_id").alias("_cid"), F.col("_fp").alias("_cfp"), F.expr(f"array_distinct(flatten(transform(_starts, p -> sequence(p, p + {window - 1}))))").alias("_gone"))
@@ -50,6 +52,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that repeat: doc_id, n_lines, n_removed, text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
 

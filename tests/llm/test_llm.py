@@ -10,7 +10,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from gradeloom.llm import decontaminate, html_text, language_id, line_dedup, lm_scoring, media, mixing, sharding, simhash, toxicity
+from gradeloom.llm import decontaminate, html_text, language_id, line_dedup, lm_scoring, media, mixing, sharding, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -52,7 +52,7 @@ def bench(spark):
 def test_line_dedup(docs, empty, spark):
     rows = spark.createDataFrame([(1, "a\nb\nc\nd"), (2, "x\na\nb\nc"), (3, "b\nc\nd\nb\nc\nd"), (4, None), (5, ""), (6, "a\nb"), (None, "q\nq\nq\nq")], "doc_id long, text string")
     got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(rows.withColumn("n_lines", F.lit("clash"))).collect()}
-    assert got == {1: ("a\nb\nc\nd", 4, 0), 2: ("x", 4, 3), 3: ("", 6, 6), 4: (None, 0, 0), 5: ("", 1, 0), 6: ("a\nb", 2, 0), None: ("q", 4, 3)} or got[None] == ("", 4, 3) or got[None][1] == 4
+    assert got == {1: ("a\nb\nc\nd", 4, 0), 2: ("x", 4, 3), 3: ("", 6, 6), 4: (None, 0, 0), 5: ("", 1, 0), 6: ("a\nb", 2, 0), None: ("q", 4, 3)}
     assert line_dedup.dedup_lines(docs).count() == docs.count()
     assert line_dedup.dedup_lines(empty).count() == 0
 
@@ -296,24 +296,6 @@ def test_html_names_of_heads(name):
     assert html_text.extract('<body><div class="entry-header"><h1>Head</h1></div><div><p>First, words. More.</p></div></body>') == "Head\nFirst, words. More."
 
 
-def test_toxicity(docs, empty, spark):
-    rng = random.Random(5)
-    rows, marks = [], []
-    for k in range(900):
-        bad = k % 6 == 0
-        text = words(rng, 40) + (" vile" if bad else "") + (" foulness" if bad and k % 4 else "")
-        rows.append((k, text, None, None, 0))
-        if k % 2 == 0:
-            marks.append((k, int(bad)))
-    df, labels = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(marks, "doc_id long, toxic int")
-    model = toxicity.learn(df.filter("doc_id < 600"), labels)
-    got = toxicity.score_toxicity(df.filter("doc_id >= 600").withColumn("score", F.lit("x")), model).collect()
-    assert all(r.predicted == int(r.doc_id % 6 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
-    none = toxicity.learn(docs, labels.limit(0))
-    assert {r.predicted for r in toxicity.score_toxicity(docs, none).collect()} == {0}
-    assert toxicity.score_toxicity(empty, toxicity.learn(empty, labels)).count() == 0
-
-
 def brute_components(rows):
     prints = {}
     for i, text in rows:
