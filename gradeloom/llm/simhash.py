@@ -17,7 +17,7 @@ SHINGLE, SEED, RADIUS = 3, 42, 2
 BLOCKS = (13, 13, 13, 13, 12)
 #: Fingerprints in one shard tree.  Larger shards are split by the bits that are left.
 TREE_LIMIT = 512
-#: Blocks of the bits left in such a shard: of six, two fingerprints agree in four, so at most 9 bits stay open.
+#: Blocks of the bits left in such a shard: of six, two fingerprints agree in four, so at most 10 bits stay open.
 SPLIT_BLOCKS = 6
 #: Shingles whose bits are counted at a time.
 CHUNK = 1 << 16
@@ -115,7 +115,7 @@ def near_links(nodes: DataFrame) -> DataFrame:
 
     Not all links: as many as connect what is connected.  Each fingerprint stands in ten shards, one for each choice of
     three of its five blocks of bits; any two that are near share one.  A shard of more than ``TREE_LIMIT`` fingerprints
-    is split the same way by the other bits, after which it can't hold more than 512.  Each shard's BK-tree is built and
+    is split the same way by the other bits, after which at most 10 bits are open, so it can't hold more than 1,024.  Each shard's BK-tree is built and
     searched where the shard is.
     """
     masks = _masks()
@@ -171,7 +171,9 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each linked node reaches.
 
     Alternates large-star and small-star rounds until the links are stars around the roots; the number of rounds grows
-    with the logarithm of the longest chain.  A hub's links meet in joins on the hub only, whose partitions Spark splits.
+    with the logarithm of the longest chain.  A hub's links meet in joins on the hub
+    only.  The smallest neighbours are stored before each join, so that no aggregate fixes its partitions and Spark splits
+    those of a hub.
     """
     edges, before = stored(links), None
     while True:
@@ -180,9 +182,9 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = now
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        large = both.join(least, F.col("a") == F.col("k")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
+        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m")))
+        large = stored(both.join(least, F.col("a") == F.col("k")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k"))
         joined = large.join(least, F.col("a") == F.col("k"))
         moved = joined.filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = stored(moved.unionByName(least.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct())
@@ -208,7 +210,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their component; one of the rows that repeat such an id.
 
-    Of rows without an id, one stays for each fingerprint that no row with an id has.
+    Of rows without an id, one stays for each fingerprint that no row with an id has.  Repeats of an id, and nameless rows
+    of one fingerprint, are cut to one in each partition before they are shuffled for the rank.
     """
     found = near_duplicates(docs, id_col, text_col)
     kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
@@ -223,6 +226,7 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component."""
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
