@@ -28,15 +28,29 @@ def text_or_empty(name: str = "text") -> Column:
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: the lineage ends there, and no work runs twice.
 
-    The files go when the session's JVM ends.
+    Spark knows the size of what it reads back, so it broadcasts such a table only below its threshold.  The files go when
+    the session's JVM ends, or before that by ``discard``.
     """
     spark = df.sparkSession
     path = scratch_folder(spark)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, target = _folder(spark, path)
+    fs.deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*stored_tables: DataFrame) -> None:
+    """Delete the files of tables from ``stored`` that nothing will read again."""
+    for df in stored_tables:
+        fs, target = _folder(df.sparkSession, df._stored_at)
+        fs.delete(target, True)
+
+
+def _folder(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
 def annotate(df: DataFrame, inputs: list[str], make: Callable, fields: list[T.StructField], keep: list[str] | None = None) -> DataFrame:
@@ -68,19 +82,24 @@ def annotate(df: DataFrame, inputs: list[str], make: Callable, fields: list[T.St
     return df.mapInArrow(run, schema)
 
 
-def with_running_total(df: DataFrame, group: list[str], size: str, order: list[Column], bucket: Column, out: str) -> DataFrame:
+def bucket_sums(df: DataFrame, group: list[str], size: str, bucket: Column) -> DataFrame:
+    """(group, ``_bucket``, ``_sum``): the sum of ``size`` in each bucket of each group, stored."""
+    return stored(df.groupBy(*group, bucket.alias("_bucket")).agg(F.sum(size).alias("_sum")))
+
+
+def with_running_total(df: DataFrame, group: list[str], size: str, order: list[Column], bucket: Column, out: str, sums: DataFrame | None = None) -> DataFrame:
     """Add ``out``: the sum of ``size`` over the rows before this one in its group.
 
-    Works in two levels, so no task sorts a whole group: totals per (group, bucket) are summed over the buckets, and
-    each bucket is ordered by itself.  ``bucket`` must be the leading part of the order, and coarse enough for the table
-    of buckets to stay small.  ``order`` must end with columns that make it total.
+    Works in two levels, so no task sorts a whole group: the stored sums per (group, bucket) are summed over the buckets,
+    and each bucket is ordered by itself, which shuffles the rows once.  ``bucket`` must be the leading part of the order,
+    and coarse enough for the table of buckets to stay small; Spark broadcasts it only if it is.  ``order`` must end with
+    columns that make it total.  ``sums``: what ``bucket_sums`` has given for the same rows.
     """
+    totals = sums if sums is not None else bucket_sums(df, group, size, bucket)
     df = df.withColumn("_bucket", bucket)
     keys = [*group, "_bucket"]
-    totals = df.groupBy(*keys).agg(F.sum(size).alias("_sum"))
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*keys, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    totals = totals.select(*[F.col(k).alias(f"_t_{k}") for k in keys], "_before")
+    totals = stored(totals.select(*[F.col(k).alias(f"_t_{k}") for k in keys], F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before")))
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("_inside", F.coalesce(F.sum(size).over(inside), F.lit(0)))
     same = [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, stored, table
+from .common import annotate, discard, stored, table
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: A fingerprint's 64 bits in five blocks: two that differ in at most two bits agree in three of them.
@@ -184,10 +184,11 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m")))
         large = stored(both.join(least, F.col("a") == F.col("k")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        least = stored(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k"))
-        joined = large.join(least, F.col("a") == F.col("k"))
-        moved = joined.filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stored(moved.unionByName(least.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct())
+        smallest = stored(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k"))
+        moved = large.join(smallest, F.col("a") == F.col("k")).filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        following = stored(moved.unionByName(smallest.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct())
+        discard(edges, least, large, smallest)
+        edges = following
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
