@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,21 +11,15 @@ from .common import stored, table, with_running_total
 
 #: Values of each metadata dimension, and of the tie-break by md5 of the id.
 CELLS, TIES = 1024, 4096
+SPLIT = "node long,dim int,value int,tie int"
+#: Rows of a table of tree nodes that are broadcast at most: some 10 MB.
+MOST_SENT = 1 << 18
 #: Fixed bytes of a row besides its text (given by the contract).
 ROW_BYTES = 16
 
 
-@dataclass(frozen=True)
-class Split:
-    """Rows of ``node`` below (value, tie) in ``dim`` go to node ``2 node``, the rest to ``2 node + 1``."""
-
-    node: int
-    dim: str
-    value: int
-    tie: int
-
-
 def text_bytes(text_col: str = "text") -> Column:
+    """UTF-8 bytes of the text (null: none) and ROW_BYTES."""
     return (F.coalesce(F.octet_length(text_col), F.lit(0)) + ROW_BYTES).cast("long")
 
 
@@ -42,83 +36,86 @@ def metadata_dims(id_col: str, text_col: str, categories: list[str]) -> dict[str
 
 
 def tie_break(id_col: str) -> Column:
+    """One of TIES cells by md5 of the id; null ids share one."""
     return F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 3), 16, 10).cast("int")
 
 
-def grow_tree(docs: DataFrame, leaves: int, id_col: str, text_col: str, categories: list[str]) -> tuple[list[Split], dict[int, int]]:
-    """Split nodes at weighted medians until there are ``leaves``; returns the splits and the shard of each leaf node.
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a few numbers per tree node.  Up to MOST_SENT rows it is broadcast; beyond that Spark joins it by a shuffle."""
+    names = [f.split()[0] for f in schema.split(",")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    df = spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{schema.replace(' ', ':')}>>".replace(",:", ","))))
+    return F.broadcast(df) if len(rows) <= MOST_SENT else df.hint("shuffle_hash")
+
+
+def walk(df: DataFrame, splits: DataFrame, dims: list[str], levels: int, node: str = "_node") -> DataFrame:
+    """Add ``_node``: where ``levels`` levels of splits (node, dim, value, tie) lead a row from the root, node 1."""
+    # All start at 1; said by a column, so that the first join has a key like the others.
+    df = df.withColumn(node, (F.col("_tie") >= 0).cast("long"))
+    cell = F.element_at(F.array(*[F.col(d) for d in dims]), F.col("_s.dim"))
+    right = ((cell > F.col("_s.value")) | ((cell == F.col("_s.value")) & (F.col("_tie") >= F.col("_s.tie")))).cast("long")
+    for _ in range(levels):
+        kept = [c for c in df.columns if c != node]
+        df = df.join(splits.select(F.struct("node", "dim", "value", "tie").alias("_s")), F.col(node) == F.col("_s.node"), "left")
+        df = df.select(*[F.col(f"`{c}`") for c in kept], F.when(F.col("_s").isNull(), F.col(node)).otherwise(2 * F.col(node) + right).alias(node))
+    return df
+
+
+def grow_tree(docs: DataFrame, leaves: int, id_col: str, text_col: str, categories: list[str]) -> tuple[list[tuple[int, int, int, int]], dict[int, int], int]:
+    """Split nodes at weighted medians until there are ``leaves``.
 
-    A node that is to hold k leaves is cut at floor(k/2)/k of its bytes, along the dimension in which its values spread
-    widest (of the table's whole spread).  The cut is found by two histograms, over the dimension's cells and over the
-    tie-break within one cell; nodes of a level are worked on together.  The driver sees a few rows per node.
+    Returns the splits (node, number of the dimension from 1, value, tie: rows below (value, tie) go to node 2 n, the rest
+    to 2 n + 1), the shard of each leaf, and the number of levels.  A node that is to hold k leaves is cut at floor(k/2)/k
+    of its bytes, along the dimension in which its values spread widest (of the table's whole spread).  The cut is found by
+    two histograms, over the dimension's cells and over the tie-break within one cell; nodes of a level are worked on
+    together.  The driver sees a few numbers per node.
     """
+    spark = docs.sparkSession
     dims = metadata_dims(id_col, text_col, categories)
+    order = list(dims)
     slim = docs.select(*[c.alias(n) for n, c in dims.items()], tie_break(id_col).alias("_tie"), text_bytes(text_col).alias("_bytes"))
     slim = stored(slim.groupBy(*dims, "_tie").agg(F.sum("_bytes").alias("_bytes")))
     spans = slim.agg(*[(F.max(d) - F.min(d)).alias(d) for d in dims]).first()
-    splits: list[Split] = []
-    level, shards = {1: leaves}, {}
-    first = {1: 0}
-    while level:
-        for node, k in [x for x in level.items() if x[1] == 1]:
-            shards[node] = first[node]
-            del level[node]
+    splits: list[tuple[int, int, int, int]] = []
+    level, first, shards, depth = {1: leaves}, {1: 0}, {}, 0
+    while True:
+        shards |= {n: first[n] for n, k in level.items() if k == 1}
+        level = {n: k for n, k in level.items() if k > 1}
         if not level:
-            break
-        rows = at_node(slim, splits).filter(by_node({n: 1 for n in level}) == 1)
+            return splits, shards, depth
+        rows = walk(slim, small_table(spark, splits, SPLIT), order, depth).join(small_table(spark, [(n,) for n in level], "n long"), F.col("_node") == F.col("n"), "left_semi")
         widths = {r["_node"]: r for r in rows.groupBy("_node").agg(*[(F.max(d) - F.min(d)).alias(d) for d in dims], F.sum("_bytes").alias("_bytes")).collect()}
-        dim_of = {n: max(dims, key=lambda d, n=n: (widths[n][d] / (spans[d] or 1), -list(dims).index(d))) if n in widths else "_size" for n in level}
-        goal = {n: widths[n]["_bytes"] * (k // 2) / k if n in widths else 0 for n, k in level.items()}
-        order = list(dims)
-        value_of = F.element_at(F.array(*order), by_node({n: order.index(dim_of[n]) + 1 for n in level}))
-        cells = crossing(rows.groupBy("_node", value_of.alias("_value")).agg(F.sum("_bytes").alias("_bytes")), "_value", by_node({n: float(goal[n]) for n in level}))
+        widest = {n: max(range(len(order)), key=lambda d, n=n: (widths[n][order[d]] / (spans[order[d]] or 1), -d)) + 1 if n in widths else 1 for n in level}
+        goals = {n: widths[n]["_bytes"] * (k // 2) / k if n in widths else 0.0 for n, k in level.items()}
+        wanted = small_table(spark, [(n, widest[n], goals[n]) for n in level], "node long,dim int,goal double")
+        inside = rows.join(wanted, F.col("_node") == F.col("node")).withColumn("_value", F.element_at(F.array(*order), F.col("dim")))
+        cells = crossing(inside.groupBy("_node", "goal", "_value").agg(F.sum("_bytes").alias("_bytes")), "_value")
+        ties = {}
         if cells:
-            inside = rows.filter(value_of == by_node({n: value for n, (value, _) in cells.items()}))
-            ties = crossing(inside.groupBy("_node", "_tie").agg(F.sum("_bytes").alias("_bytes")), "_tie", by_node({n: float(goal[n] - before) for n, (_, before) in cells.items()}), nearest=True)
-        else:
-            ties = {}
+            at = small_table(spark, [(n, widest[n], value, goals[n] - before) for n, (value, before) in cells.items()], "node long,dim int,value int,goal double")
+            within = rows.join(at, F.col("_node") == F.col("node")).filter(F.element_at(F.array(*order), F.col("dim")) == F.col("value"))
+            ties = crossing(within.groupBy("_node", "goal", "_tie").agg(F.sum("_bytes").alias("_bytes")), "_tie", nearest=True)
         following, starts = {}, {}
         for n, k in level.items():
-            value, _ = cells.get(n, (0, 0.0))
-            tie, _ = ties.get(n, (0, 0.0))
-            splits.append(Split(n, dim_of[n], value, tie))
+            splits.append((n, widest[n], cells.get(n, (0, 0.0))[0], ties.get(n, (0, 0.0))[0]))
             following |= {2 * n: k // 2, 2 * n + 1: k - k // 2}
             starts |= {2 * n: first[n], 2 * n + 1: first[n] + k // 2}
-        level, first = following, starts
-    return splits, shards
+        level, first, depth = following, starts, depth + 1
 
 
-def by_node(values: dict[int, int | float]) -> Column:
-    """The value of the row's node, null where it has none; at most one entry per leaf."""
-    return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("_node"))
-
-
-def crossing(counts: DataFrame, value: str, wanted: Column, nearest: bool = False) -> dict[int, tuple[int, float]]:
-    """For each node the ``value`` at which the wanted bytes are reached, and the bytes below it.
+def crossing(counts: DataFrame, value: str, nearest: bool = False) -> dict[int, tuple[int, float]]:
+    """For each node the ``value`` at which its ``goal`` of bytes is reached, and the bytes below it.
 
     That is the last one with no more bytes below it than wanted, or with ``nearest`` the one with the nearest number.
+    A node has at most as many rows here as there are cells.
     """
     below = F.coalesce(F.sum("_bytes").over(Window.partitionBy("_node").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("_below", below).withColumn("_off", F.col("_below") - wanted)
+    ranked = counts.withColumn("_below", below).withColumn("_off", F.col("_below") - F.col("goal"))
     ranked = ranked if nearest else ranked.filter("_off <= 0")
     last = ranked.groupBy("_node").agg(F.min_by(F.struct(value, "_below"), F.struct(F.abs("_off"), value)).alias("_x"))
     return {r["_node"]: (r["_x"][0], float(r["_x"][1])) for r in last.collect()}
 
 
-def at_node(df: DataFrame, splits: list[Split]) -> DataFrame:
-    """Add ``_node``, where the splits lead a row: nested conditions, as many as there are splits."""
-    by_node = {s.node: s for s in splits}
-
-    def below(node: int) -> Column:
-        s = by_node.get(node)
-        if s is None:
-            return F.lit(node)
-        right = (F.col(s.dim) > s.value) | ((F.col(s.dim) == s.value) & (F.col("_tie") >= s.tie))
-        return F.when(right, below(2 * node + 1)).otherwise(below(2 * node))
-
-    return df.withColumn("_node", below(1))
-
-
 def assign_shards(docs: DataFrame, leaves: int | None = None, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text", categories: list[str] | None = None) -> DataFrame:
     """Add ``shard`` (int): the leaf of the k-d tree that holds the row.  Pass ``leaves``, or ``target_bytes`` per leaf.
 
@@ -130,26 +127,32 @@ def assign_shards(docs: DataFrame, leaves: int | None = None, target_bytes: int
     if leaves is None:
         total = docs.agg(F.sum(text_bytes(text_col))).first()[0] or 0
         leaves = max(1, -(-total // max(1, target_bytes)))
-    splits, shards = grow_tree(docs, leaves, id_col, text_col, categories)
-    dims = metadata_dims(id_col, text_col, categories)
-    coded = docs.withColumns({**dims, "_tie": tie_break(id_col)})
-    coded = at_node(coded, splits)
-    return coded.withColumn("shard", by_node(shards).cast("int")).drop(*dims, "_tie", "_node")
+    splits, shards, depth = grow_tree(docs, leaves, id_col, text_col, categories)
+    spark, dims = docs.sparkSession, metadata_dims(id_col, text_col, categories)
+    coded = walk(docs.withColumns({**dims, "_tie": tie_break(id_col)}), small_table(spark, splits, SPLIT), list(dims), depth)
+    named = small_table(spark, list(shards.items()), "leaf long,shard int")
+    return coded.join(named, F.col("_node") == F.col("leaf"), "left").select(*[F.col(f"`{c}`") for c in docs.columns], "shard")
 
 
-def with_slots(sharded: DataFrame, id_col: str = "doc_id", tie: Column | None = None) -> DataFrame:
-    """Add ``slot`` (long): the row's place in its shard, from 0 without gaps, in the order of md5 of the id.
+def with_slots(sharded: DataFrame, id_col: str = "doc_id", tie: Column | None = None, order: list[Column] | None = None) -> DataFrame:
+    """Add ``slot`` (long): the row's place in its shard, from 0 without gaps.
 
-    Rows that repeat an id stand side by side, by ``tie``.
+    The order is that of ``order``, whose first column should have few values for its number of rows, or else of md5 of the
+    id.  Rows that repeat an id stand side by side, by ``tie``.
     """
     sharded = sharded.drop(*[c for c in sharded.columns if c.lower() == "slot"])
+    if order is not None:
+        keys = {f"_o{k}": c for k, c in enumerate(order)}
+        placed = with_running_total(sharded.withColumns({**keys, "_one": F.lit(1)}), ["shard"], "_one", [F.col(k) for k in keys], F.col("_o0"), "slot")
+        return placed.withColumn("slot", F.col("slot").cast("long")).drop("_one", *keys)
     hashed = sharded.withColumn("_one", F.lit(1)).withColumn("_hash", F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")))
-    order = [F.col("_hash"), F.col(id_col), *([tie] if tie is not None else [])]
-    placed = with_running_total(hashed, ["shard"], "_one", order, F.substring("_hash", 1, 3), "slot")
+    ordered = [F.col("_hash"), F.col(id_col), *([tie] if tie is not None else [])]
+    placed = with_running_total(hashed, ["shard"], "_one", ordered, F.substring("_hash", 1, 3), "slot")
     return placed.withColumn("slot", F.col("slot").cast("long")).drop("_one", "_hash")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of 40 and its slot, by the law ``bytes``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     sharded = assign_shards(docs, leaves=40, categories=["source", "lang"])
     slim = sharded.select("doc_id", text_bytes().alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), "shard")
