@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.llm import decontaminate, language_id, mixing, sharding, simhash
-from gradeloom.llm.common import stored, table
+from gradeloom.llm.common import discard, stored, table
 
 SHARDS = 40
 
@@ -32,14 +33,28 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each source up to its target, in training order; a document taken twice stands there twice."""
+    """Takes each source up to its target, range-sorted by training position; a document taken twice stands there twice.
+
+    The document at which a source's target ends is given up to the last word taken.
+    """
     return mixing.mix_sources(docs).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds ``shard`` and ``slot``."""
-    sharded = sharding.assign_shards(docs, leaves=SHARDS, categories=["source", "lang"])
-    return sharding.with_slots(sharded, tie=F.col("text"))
+    """Adds ``shard`` and ``slot``.  Slots follow the order in which the rows are stored, which is that of training."""
+    sharded = sharding.assign_shards(docs.withColumns(stored_order(docs)), leaves=SHARDS, categories=["source", "lang"])
+    order = [F.col(c) for c in sharded.columns if c in ("_file", "_at")]
+    placed = sharding.with_slots(sharded, tie=F.col("text"), order=order or None)
+    return placed.select(*docs.columns, "shard", "slot")
+
+
+def stored_order(docs: DataFrame) -> dict[str, Column]:
+    """File and place in it of each row of a table read from files; nothing for other tables."""
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index")
+    except AnalysisException:
+        return {}
+    return {"_file": F.col("_metadata.file_name"), "_at": F.col("_metadata.row_index")}
 
 
 STAGES = [
@@ -54,8 +69,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages over ``documents``; each stage's table is deleted once the next one is stored."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        docs = stored(docs) if k < len(STAGES) - 1 else docs
+        if k < len(STAGES) - 1:
+            docs = stored(docs)
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
