@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table, with_running_total
+from .common import discard, stored, table, with_running_total
 
 #: Values of each metadata dimension, and of the tie-break by md5 of the id.
 CELLS, TIES = 1024, 4096
@@ -48,17 +48,18 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return F.broadcast(df) if len(rows) <= MOST_SENT else df.hint("shuffle_hash")
 
 
-def walk(df: DataFrame, splits: DataFrame, dims: list[str], levels: int, node: str = "_node") -> DataFrame:
-    """Add ``_node``: where ``levels`` levels of splits (node, dim, value, tie) lead a row from the root, node 1."""
-    # All start at 1; said by a column, so that the first join has a key like the others.
-    df = df.withColumn(node, (F.col("_tie") >= 0).cast("long"))
+def step(df: DataFrame, splits: DataFrame, dims: list[str]) -> DataFrame:
+    """Follow one level of splits (node, dim, value, tie) from the row's ``_node``; rows of other nodes stay where they are."""
     cell = F.element_at(F.array(*[F.col(d) for d in dims]), F.col("_s.dim"))
     right = ((cell > F.col("_s.value")) | ((cell == F.col("_s.value")) & (F.col("_tie") >= F.col("_s.tie")))).cast("long")
-    for _ in range(levels):
-        kept = [c for c in df.columns if c != node]
-        df = df.join(splits.select(F.struct("node", "dim", "value", "tie").alias("_s")), F.col(node) == F.col("_s.node"), "left")
-        df = df.select(*[F.col(f"`{c}`") for c in kept], F.when(F.col("_s").isNull(), F.col(node)).otherwise(2 * F.col(node) + right).alias(node))
-    return df
+    kept = [F.col(f"`{c}`") for c in df.columns if c != "_node"]
+    df = df.join(splits.select(F.struct("node", "dim", "value", "tie").alias("_s")), F.col("_node") == F.col("_s.node"), "left")
+    return df.select(*kept, F.when(F.col("_s").isNull(), F.col("_node")).otherwise(2 * F.col("_node") + right).alias("_node"))
+
+
+def at_root() -> Column:
+    """Node 1; said by a column, so that the first join has a key like the others."""
+    return (F.col("_tie") >= 0).cast("long")
 
 
 def grow_tree(docs: DataFrame, leaves: int, id_col: str, text_col: str, categories: list[str]) -> tuple[list[tuple[int, int, int, int]], dict[int, int], int]:
@@ -74,16 +75,16 @@ def grow_tree(docs: DataFrame, leaves: int, id_col: str, text_col: str, categori
     dims = metadata_dims(id_col, text_col, categories)
     order = list(dims)
     slim = docs.select(*[c.alias(n) for n, c in dims.items()], tie_break(id_col).alias("_tie"), text_bytes(text_col).alias("_bytes"))
-    slim = stored(slim.groupBy(*dims, "_tie").agg(F.sum("_bytes").alias("_bytes")))
-    spans = slim.agg(*[(F.max(d) - F.min(d)).alias(d) for d in dims]).first()
+    rows = stored(slim.groupBy(*dims, "_tie").agg(F.sum("_bytes").alias("_bytes")).withColumn("_node", at_root()))
+    spans = rows.agg(*[(F.max(d) - F.min(d)).alias(d) for d in dims]).first()
     splits: list[tuple[int, int, int, int]] = []
     level, first, shards, depth = {1: leaves}, {1: 0}, {}, 0
     while True:
         shards |= {n: first[n] for n, k in level.items() if k == 1}
         level = {n: k for n, k in level.items() if k > 1}
         if not level:
+            discard(rows)
             return splits, shards, depth
-        rows = walk(slim, small_table(spark, splits, SPLIT), order, depth).join(small_table(spark, [(n,) for n in level], "n long"), F.col("_node") == F.col("n"), "left_semi")
         widths = {r["_node"]: r for r in rows.groupBy("_node").agg(*[(F.max(d) - F.min(d)).alias(d) for d in dims], F.sum("_bytes").alias("_bytes")).collect()}
         widest = {n: max(range(len(order)), key=lambda d, n=n: (widths[n][order[d]] / (spans[order[d]] or 1), -d)) + 1 if n in widths else 1 for n in level}
         goals = {n: widths[n]["_bytes"] * (k // 2) / k if n in widths else 0.0 for n, k in level.items()}
@@ -95,12 +96,16 @@ def grow_tree(docs: DataFrame, leaves: int, id_col: str, text_col: str, categori
             at = small_table(spark, [(n, widest[n], value, goals[n] - before) for n, (value, before) in cells.items()], "node long,dim int,value int,goal double")
             within = rows.join(at, F.col("_node") == F.col("node")).filter(F.element_at(F.array(*order), F.col("dim")) == F.col("value"))
             ties = crossing(within.groupBy("_node", "goal", "_tie").agg(F.sum("_bytes").alias("_bytes")), "_tie", nearest=True)
-        following, starts = {}, {}
+        following, starts, found = {}, {}, []
         for n, k in level.items():
-            splits.append((n, widest[n], cells.get(n, (0, 0.0))[0], ties.get(n, (0, 0.0))[0]))
+            found.append((n, widest[n], cells.get(n, (0, 0.0))[0], ties.get(n, (0, 0.0))[0]))
             following |= {2 * n: k // 2, 2 * n + 1: k - k // 2}
             starts |= {2 * n: first[n], 2 * n + 1: first[n] + k // 2}
-        level, first, depth = following, starts, depth + 1
+        splits += found
+        moved, open_nodes = step(rows, small_table(spark, found, SPLIT), order), [(n,) for n, k in following.items() if k > 1]
+        moved = stored(moved.join(small_table(spark, open_nodes, "n long"), F.col("_node") == F.col("n"), "left_semi"))
+        discard(rows)
+        rows, level, first, depth = moved, following, starts, depth + 1
 
 
 def crossing(counts: DataFrame, value: str, nearest: bool = False) -> dict[int, tuple[int, float]]:
@@ -129,7 +134,10 @@ def assign_shards(docs: DataFrame, leaves: int | None = None, target_bytes: int
         leaves = max(1, -(-total // max(1, target_bytes)))
     splits, shards, depth = grow_tree(docs, leaves, id_col, text_col, categories)
     spark, dims = docs.sparkSession, metadata_dims(id_col, text_col, categories)
-    coded = walk(docs.withColumns({**dims, "_tie": tie_break(id_col)}), small_table(spark, splits, SPLIT), list(dims), depth)
+    coded = docs.withColumns({**dims, "_tie": tie_break(id_col)}).withColumn("_node", at_root())
+    for k in range(depth):
+        # Nodes of level k have k + 1 binary digits.
+        coded = step(coded, small_table(spark, [s for s in splits if s[0].bit_length() == k + 1], SPLIT), list(dims))
     named = small_table(spark, list(shards.items()), "leaf long,shard int")
     return coded.join(named, F.col("_node") == F.col("leaf"), "left").select(*[F.col(f"`{c}`") for c in docs.columns], "shard")
 
