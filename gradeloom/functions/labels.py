@@ -20,6 +20,7 @@ ACCENT_GOLD = {"ACCENT_INVARIANT": "TRUE", "ACCENT_TEST": "FALSE"}
 POSITIVE_LABELS = ["TRUE", "CONSISTENT", "PLAUSIBLE", "SUPPORTED", "ENTAILMENT"]
 UNPARSEABLE = "UNPARSEABLE"
 BLANKS = " \t\n\r\f\x0b"
+# The phrases and verbs by which the keyword rules read an answer.
 NEUTRAL_PHRASES = [
     "does not contain information that would entail or contradict",
     "does not contain any information that would contradict or entail",
@@ -125,10 +126,11 @@ def resolve_prediction(raw: Column, pred: Column, task: str) -> Column:
 
 
 def strip_icl_prefix(c: Column) -> Column:
-    """What stands between the first ``Target Hypothesis:`` and the next line ``Answer:``; the whole text without the mark."""
-    after = F.substring_index(c, "Target Hypothesis:", 1)
-    rest = F.substr(c, F.length(after) + len("Target Hypothesis:") + 1)
-    return F.when(c.contains("Target Hypothesis:"), strip(F.substring_index(rest, "\nAnswer:", 1))).otherwise(strip(c))
+    """What stands between the first ``Target Hypothesis:`` and the next line ``Answer:``; the whole text if either is missing; null gives ''."""
+    c = F.coalesce(c, F.lit(""))
+    rest = F.substr(c, F.instr(c, "Target Hypothesis:") + len("Target Hypothesis:"))
+    marked = c.contains("Target Hypothesis:") & rest.contains("\nAnswer:")
+    return strip(F.when(marked, F.substring_index(rest, "\nAnswer:", 1)).otherwise(c))
 
 
 def assistant_tail(c: Column) -> Column:

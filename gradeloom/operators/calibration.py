@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from .keys import join_on
+from .metrics import from_confusion
+from .partitions import in_order
 
 EDGE = 1e-6
 
@@ -38,7 +41,7 @@ def scored_rows(df: DataFrame, keys: list[str], scores: str = "scores", order: s
     named = named if order else named.withColumn("_order", -F.size("_set"))
     runs = named.groupBy(*keys).agg(F.min(F.struct("_order", "_set")).alias("_first")).select(*keys, F.col("_first._set").alias("_labels"))
     scored = F.map_keys(F.map_filter(scores, lambda k, v: v.isNotNull()))
-    rows = full.withColumn("_scored", scored).join(runs, keys).filter(F.size(F.array_except("_labels", "_scored")) == 0).drop("_scored")
+    rows = join_on(full.withColumn("_scored", scored), runs, keys, "inner").filter(F.size(F.array_except("_labels", "_scored")) == 0).drop("_scored")
     best = ranked_scores(F.map_filter(F.col(scores), lambda k, v: F.array_contains("_labels", k)))
     rows = rows.withColumn("_r", best).withColumn("positive", positive_label(F.col("_labels")))
     return rows.withColumns({"pred": F.col("_r")[0]["label"], "margin": F.col("_r")[0]["score"] - F.try_element_at("_r", F.lit(2))["score"], "score": F.try_element_at(F.col(scores), F.col("positive"))}).drop("_r")
@@ -49,24 +52,19 @@ def score_counts(df: DataFrame, keys: list[str], score: str = "score", is_pos: s
     return df.groupBy(*keys, score).agg(F.count_if(is_pos).alias("n_pos"), F.count_if(~F.col(is_pos)).alias("n_neg"))
 
 
-def _below(keys: list[str], score: str):
-    return Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+def auroc(counts: DataFrame, keys: list[str], score: str = "score", buckets: int | None = None) -> DataFrame:
+    """(pairs won + half the ties) / pairs; null if a class is empty.  ``buckets``: see ``in_order``, for runs of very many scores."""
+    ranked = in_order(counts, keys, score, ["n_pos", "n_neg"], buckets)
+    # As doubles: the products of two counts pass the range of whole numbers.
+    won = F.sum(F.col("n_pos").cast("double") * (2.0 * F.col("n_neg_before") + F.col("n_neg")))
+    pairs = F.sum("n_pos").cast("double") * F.sum("n_neg").cast("double")
+    return ranked.groupBy(*keys).agg(F.when(pairs > 0, won / (2 * pairs)).alias("auroc"))
 
 
-def auroc(counts: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
-    """(pairs won + half the ties) / pairs; null if a class is empty."""
-    ranked = counts.withColumn("_b", F.coalesce(F.sum("n_neg").over(_below(keys, score)), F.lit(0)))
-    pairs = F.sum("n_pos") * F.sum("n_neg")
-    return ranked.groupBy(*keys).agg(F.when(pairs > 0, F.sum(F.col("n_pos") * (2 * F.col("_b") + F.col("n_neg"))) / (2 * pairs)).alias("auroc"))
-
-
-def thresholds(counts: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
+def thresholds(counts: DataFrame, keys: list[str], score: str = "score", buckets: int | None = None) -> DataFrame:
     """Candidates: just below the least score, halfway between neighbours, just above the largest; with the counts at or above."""
-    w = Window.partitionBy(*keys).orderBy(score)
-    rows = counts.withColumns({"_prev": F.lag(score).over(w), "_next": F.lead(score).over(w), "_pb": F.coalesce(F.sum("n_pos").over(_below(keys, score)), F.lit(0)), "_nb": F.coalesce(F.sum("n_neg").over(_below(keys, score)), F.lit(0))})
-    whole = Window.partitionBy(*keys)
-    rows = rows.withColumns({"P": F.sum("n_pos").over(whole), "N": F.sum("n_neg").over(whole)})
-    here = F.struct(F.when(F.col("_prev").isNull(), F.col(score) - EDGE).otherwise((F.col("_prev") + F.col(score)) / 2).alias("t"), (F.col("P") - F.col("_pb")).alias("tp"), (F.col("N") - F.col("_nb")).alias("fp"))
+    rows = in_order(counts, keys, score, ["n_pos", "n_neg"], buckets).withColumnsRenamed({"n_pos_all": "P", "n_neg_all": "N"})
+    here = F.struct(F.when(F.col("_prev").isNull(), F.col(score) - EDGE).otherwise((F.col("_prev") + F.col(score)) / 2).alias("t"), (F.col("P") - F.col("n_pos_before")).alias("tp"), (F.col("N") - F.col("n_neg_before")).alias("fp"))
     above = F.struct((F.col(score) + EDGE).alias("t"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"))
     return rows.select(*keys, "P", "N", F.explode(F.when(F.col("_next").isNull(), F.array(here, above)).otherwise(F.array(here))).alias("c")).select(*keys, "P", "N", "c.t", "c.tp", "c.fp")
 
@@ -102,20 +100,35 @@ def mean_margins(df: DataFrame, keys: list[str], margin: str = "margin", correct
 
 
 def audit(df: DataFrame, keys: list[str], scores: str = "scores") -> DataFrame:
-    """One row per run with all of the above; threshold figures for runs of two labels only."""
-    rows = scored_rows(df, keys, scores).withColumns({"is_pos": F.upper("gold") == F.col("positive"), "correct": F.upper("gold") == F.col("pred"), "_two": F.size("_labels") == 2})
+    """One row per run with all of the above; threshold figures for runs of two labels only.
+
+    Rows without a score for each of the run's labels, or with a gold label that isn't one of them, are left out and
+    counted in ``n_skipped``.  The baseline is the label of the best score.
+    """
+    rows = scored_rows(df, keys, scores).withColumn("gold", F.upper("gold")).filter(F.array_contains("_labels", F.col("gold")))
+    rows = rows.withColumns({"is_pos": F.col("gold") == F.col("positive"), "correct": F.col("gold") == F.col("pred"), "_two": F.size("_labels") == 2})
     two = rows.filter("_two")
     counts = score_counts(two, keys)
-    base = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("correct").cast("double")).alias("baseline_accuracy"), F.when(F.max(F.size("_labels")) == 2, "binary").otherwise("multiclass").alias("type"))
-    out = base.join(mean_margins(rows, keys), keys, "left").join(auroc(counts, keys), keys, "left").join(d_prime(two, keys), keys, "left")
+    # The run's labels that no row shows count with an F1 of 0.
+    base = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("correct").cast("double")).alias("baseline_accuracy"), F.max(F.size("_labels")).alias("_k"))
+    confused = rows.groupBy(*keys, "gold", "pred").agg(F.count(F.lit(1)).alias("n"))
+    seen = confused.select(*keys, F.explode(F.array("gold", "pred")).alias("_x")).groupBy(*keys).agg(F.count_distinct("_x").alias("_seen"))
+    f1 = from_confusion(confused, keys, None).select(*keys, F.col("F1_macro").alias("_f1"))
+    sides = two.groupBy(*keys).agg(*[(F.count_if(side & F.col("correct")) / F.nullif(F.count_if(side), F.lit(0))).alias(n) for n, side in (("_tpr", F.col("is_pos")), ("_tnr", ~F.col("is_pos")))])
+    balanced = sides.select(*keys, ((F.coalesce("_tpr", F.lit(0.0)) + F.coalesce("_tnr", F.lit(0.0))) / 2).alias("baseline_balanced_accuracy"))
+    whole = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
+    out = base
+    for part in (whole, seen, f1, balanced, mean_margins(rows, keys), auroc(counts, keys), d_prime(two, keys)):
+        out = join_on(out, part, keys)
+    out = out.withColumns({"n_skipped": F.col("_all") - F.col("n"), "baseline_macro_f1": F.col("_f1") * F.col("_seen") / F.col("_k"), "type": F.when(F.col("_k") == 2, "binary").otherwise("multiclass")}).drop("_all", "_seen", "_f1", "_k")
     best = best_threshold(counts, keys)
     best = best.select(*keys, *[F.col(c).alias(f"threshold_best_{c}") for c in best.columns if c not in keys])
-    kept = selective(rows, keys)
+    kept = selective(two, keys)
     kept = kept.select(*keys, *[F.col(c).alias(f"margin_selective_{c}") for c in kept.columns if c not in keys])
-    return out.join(best, keys, "left").join(kept, keys, "left")
+    return join_on(join_on(out, best, keys), kept, keys)
 
 
 def calibration_gain(audited: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean of (best threshold - argmax) accuracy over the binary runs."""
-    gain = F.avg(F.when(F.col("type") == "binary", F.col("threshold_best_accuracy") - F.col("baseline_accuracy"))).alias("accuracy_gain")
-    return audited.groupBy(*keys).agg(gain) if keys else audited.agg(gain)
+    """Mean of (best threshold - argmax) accuracy and macro-F1 over the binary runs."""
+    gains = [F.avg(F.when(F.col("type") == "binary", F.col(f"threshold_best_{c}") - F.col(f"baseline_{c}"))).alias(f"{c}_gain") for c in ("accuracy", "macro_f1")]
+    return audited.groupBy(*keys).agg(*gains) if keys else audited.agg(*gains)

@@ -25,11 +25,16 @@ def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def join_transcripts(df: DataFrame, asr: DataFrame, order: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Add ``transcript`` of the last non-empty ASR row of the stripped file name; without one, ``error`` says so."""
+    """Add ``transcript`` of the last non-empty ASR row of the stripped file name; without one, ``error`` says so.
+
+    An error that a row already has stays, and a prediction made without a transcript goes.
+    """
     texts = asr.withColumn("_name", L.strip(F.col("file_name"))).filter(L.strip(F.col("asr_text")) != "")
     texts = last_by(texts, ["_name", *keys], "asr_text", order).withColumnRenamed("asr_text", "transcript")
     joined = df.withColumn("_name", L.strip(F.col("file_name"))).join(texts, ["_name", *keys], "left").drop("_name")
-    return joined.withColumn("error", F.when(F.col("transcript").isNull(), F.lit("ASR transcript not found for file_name")))
+    lost = F.when(F.col("transcript").isNull(), F.lit("ASR transcript not found for file_name"))
+    out = joined.withColumn("error", F.coalesce("error", lost) if "error" in df.columns else lost)
+    return out.withColumn("pred", F.when(F.col("transcript").isNotNull(), F.col("pred"))) if "pred" in df.columns else out
 
 
 def not_done(df: DataFrame, done: DataFrame, key: str = "item_id") -> DataFrame:
@@ -49,6 +54,11 @@ def repair_report(repaired: DataFrame) -> DataFrame:
     return repaired.agg(F.count_if("matched").alias("matched"), F.count_if(~F.col("matched")).alias("unmatched"))
 
 
+def unmatched_samples(repaired: DataFrame, order: str, n: int = 5, length: int = 80) -> DataFrame:
+    """The first ``n`` hypotheses without a match, in a stated order, cut to ``length`` characters: a report."""
+    return repaired.filter(~F.col("matched")).orderBy(order).limit(n).select(order, F.substring(L.strip(F.col("hypothesis")), 1, length).alias("sample"))
+
+
 def join_difficulty(df: DataFrame, mapping: DataFrame, order: str) -> DataFrame:
     """Difficulty by item id, else by file name and hypothesis, else by hypothesis alone (first row), else ``unknown``.
 

@@ -41,12 +41,13 @@ def hypothesis_list(output: Column, task: str, order: list[str] | None = None) -
 
 
 def explode_hypotheses(df: DataFrame, task: str, output: str = "output", file_name: str = "file_name", order: list[str] | None = None, row_id: str | None = None) -> DataFrame:
-    """One row per hypothesis with ``item_id`` ({stem}__hyp_{position over all keys}); ``row_id`` names clips without a file.
+    """One row per hypothesis with ``item_id`` ({stem}__hyp_{position over all keys}); ``row_id`` names clips without a
+    file; without it such a clip is an error.
 
     The outer explode keeps Spark from testing the list's size before it, which would parse and build every list twice.
     """
     listed = df.withColumn("_h", hypothesis_list(F.col(output), task, order))
-    name = F.coalesce(F.nullif(L.stem(L.strip(F.col(file_name))), F.lit("")), F.concat(F.lit("row"), F.col(row_id).cast("string")) if row_id else F.lit("row"))
+    name = F.coalesce(F.nullif(L.stem(L.strip(F.col(file_name))), F.lit("")), F.concat(F.lit("row"), F.col(row_id).cast("string")) if row_id else F.raise_error(F.lit("a clip has no file name: pass row_id, or item ids would clash")))
     rows = listed.select(*[c for c in df.columns if c != output], name.alias("_stem"), F.posexplode_outer("_h").alias("pos", "_x"))
     return rows.filter("pos is not null").select(*[c for c in df.columns if c != output], F.concat("_stem", F.lit("__hyp_"), "pos").alias("item_id"), "pos", "_x.hypothesis", "_x.gold", "_x.difficulty")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from .keys import join_on
 
 OTHER = "__other__"
 
@@ -88,7 +89,7 @@ def pooled(df: DataFrame, levels: list[list[str]], labels: list[str], unparseabl
         one = from_confusion(rolled, level, labels, absent=0.0)
         share = counts.groupBy(*level).agg(F.sum(F.when(F.col("_u"), F.col("n")).otherwise(0)).alias("_bad"), F.sum("n").alias("_all"), F.sum(F.when(F.col("gold") == F.col("pred"), F.col("n")).otherwise(0)).alias("_ok"))
         share = share.select(*level, (F.col("_bad") / F.col("_all")).alias("unparseable_rate"), _ratio(F.col("_ok"), F.col("_all") - F.col("_bad"), None).alias("parseable_ACC"))
-        one = one.join(share, level) if level else one.crossJoin(share)
+        one = join_on(one, share, level)
         one = one.withColumn("level", F.lit("/".join(level)))
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     return out
@@ -102,7 +103,7 @@ def comprehensive(df: DataFrame) -> DataFrame:
     counts = confusion(rows, ["model", "difficulty"])
     base = from_confusion(counts, ["model", "difficulty"], None)
     accs = from_confusion(counts, ["model", "difficulty"], words, absent=0.0).select("model", "difficulty", "EACC", "NACC", "CACC", "ACC_UNPARSEABLE")
-    return base.join(accs, ["model", "difficulty"])
+    return join_on(base, accs, ["model", "difficulty"])
 
 
 def summary(table: DataFrame, by: str, columns: list[str]) -> DataFrame:

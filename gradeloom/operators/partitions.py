@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .keys import join_on
+
 
 def prefix_by_partition(df: DataFrame, order: str, values: list[str], buckets: int = 256) -> DataFrame:
     """Add ``{value}_before``: the sum over all rows of smaller ``order`` (distinct, numeric).
@@ -24,3 +26,27 @@ def prefix_by_partition(df: DataFrame, order: str, values: list[str], buckets: i
     joined = placed.join(F.broadcast(offsets), "_b")
     out = joined.withColumns({f"{v}_before": F.coalesce(F.sum(v).over(inside), F.lit(0)) + F.col(f"_o_{v}") for v in values})
     return out.drop("_b", *[f"_o_{v}" for v in values])
+
+
+def in_order(df: DataFrame, keys: list[str], order: str, values: list[str], buckets: int | None = None) -> DataFrame:
+    """Over the rows of each group by ``order`` (distinct numbers): ``{value}_before`` and ``{value}_all``, ``_prev`` and ``_next``.
+
+    Without ``buckets`` a group is ordered by one task, which suits many runs.  With them a group's range is cut into so
+    many equal widths, each ordered by itself and shifted by the totals before it, so no task orders a whole run.
+    """
+    whole = Window.partitionBy(*keys)
+    if buckets is None:
+        w = whole.orderBy(order)
+        before = w.rowsBetween(Window.unboundedPreceding, -1)
+        sums = {f"{v}_before": F.coalesce(F.sum(v).over(before), F.lit(0)) for v in values} | {f"{v}_all": F.sum(v).over(whole) for v in values}
+        return df.withColumns({**sums, "_prev": F.lag(order).over(w), "_next": F.lead(order).over(w)})
+    ends = df.groupBy(*keys).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"), *[F.sum(v).alias(f"{v}_all") for v in values])
+    part = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(buckets - 1), F.floor((F.col(order) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets))).otherwise(0)
+    cut = join_on(df, ends, keys).withColumn("_b", part.cast("int")).drop("_lo", "_hi")
+    w = whole.orderBy("_b")
+    sums = cut.groupBy(*keys, "_b").agg(F.min(order).alias("_first"), F.max(order).alias("_last"), *[F.sum(v).alias(f"_s_{v}") for v in values])
+    shifts = sums.select(*keys, "_b", F.lag("_last").over(w).alias("_p"), F.lead("_first").over(w).alias("_n"), *[F.coalesce(F.sum(f"_s_{v}").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"_o_{v}") for v in values])
+    inside = Window.partitionBy(*keys, "_b").orderBy(order)
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    out = join_on(cut, shifts, [*keys, "_b"]).withColumns({**{f"{v}_before": F.coalesce(F.sum(v).over(before), F.lit(0)) + F.col(f"_o_{v}") for v in values}, "_prev": F.coalesce(F.lag(order).over(inside), F.col("_p")), "_next": F.coalesce(F.lead(order).over(inside), F.col("_n"))})
+    return out.drop("_b", "_p", "_n", *[f"_o_{v}" for v in values])

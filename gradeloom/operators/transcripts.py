@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,18 +12,20 @@ from pyspark.sql import types as T
 
 
 def word_edits(reference: Column, heard: Column) -> Column:
-    """Word-level edit distance (Spark's own counts characters)."""
+    """Word-level edit distance (Spark's own counts characters): one numpy row for each word of the reference."""
 
     @F.pandas_udf(T.LongType())
     def edits(a: pd.Series, b: pd.Series) -> pd.Series:
         def one(x: str | None, y: str | None) -> int:
             x, y = (x or "").lower().split(), (y or "").lower().split()
-            row = list(range(len(y) + 1))
+            number = {w: k for k, w in enumerate(dict.fromkeys([*x, *y]))}
+            heard, at = np.array([number[w] for w in y], dtype=np.int64), np.arange(len(y) + 1)
+            row = at.copy()
             for i, w in enumerate(x, 1):
-                last, row[0] = row[0], i
-                for j, v in enumerate(y, 1):
-                    last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (w != v))
-            return row[-1]
+                new = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (heard != number[w]))])
+                # Insertions run to the right: the least value so far, plus the steps from there.
+                row = np.minimum.accumulate(new - at) + at
+            return int(row[-1])
 
         return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
 

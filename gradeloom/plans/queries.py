@@ -6,7 +6,6 @@ engines read alike.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,7 +78,7 @@ def metrics_sql(rows: str, keys: list[str], labels: list[str] | None, classes: b
     spec = f"SELECT DISTINCT {ks}, unnest([{', '.join(repr(x) for x in labels)}]) AS label FROM c" if labels else f"SELECT {ks}, gold AS label FROM c UNION SELECT {ks}, pred FROM c"
     same = " AND ".join(f"c.{k} = s.{k}" for k in keys)
     named = {"ENTAILMENT": "EACC", "NEUTRAL": "NACC", "CONTRADICTION": "CACC"}
-    accs = "".join(f", round(max(CASE WHEN label = '{x}' AND sup > 0 THEN tp / sup END), 6) AS {named[x]}" for x in labels) if labels and classes else ""
+    accs = "".join(f", round(max(CASE WHEN label = '{x}' AND sup > 0 THEN tp / sup END), 6) AS {named[x.upper()]}" for x in labels) if labels and classes else ""
     return f"""
 WITH r AS ({rows}), c AS (SELECT {ks}, gold, pred, count(*) AS n FROM r GROUP BY ALL), s AS ({spec}),
 k AS (SELECT s.*, sum(CASE WHEN gold = label AND pred = label THEN n ELSE 0 END) AS tp, sum(CASE WHEN gold = label THEN n ELSE 0 END) AS sup, sum(CASE WHEN pred = label THEN n ELSE 0 END) AS prd
@@ -120,29 +119,35 @@ def metrics_comprehensive(spark, sf_dir):
     return rounded(M.comprehensive(parsed(spark, sf_dir)), *FIGURES, "EACC", "CACC", "NACC", "ACC_UNPARSEABLE")
 
 
-def _pooled_level(level: str) -> str:
-    keys = level.split("/")
-    nulls = "".join(f", CAST(NULL AS VARCHAR) AS {k}" for k in ("dataset",) if k not in keys) + ("" if "shot" in keys else ", CAST(NULL AS INTEGER) AS shot")
-    return f"""SELECT '{level}' AS level, {', '.join(keys)}{nulls}, count(*) AS "N", round(avg(CAST(gold = pred AS INTEGER)), 6) AS "ACC",
-      round(avg(CAST(pred = 'unparseable' AS INTEGER)), 6) AS unparseable_rate, round(avg(CASE WHEN pred <> 'unparseable' THEN CAST(gold = pred AS INTEGER) END), 6) AS "parseable_ACC" FROM r GROUP BY ALL"""
+POOLED = f"(SELECT variant, shot, dataset, lower(gold) AS gold, lower(CASE WHEN upper(coalesce(pred_raw, '')) LIKE '%ENTAILMENT%' THEN 'ENTAILMENT' ELSE {BOUNDARY} END) AS pred FROM {{preds}})"
 
 
-@query("WITH r AS (SELECT variant, shot, dataset, lower(gold) AS gold, " + f"lower(CASE WHEN upper(coalesce(pred_raw, '')) LIKE '%ENTAILMENT%' THEN 'ENTAILMENT' ELSE {BOUNDARY} END)" + " AS pred FROM {preds}) " + " UNION ALL BY NAME ".join(_pooled_level(x) for x in ("variant/shot/dataset", "variant/shot", "variant")))
+def _pooled_level(keys: list[str]) -> str:
+    nulls = "".join(f", CAST(NULL AS {t}) AS {k}" for k, t in (("dataset", "VARCHAR"), ("shot", "INTEGER")) if k not in keys)
+    shares = f"""SELECT {', '.join(keys)}, round(avg(CAST(pred = 'unparseable' AS INTEGER)), 6) AS unparseable_rate, round(avg(CASE WHEN pred <> 'unparseable' THEN CAST(gold = pred AS INTEGER) END), 6) AS "parseable_ACC" FROM {POOLED} GROUP BY ALL"""
+    return f"SELECT '{'/'.join(keys)}' AS level{nulls}, * FROM ({metrics_sql(f'SELECT * FROM {POOLED}', keys, [x.lower() for x in NLI])}) JOIN ({shares}) USING ({', '.join(keys)})"
+
+
+@query(" UNION ALL BY NAME ".join(_pooled_level(x) for x in (["variant", "shot", "dataset"], ["variant", "shot"], ["variant"])))
 def metrics_pooled(spark, sf_dir):
     df = parsed(spark, sf_dir, "ordered").withColumn("gold", F.lower("gold"))
     out = M.pooled(df, [["variant", "shot", "dataset"], ["variant", "shot"], ["variant"]], [x.lower() for x in NLI])
-    return rounded(out.select("level", "variant", "shot", "dataset", "N", "ACC", "unparseable_rate", "parseable_ACC"), "ACC", "unparseable_rate", "parseable_ACC")
+    return rounded(out, *FIGURES, "EACC", "NACC", "CACC", "unparseable_rate", "parseable_ACC")
 
 
 TASKED = "SELECT *, CASE WHEN l_partkey % 2 = 0 THEN 'nli' ELSE 'open' END AS task, " + BOUNDARY + " AS pred FROM {preds}"
 
 
+TASK_ACCS = f"SELECT task, model, string_agg(concat(gold, '=', printf('%.4f', a)), ',' ORDER BY gold) AS class_acc FROM (SELECT task, model, gold, avg(CAST(gold = pred AS INTEGER)) AS a FROM ({TASKED}) GROUP BY ALL) GROUP BY ALL"
+
+
 @query(
-    metrics_sql(f"SELECT * FROM ({TASKED}) WHERE task = 'nli'", ["task", "model"], NLI, classes=False) + " UNION ALL BY NAME SELECT * FROM (" + metrics_sql(f"SELECT * FROM ({TASKED}) WHERE task = 'open'", ["task", "model"], None) + ")"
+    "SELECT * FROM (" + metrics_sql(f"SELECT * FROM ({TASKED}) WHERE task = 'nli'", ["task", "model"], NLI, classes=False) + " UNION ALL BY NAME SELECT * FROM (" + metrics_sql(f"SELECT * FROM ({TASKED}) WHERE task = 'open'", ["task", "model"], None) + f")) JOIN ({TASK_ACCS}) USING (task, model)"
 )
 def metrics_by_task(spark, sf_dir):
     df = parsed(spark, sf_dir).withColumn("task", F.when(F.col("l_partkey") % 2 == 0, "nli").otherwise("open"))
-    return rounded(M.metrics_by_task(df, ["task", "model"]).drop("class_acc"), *FIGURES)
+    accs = F.array_join(F.transform(F.array_sort(F.map_entries("class_acc")), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.4f", e["value"]))), ",")
+    return rounded(M.metrics_by_task(df, ["task", "model"]).withColumn("class_acc", accs), *FIGURES)
 
 
 @query(f"SELECT dataset, model, gold, pred, count(*) AS n FROM (SELECT *, {BOUNDARY} AS pred FROM {{preds}}) GROUP BY ALL")
@@ -223,10 +228,13 @@ def error_asymmetry(spark, sf_dir):
     return rounded(M.error_asymmetry(parsed(spark, sf_dir), "model", "dataset"), "error_asymmetry")
 
 
-@query(f"SELECT *, CAST(row_number() OVER (ORDER BY \"ACC\" DESC, model) AS INTEGER) AS rank FROM (SELECT model, round(avg(a), 3) AS \"ACC\" FROM (SELECT model, difficulty, avg(CAST(gold = {BOUNDARY} AS INTEGER)) AS a FROM {{preds}} GROUP BY ALL) GROUP BY ALL)")
+SEVEN = [*FIGURES, "EACC", "CACC", "NACC"]
+
+
+@query("SELECT *, CAST(row_number() OVER (ORDER BY \"ACC\" DESC, model) AS INTEGER) AS rank FROM (SELECT model, " + ", ".join(f'round(avg("{c}"), 3) AS "{c}"' for c in SEVEN) + f" FROM ({metrics_sql(f'SELECT *, {BOUNDARY} AS pred FROM {{preds}}', ['model', 'difficulty'], NLI)}) GROUP BY ALL)")
 def model_ranking(spark, sf_dir):
-    by = M.metrics(parsed(spark, sf_dir), ["model", "difficulty"], NLI, per_class=False)
-    return M.summary(by, "model", ["ACC"])
+    """All seven figures, averaged over the difficulties of each model."""
+    return M.summary(M.metrics(parsed(spark, sf_dir), ["model", "difficulty"], NLI), "model", SEVEN)
 
 
 @query(f"SELECT model, round(avg(a), 6) AS \"ACC\" FROM (SELECT concat('s', CAST(l_suppkey % 16 AS STRING)) AS model, difficulty, avg(CAST(gold = {BOUNDARY} AS INTEGER)) AS a FROM {{preds}} GROUP BY ALL) GROUP BY ALL ORDER BY \"ACC\" DESC, model LIMIT 5")
@@ -332,12 +340,18 @@ def auroc(spark, sf_dir):
     return rounded(C.auroc(C.score_counts(_scored(spark, sf_dir), ["run"]), ["run"]), "auroc")
 
 
-CANDIDATES = f"""WITH r AS ({SCORED}), c AS (SELECT run, score, count(*) FILTER (WHERE is_pos) AS p, count(*) FILTER (WHERE NOT is_pos) AS n FROM r GROUP BY ALL),
-t AS (SELECT run, CASE WHEN lag(score) OVER w IS NULL THEN score - 1e-6 ELSE (lag(score) OVER w + score) / 2 END AS t FROM c WINDOW w AS (PARTITION BY run ORDER BY score) UNION ALL SELECT run, max(score) + 1e-6 FROM c GROUP BY run),
-k AS (SELECT t.run, t.t, sum(CASE WHEN score >= t THEN p ELSE 0 END) AS tp, sum(CASE WHEN score >= t THEN n ELSE 0 END) AS fp, sum(p) AS "P", sum(n) AS "N" FROM t JOIN c USING (run) GROUP BY ALL)"""
+def candidates_sql(rows: str, tail: str = "") -> str:
+    """Thresholds of rows (run, score, is_pos) with the counts at or above them, as k; ``tail`` names the tables apart."""
+    return f"""r{tail} AS ({rows}), c{tail} AS (SELECT run, score, count(*) FILTER (WHERE is_pos) AS p, count(*) FILTER (WHERE NOT is_pos) AS n FROM r{tail} GROUP BY ALL),
+t{tail} AS (SELECT run, CASE WHEN lag(score) OVER w IS NULL THEN score - 1e-6 ELSE (lag(score) OVER w + score) / 2 END AS t FROM c{tail} WINDOW w AS (PARTITION BY run ORDER BY score) UNION ALL SELECT run, max(score) + 1e-6 FROM c{tail} GROUP BY run),
+k{tail} AS (SELECT t{tail}.run, t{tail}.t, sum(CASE WHEN score >= t THEN p ELSE 0 END) AS tp, sum(CASE WHEN score >= t THEN n ELSE 0 END) AS fp, sum(p) AS "P", sum(n) AS "N" FROM t{tail} JOIN c{tail} USING (run) GROUP BY ALL)"""
+
 
+CANDIDATES = "WITH " + candidates_sql(SCORED)
+BEST = """f AS (SELECT run, t, (CASE WHEN 2 * tp + fp + "P" - tp > 0 THEN 2 * tp / (2 * tp + fp + "P" - tp) ELSE 0 END + CASE WHEN 2 * ("N" - fp) + fp + "P" - tp > 0 THEN 2 * ("N" - fp) / (2 * ("N" - fp) + fp + "P" - tp) ELSE 0 END) / 2 AS f1, (tp + "N" - fp) / ("P" + "N") AS acc, (tp / "P" + ("N" - fp) / "N") / 2 AS bal FROM k)"""
 
-@query(CANDIDATES + """, f AS (SELECT run, t, (CASE WHEN 2 * tp + fp + "P" - tp > 0 THEN 2 * tp / (2 * tp + fp + "P" - tp) ELSE 0 END + CASE WHEN 2 * ("N" - fp) + fp + "P" - tp > 0 THEN 2 * ("N" - fp) / (2 * ("N" - fp) + fp + "P" - tp) ELSE 0 END) / 2 AS f1, (tp + "N" - fp) / ("P" + "N") AS acc, (tp / "P" + ("N" - fp) / "N") / 2 AS bal FROM k)
+
+@query(CANDIDATES + ", " + BEST + """
 SELECT run, round(arg_max(f1, row(f1, -t)), 6) AS macro_f1, round(arg_max(acc, row(f1, -t)), 6) AS accuracy, round(arg_max(bal, row(f1, -t)), 6) AS balanced_accuracy, round(arg_max(t, row(f1, -t)), 6) AS threshold FROM f GROUP BY run""")
 def best_threshold(spark, sf_dir):
     return rounded(C.best_threshold(C.score_counts(_scored(spark, sf_dir), ["run"]), ["run"]), "macro_f1", "accuracy", "balanced_accuracy", "threshold")
@@ -367,15 +381,34 @@ def _maps(spark, sf_dir) -> DataFrame:
     return df.select("model", "gold", F.when(F.col("l_linenumber") == 7, F.create_map().cast("map<string,double>")).otherwise(scores).alias("scores"))
 
 
-@query("""WITH r AS (SELECT model, gold, round(l_quantity / 50, 2) AS e, round(l_discount * 10, 2) AS c FROM {preds} WHERE gold <> 'NEUTRAL' AND l_linenumber <> 7)
-SELECT model, count(*) AS n, round(avg(CAST((e > c) = (gold = 'ENTAILMENT') AS INTEGER)), 6) AS baseline_accuracy, round(avg(abs(e - c)), 6) AS mean_margin FROM r GROUP BY model""")
+MAPPED = "SELECT model AS run, gold, round(l_quantity / 50, 2) AS e, round(l_discount * 10, 2) AS c, gold = 'ENTAILMENT' AS is_pos, CASE WHEN round(l_quantity / 50, 2) > round(l_discount * 10, 2) THEN 'ENTAILMENT' WHEN round(l_quantity / 50, 2) < round(l_discount * 10, 2) THEN 'CONTRADICTION' ELSE 'CONTRADICTION' END AS pred FROM {preds} WHERE gold <> 'NEUTRAL' AND l_linenumber <> 7"
+AUDIT = (
+    "WITH m AS (" + MAPPED + "), " + candidates_sql("SELECT run, e AS score, is_pos FROM m") + ", " + BEST + ", "
+    + candidates_sql("SELECT run, abs(e - c) AS score, gold = pred AS is_pos FROM m", "2")
+    + """, g AS (SELECT run, t, (tp + fp) / ("P" + "N") AS cov, tp / (tp + fp) AS acc FROM k2 WHERE tp + fp > 0 AND (tp + fp) / ("P" + "N") >= 0.8),
+au AS (SELECT run, round(CAST(sum(p * (2 * b + n)) AS DOUBLE) / (2 * sum(p) * sum(n)), 6) AS auroc FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY run ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM c) GROUP BY run),
+z AS (SELECT run, count(*) AS n, avg(CAST(gold = pred AS INTEGER)) AS a, count(*) FILTER (WHERE is_pos AND gold = pred) AS tp, count(*) FILTER (WHERE is_pos) AS p, count(*) FILTER (WHERE NOT is_pos AND gold = pred) AS tn, count(*) FILTER (WHERE NOT is_pos) AS q,
+  avg(abs(e - c)) AS mm, avg(CASE WHEN gold = pred THEN abs(e - c) END) AS mc, avg(CASE WHEN gold <> pred THEN abs(e - c) END) AS mw, avg(CASE WHEN is_pos THEN e END) AS ep, avg(CASE WHEN NOT is_pos THEN e END) AS en, var_pop(CASE WHEN is_pos THEN e END) AS vp, var_pop(CASE WHEN NOT is_pos THEN e END) AS vn FROM m GROUP BY run),
+w AS (SELECT model AS run, count(*) AS whole FROM {preds} WHERE gold <> 'NEUTRAL' GROUP BY 1),
+b AS (SELECT run, round(arg_max(f1, row(f1, -t)), 6) AS threshold_best_macro_f1, round(arg_max(acc, row(f1, -t)), 6) AS threshold_best_accuracy, round(arg_max(bal, row(f1, -t)), 6) AS threshold_best_balanced_accuracy, round(arg_max(t, row(f1, -t)), 6) AS threshold_best_threshold FROM f GROUP BY run),
+s AS (SELECT run, round(arg_max(cov, row(acc, -t)), 6) AS margin_selective_coverage, round(arg_max(acc, row(acc, -t)), 6) AS margin_selective_kept_accuracy, round(arg_max(t, row(acc, -t)), 6) AS margin_selective_threshold FROM g GROUP BY run),
+audited AS (SELECT run AS model, n, whole - n AS n_skipped, round(a, 6) AS baseline_accuracy, round((2 * tp / (2 * tp + (p - tp) + (q - tn)) + 2 * tn / (2 * tn + (p - tp) + (q - tn))) / 2, 6) AS baseline_macro_f1, round((tp / p + tn / q) / 2, 6) AS baseline_balanced_accuracy, 'binary' AS type,
+  round(mm, 6) AS mean_margin, round(mc, 6) AS mean_margin_correct, round(mw, 6) AS mean_margin_wrong, auroc, round((ep - en) / sqrt((vp + vn) / 2), 6) AS d_prime, round(ep, 6) AS mean_pos, round(en, 6) AS mean_neg,
+  threshold_best_macro_f1, threshold_best_accuracy, threshold_best_balanced_accuracy, threshold_best_threshold, margin_selective_coverage, margin_selective_kept_accuracy, margin_selective_threshold
+  FROM z JOIN w USING (run) JOIN au USING (run) JOIN b USING (run) JOIN s USING (run))"""
+)
+
+
+@query(AUDIT + " SELECT * FROM audited")
 def calibration_audit(spark, sf_dir):
-    return rounded(C.audit(_maps(spark, sf_dir), ["model"]).select("model", "n", "baseline_accuracy", "mean_margin"), "baseline_accuracy", "mean_margin")
+    """Every figure of the audit."""
+    out = C.audit(_maps(spark, sf_dir), ["model"])
+    return rounded(out, *[c for c in out.columns if c not in ("model", "n", "n_skipped", "type")])
 
 
-@query()
+@query(AUDIT + " SELECT type, round(avg(threshold_best_accuracy - baseline_accuracy), 4) + 0.0 AS accuracy_gain, round(avg(threshold_best_macro_f1 - baseline_macro_f1), 4) + 0.0 AS macro_f1_gain FROM audited GROUP BY type")
 def calibration_gain(spark, sf_dir):
-    return rounded(C.calibration_gain(C.audit(_maps(spark, sf_dir), ["model"]), ["type"]), "accuracy_gain")
+    return C.calibration_gain(C.audit(_maps(spark, sf_dir), ["model"]), ["type"]).withColumns({c: F.round(c, 4) + F.lit(0.0) for c in ("accuracy_gain", "macro_f1_gain")})
 
 
 @query("""WITH t AS (SELECT concat('L', CAST(label AS STRING)) AS label, arg_min(embedding, vec_id) AS v FROM embeddings GROUP BY 1),
@@ -404,10 +437,28 @@ def label_texts(spark, sf_dir):
     return P.label_texts(table(spark, sf_dir, "benchmark"), "nli", "text").select("item_id", "label", "label_text")
 
 
-@query()
+STRIPPED = "trim({}, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))"
+
+
+def _icl_sql() -> str:
+    """Exemplars by hash order in turn of each label, the prefixes of each variant and number of shots, and the targets."""
+    line = lambda text: "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    heads = "".join(f" WHEN '{v}' THEN {line(P.icl_prefix([], 0, *flags)[: -len(P.ICL_TRAILER)])}" for v, flags in P.VARIANTS.items())
+    return f"""WITH d AS (SELECT concat(source, '/', CAST(doc_id AS VARCHAR), '.wav') AS file_name, text, CASE WHEN toxic = 1 THEN 'CONTRADICTION' WHEN quality = 1 THEN 'ENTAILMENT' ELSE 'NEUTRAL' END AS answer FROM documents JOIN labels USING (doc_id)),
+e AS (SELECT *, row_number() OVER (PARTITION BY answer ORDER BY md5(concat_ws('|', '7', file_name, text)), file_name, text) AS r FROM (SELECT DISTINCT file_name, text, answer FROM d WHERE text IS NOT NULL)),
+x AS (SELECT k, e.* FROM (SELECT unnest(generate_series(0, 9)) AS k) s JOIN e ON e.answer = CASE k % 3 WHEN 0 THEN 'ENTAILMENT' WHEN 1 THEN 'NEUTRAL' ELSE 'CONTRADICTION' END AND e.r = k // 3 + 1),
+v AS (SELECT variant, shot FROM (SELECT unnest({list(P.VARIANTS)}) AS variant), (SELECT unnest([1, 3, 5, 7, 10]) AS shot)),
+p AS (SELECT variant, shot, concat(CASE variant{heads} END, string_agg(concat('Example ', CAST(k + 1 AS VARCHAR), ':', chr(10), 'AudioFile: ', regexp_extract(file_name, '[^/]*$'), chr(10),
+  CASE WHEN variant = 'audio_transcript' THEN concat('Transcript: ', {STRIPPED.format('text')}, chr(10)) ELSE '' END, CASE WHEN variant <> 'audio_only' THEN concat('Hypothesis: ', text, chr(10)) ELSE '' END, 'Answer: ', answer, chr(10)), chr(10) ORDER BY k), chr(10), {line(P.ICL_TRAILER)}) AS prefix
+  FROM v JOIN x ON k < shot GROUP BY variant, shot),
+o AS (SELECT file_name, variant, shot, concat(prefix, chr(10), 'Target AudioFile: ', regexp_extract(file_name, '[^/]*$'), CASE WHEN variant = 'audio_transcript' THEN concat(chr(10), 'Target Transcript: ', coalesce(text, '')) ELSE '' END) AS before, text FROM d, p WHERE text IS NOT NULL)
+SELECT file_name, variant, shot, md5(concat(before, chr(10), 'Target Hypothesis: ', text, chr(10), 'Answer:')) AS prompt_md5, {STRIPPED.format('text')} AS target FROM o"""
+
+
+@query(_icl_sql())
 def icl_fan_out(spark, sf_dir):
-    """Every labelled document as a target, times variants and shots."""
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    """Every labelled document as a target, times variants and shots; and the target found again in its prompt."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").filter("text is not null")
     answer = F.when(F.col("toxic") == 1, "CONTRADICTION").when(F.col("quality") == 1, "ENTAILMENT").otherwise("NEUTRAL")
     rows = docs.select(F.concat("source", F.lit("/"), "doc_id", F.lit(".wav")).alias("file_name"), F.col("text").alias("hypothesis"), answer.alias("answer"), F.col("text").alias("transcript"))
     chosen = P.pick_exemplars(rows, 10, 7)
@@ -415,6 +466,35 @@ def icl_fan_out(spark, sf_dir):
     return out.select("file_name", "variant", "shot", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"), L.strip_icl_prefix(F.col("prompt")).alias("target"))
 
 
+def _audio_sql(task: str) -> str:
+    text = P.AUDIO[task].replace("'", "''").replace("\n", "' || chr(10) || '")
+    return f"SELECT item_id, '{task}' AS task, md5(replace(replace('{text}', '{{hypothesis}}', text), '{{options}}', concat('- ', text))) AS prompt_md5 FROM benchmark"
+
+
+@query(" UNION ALL ".join(_audio_sql(t) for t in P.AUDIO))
+def audio_prompts(spark, sf_dir):
+    """Each statement as the question of every audio task."""
+    items = table(spark, sf_dir, "benchmark")
+    each = F.array(*[F.struct(F.lit(t).alias("task"), F.md5(P.audio_prompt(t, F.col("text"), F.concat(F.lit("- "), "text")).cast("binary")).alias("prompt_md5")) for t in P.AUDIO])
+    return items.select("item_id", F.explode(each).alias("x")).select("item_id", "x.task", "x.prompt_md5")
+
+
+@query("SELECT conv_id, concat('System: ', coalesce(string_agg(CASE WHEN role = 'system' THEN text END, chr(10) ORDER BY turn), ''), chr(10), chr(10), 'User: ', coalesce(string_agg(CASE WHEN role = 'user' THEN text END, chr(10) || chr(10) ORDER BY turn), ''), chr(10), chr(10), 'Assistant:') AS prompt FROM conversations GROUP BY conv_id")
+def chats_by_role(spark, sf_dir):
+    """Chats as text for models without a chat template."""
+    grouped = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("messages"))
+    return grouped.select("conv_id", P.flatten_by_role(F.col("messages")).alias("prompt"))
+
+
+@query("""WITH m AS (SELECT DISTINCT trim(text) AS t FROM documents JOIN labels USING (doc_id))
+SELECT doc_id, substring(trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)), 1, 80) AS sample FROM documents WHERE text IS NULL OR trim(text) NOT IN (SELECT t FROM m WHERE t IS NOT NULL) ORDER BY doc_id LIMIT 5""")
+def unmatched_samples(spark, sf_dir):
+    """The first five documents whose text no labelled one has."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("hypothesis"), F.lit(None).cast("string").alias("gold"))
+    mapping = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id").withColumn("gold", F.lit("YES"))
+    return E.unmatched_samples(E.repair_gold(docs, mapping, "doc_id"), "doc_id")
+
+
 @query("SELECT doc_id, CASE WHEN length(t) > 40 THEN concat(rtrim(substring(t, 1, 39)), '…') ELSE t END AS clipped FROM (SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)) AS t FROM documents)")
 def clipped_texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", L.clip_text(F.col("text"), 40).alias("clipped"))
@@ -463,4 +543,5 @@ def streamed_confusion(spark, sf_dir):
     # The glob lets a stream read a single file as well as a folder of them.
     stream = spark.readStream.schema(schema).parquet(f"{path}*")
     rows = stream.select(F.col("ts").cast("timestamp").alias("ts"), "event_id", (F.col("user_id") % 4).cast("long").alias("model"), F.col("event_type").alias("gold"), F.when(F.col("value") > 50, F.col("event_type")).otherwise("other").alias("pred"))
-    return S.run_to_end(S.stream_confusion(rows, ["model"], id_col="event_id"), f"confusion_{uuid.uuid4().hex[:8]}", scratch_folder(spark))
+    kinds = [r[0] for r in spark.read.parquet(path).select("event_type").distinct().collect()]
+    return S.run_to_end(S.stream_confusion(rows, ["model"], [*kinds, "other"], id_col="event_id"), scratch_folder(spark), scratch_folder(spark))

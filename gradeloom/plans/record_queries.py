@@ -15,7 +15,7 @@ from ..operators import prompts as P
 from ..operators import transcripts as W
 from ..sources import records as R
 from ..sources.scratch import scratch_folder
-from .queries import BOUNDARY, GOLD, NLI, _maps, parsed, preds, query, rounded, table
+from .queries import BOUNDARY, FIGURES, GOLD, NLI, _maps, metrics_sql, parsed, preds, query, rounded, table
 
 
 def _order_lines(spark, sf_dir) -> str:
@@ -136,12 +136,11 @@ def named_clips(spark, sf_dir):
     return H.named_clips(clips, "event_id").select("event_id", "file_name")
 
 
-@query(f"""WITH r AS (SELECT model, difficulty, gold, {BOUNDARY} AS pred FROM {{preds}})
-SELECT model, difficulty, count(*) AS "N", printf('%.4f', count(*) FILTER (WHERE gold = pred) / count(*)) AS "ACC" FROM r GROUP BY ALL""")
+@query("SELECT model, difficulty, \"N\", " + ", ".join(f"printf('%.4f', \"{c}\") AS \"{n}\"" for c, n in zip(FIGURES, ("ACC", "P", "R", "F1"))) + f" FROM ({metrics_sql(f'SELECT *, {BOUNDARY} AS pred FROM {{preds}}', ['model', 'difficulty'], NLI, classes=False)})")
 def metrics_report(spark, sf_dir):
     """Figures as text with four decimals, models in order and their difficulties from easy to hard."""
     by = M.metrics(parsed(spark, sf_dir), ["model", "difficulty"], NLI, per_class=False)
-    return M.report(M.business_order(by, "model"), ["model", "difficulty"]).drop("P", "R", "F1")
+    return M.report(M.business_order(by, "model"), ["model", "difficulty"])
 
 
 @query("""SELECT concat(CAST(conv_id AS VARCHAR), '.wav') AS file_name, concat(CAST(conv_id AS VARCHAR), '__hyp_', CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS VARCHAR)) AS item_id, upper(role) AS gold,
@@ -260,3 +259,14 @@ def pilot_subset(spark, sf_dir):
     ids = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
     rows = preds(spark, sf_dir).join(ids, "l_orderkey", "left_semi")
     return H.composition(rows.select(F.col("l_orderkey").alias("file_name"), "difficulty", "gold"))
+
+
+@query("""SELECT item_id, item_id % 4 <> 0 AS made, CASE WHEN item_id % 4 <> 0 THEN md5(concat('EXAMPLES', chr(10), 'Target AudioFile: ', CAST(item_id AS VARCHAR), '.wav', chr(10), 'Target Transcript: said', chr(10), 'Target Hypothesis: ', text, chr(10), 'Answer:')) END AS first_md5,
+CASE WHEN item_id % 4 <> 0 THEN 0 END AS n_neutral, CASE WHEN item_id % 4 <> 0 THEN 5 END AS num_shots FROM benchmark""")
+def overlay_settings(spark, sf_dir):
+    """Whole records with their overlay and how it was made; records whose output isn't an object pass unchanged."""
+    maps = F.to_variant_object(F.struct(F.concat(F.lit("clips/"), "item_id", F.lit(".wav")).alias("file_name"), F.lit(" said ").alias("transcript"), F.struct(F.array("text").alias("entailment")).alias("output")))
+    bare = F.to_variant_object(F.struct(F.lit("x.wav").alias("file_name"), F.lit("no map").alias("output")))
+    rows = table(spark, sf_dir, "benchmark").withColumn("record", F.when(F.col("item_id") % 4 != 0, maps).otherwise(bare))
+    out = rows.withColumn("o", P.overlay_record(F.col("record"), F.lit("EXAMPLES\n"), "audio_transcript", 5, 10))
+    return out.select("item_id", F.col("o.icl_overlay").isNotNull().alias("made"), F.md5(F.try_element_at("o.output.entailment", F.lit(1)).cast("binary")).alias("first_md5"), F.when(F.col("o.output").isNotNull(), F.size("o.output.neutral")).alias("n_neutral"), F.col("o.icl_overlay.num_shots").alias("num_shots"))

@@ -77,6 +77,7 @@ def first_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def manifest(df: DataFrame, keys: list[str], seed: int) -> DataFrame:
-    """Rows per generated part, with the seed."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_records")).withColumn("seed", F.lit(seed))
+def manifest(df: DataFrame, keys: list[str], seed: int, **settings: list) -> DataFrame:
+    """Rows per generated part, with the seed and the settings (sources, variants, shots, files: a list each)."""
+    rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_records")).withColumn("seed", F.lit(seed))
+    return rows.withColumns({k: F.array(*[F.lit(v) for v in values]) for k, values in settings.items()}) if settings else rows

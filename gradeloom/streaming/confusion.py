@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.metrics import confusion
 
-def stream_confusion(predictions: DataFrame, keys: list[str], late: str = "1 hour", time_col: str = "ts", id_col: str = "item_id") -> DataFrame:
-    """Running counts per (keys, gold, pred) of a streaming DataFrame; an item that arrives twice within ``late`` counts once."""
+
+def stream_confusion(predictions: DataFrame, keys: list[str], labels: list[str], late: str = "1 hour", time_col: str = "ts", id_col: str = "item_id") -> DataFrame:
+    """Running counts per (keys, gold, pred) of a streaming DataFrame; an item that arrives twice within ``late`` counts once.
+
+    Wrong answers outside ``labels`` share one bucket, so free text can't widen the state.
+    """
     once = predictions.withWatermark(time_col, late).dropDuplicatesWithinWatermark([id_col])
-    return once.groupBy(*keys, "gold", "pred").agg(F.count(F.lit(1)).alias("n"))
+    return confusion(once, keys, labels)
+
+
+def run_to_end(counts: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Work off all that has arrived; each batch's counts replace those in ``path``, which executors write and read."""
 
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
 
-def run_to_end(counts: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """Work off all that has arrived and return the counts as a table in memory (they are few)."""
-    spark: SparkSession = counts.sparkSession
-    query = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return counts.sparkSession.read.schema(counts.schema).parquet(path)
