@@ -9,90 +9,123 @@ from pyspark.sql import types as T
 
 from .common import annotate, fold, table
 
-DIM = 512
+DIM = 1024
 GRAM = 3
-#: Symbols: 0 for all that is no letter, 1 to 26 for a-z, the rest for other letters by code point.
-SYMBOLS = 64
 SEED = 7
+#: Bits of a code point in a trigram's number; 0 stands for all that is no letter.
+POINT_BITS = 21
+#: Trigrams bound at a time, and (language, trigram) pairs that a task holds before it passes them on.
+CHUNK, HELD = 4096, 1 << 20
+#: More distinct languages than this are an error: such a column doesn't hold languages, and each costs 4 KB at the driver.
+MAX_LANGS = 10_000
 UNKNOWN = "und"
 #: The pipeline rejects documents of at least so many distinct trigrams whose cosine to the nearest profile is below this.
-#: Between unrelated texts the cosine deviates by 1 / sqrt(DIM) = 0.044, and that of a clean short text is small itself;
+#: Between unrelated texts the cosine deviates by 1 / sqrt(DIM) = 0.031, and that of a clean short text is small itself;
 #: of 23,000 generated documents with 128 trigrams or more, none was below 0.31, but shorter ones went down to 0.05.
 MIN_SCORE, MIN_GRAMS = 0.1, 128
 RESULT = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
 
 
-def _symbol_table() -> np.ndarray:
-    """Symbol of each code point of the Basic Multilingual Plane."""
-    table = np.zeros(0x10000, dtype=np.uint8)
-    for cp in range(0x10000):
-        if not 0xD800 <= cp < 0xE000 and chr(cp).isalpha():
-            table[cp] = cp - 96 if 97 <= cp <= 122 else 27 + cp % (SYMBOLS - 27)
-    return table
+def letters_table() -> np.ndarray:
+    """Which code points of the Basic Multilingual Plane are letters."""
+    return np.array([not 0xD800 <= cp < 0xE000 and chr(cp).isalpha() for cp in range(0x10000)])
 
 
-def _grams(text: str, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _grams(text: str, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct letter trigrams of the lower-cased text as numbers, and their counts; runs of other characters are one blank."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    s = symbols[np.minimum(points, 0xFFFF)]
-    for k in np.flatnonzero(points > 0xFFFF):
-        s[k] = 27 + int(points[k]) % (SYMBOLS - 27) if chr(points[k]).isalpha() else 0
-    if not s.any():
+    s = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    keep = letters[np.minimum(s, 0xFFFF)]
+    far = np.flatnonzero(s > 0xFFFF)
+    if len(far):
+        kinds, which = np.unique(s[far], return_inverse=True)
+        keep[far] = np.array([chr(cp).isalpha() for cp in kinds.tolist()])[which]
+    if not keep.any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    s = np.concatenate([[0], s, [0]]).astype(np.int64)
+    s = np.concatenate([[0], np.where(keep, s, 0), [0]])
     s = s[(s > 0) | np.concatenate([[True], s[:-1] > 0])]
     if len(s) < GRAM:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.unique((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:], return_counts=True)
+    return np.unique((s[:-2] << 2 * POINT_BITS) | (s[1:-1] << POINT_BITS) | s[2:], return_counts=True)
 
 
 class Space:
-    """A random +1/-1 vector for each symbol, and the bound vectors of trigrams."""
+    """A random +1/-1 vector for each letter of any script, made from its code point, and the bound vectors of trigrams."""
 
     def __init__(self, dim: int = DIM, seed: int = SEED):
-        letters = (np.random.default_rng(seed).integers(0, 2, (SYMBOLS, dim), dtype=np.int8) * 2 - 1).astype(np.int8)
-        # Permuting by the place in the gram keeps the order: abc and cba get unrelated vectors.
-        self.first, self.second, self.third = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1), letters
+        self.dim, self.seed, self.known = dim, seed, {}
+
+    def letter(self, cp: int) -> np.ndarray:
+        if cp not in self.known:
+            self.known[cp] = (np.random.default_rng([self.seed, cp]).integers(0, 2, self.dim, dtype=np.int8) * 2 - 1).astype(np.int8)
+        return self.known[cp]
 
     def bundle(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        bound = self.first[grams // SYMBOLS**2] * self.second[grams // SYMBOLS % SYMBOLS] * self.third[grams % SYMBOLS]
-        return np.sqrt(counts).astype(np.float32) @ bound.astype(np.float32)
+        """The sum of the trigrams' vectors, each times the root of its count.
+
+        A letter's vector is permuted by its place in the trigram, which keeps the order: abc and cba get unrelated vectors.
+        """
+        out, low = np.zeros(self.dim, dtype=np.float32), (1 << POINT_BITS) - 1
+        for lo in range(0, len(grams), CHUNK):
+            g = grams[lo : lo + CHUNK]
+            points, at = np.unique(np.stack([g >> 2 * POINT_BITS, (g >> POINT_BITS) & low, g & low]), return_inverse=True)
+            vectors = np.stack([self.letter(cp) for cp in points.tolist()])
+            first, second, third = at.reshape(3, -1)
+            bound = np.roll(vectors, 2, axis=1)[first] * np.roll(vectors, 1, axis=1)[second] * vectors[third]
+            out += np.sqrt(counts[lo : lo + CHUNK]).astype(np.float32) @ bound.astype(np.float32)
+        return out
 
 
 def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> dict[str, np.ndarray]:
     """One unit vector per language: the bundle of the trigrams of all its texts.
 
-    Executors count trigrams, so what reaches the driver has at most ``SYMBOLS ** 3`` rows per language.  Rows without
-    a language or without letters teach nothing; no rows give no profile.
+    Executors count trigrams, and bundle the counted ones part by part; what reaches the driver is DIM numbers per
+    language.  Rows without a language or without letters teach nothing; no rows give no profile.  More than MAX_LANGS
+    languages are an error.
     """
-    schema = "lang string, gram long, n long"
+    import pyarrow as pa
 
     def count(batches):
-        symbols = _symbol_table()
+        letters, held, size = letters_table(), {}, 0
+
+        def out():
+            for lang, parts in held.items():
+                grams, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+                n = np.bincount(at, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n)], names=["lang", "gram", "n"])
+            held.clear()
+
         for batch in batches:
-            held: dict[str, np.ndarray] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                grams, counts = _grams(text.as_py(), symbols)
-                if lang not in held:
-                    held[lang] = np.zeros(SYMBOLS**GRAM, dtype=np.int64)
-                held[lang][grams] += counts
-            import pyarrow as pa
-
-            for lang, n in held.items():
-                at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])], names=["lang", "gram", "n"])
-
-    known = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
-    counts = known.mapInArrow(count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    space, profiles = Space(), {}
-    per_lang = counts.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("gram", "n"))).alias("grams"))
-    for row in per_lang.toLocalIterator():
-        grams = np.array([g[0] for g in row["grams"]], dtype=np.int64)
-        n = np.array([g[1] for g in row["grams"]], dtype=np.float64)
-        v = space.bundle(grams, n)
-        if v.any():
-            profiles[row["lang"]] = v / np.linalg.norm(v)
-    return dict(sorted(profiles.items()))
+                found = _grams(text.as_py(), letters)
+                if len(found[0]):
+                    held.setdefault(lang, []).append(found)
+                    size += len(found[0])
+                if size >= HELD:
+                    yield from out()
+                    size = 0
+        yield from out()
+
+    def bundle(batches):
+        space, sums = Space(), {}
+        for batch in batches:
+            langs, which = np.unique(np.array(batch.column(0).to_pylist(), dtype=object), return_inverse=True)
+            grams, n = batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(np.float64)
+            for k, lang in enumerate(langs.tolist()):
+                mine = which == k
+                sums[lang] = sums.get(lang, 0.0) + space.bundle(grams[mine], n[mine]).astype(np.float64)
+        for lang, v in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * DIM, pa.string()), pa.array(np.arange(DIM, dtype=np.int32)), pa.array(v)], names=["lang", "d", "v"])
+
+    known = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
+    counts = known.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums = counts.mapInArrow(bundle, "lang string, d int, v double").groupBy("lang", "d").agg(F.sum("v").alias("v"))
+    vectors: dict[str, np.ndarray] = {}
+    for row in sums.toLocalIterator():
+        if row["lang"] not in vectors and len(vectors) >= MAX_LANGS:
+            raise ValueError(f"more than {MAX_LANGS} languages")
+        vectors.setdefault(row["lang"], np.zeros(DIM))[row["d"]] = row["v"]
+    # Rounded, so that the order in which parts are added leaves no trace.
+    return {lang: np.round(v / np.linalg.norm(v), 7).astype(np.float32) for lang, v in sorted(vectors.items()) if v.any()}
 
 
 def predict_language(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "text", keep: list[str] | None = None, grams_col: str | None = None) -> DataFrame:
@@ -106,12 +139,12 @@ def predict_language(docs: DataFrame, profiles: dict[str, np.ndarray], text_col:
     matrix = np.stack([profiles[x] for x in langs], axis=1) if langs else np.zeros((DIM, 0), np.float32)
 
     def make():
-        symbols, space = _symbol_table(), Space()
+        letters, space = letters_table(), Space()
 
         def run(texts):
             preds, scores, n_grams = [], [], []
             for text in texts:
-                grams, counts = _grams(text.as_py() or "", symbols)
+                grams, counts = _grams(text.as_py() or "", letters)
                 pred, score = UNKNOWN, 0.0
                 if len(grams) and langs:
                     v = space.bundle(grams, counts)
@@ -130,6 +163,7 @@ def predict_language(docs: DataFrame, profiles: dict[str, np.ndarray], text_col:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language; the languages of documents in fold 1 of 3 are never read."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     profiles = learn_profiles(docs.filter(fold("doc_id", 3) != 1))
     out = predict_language(docs.select("doc_id", "text", (fold("doc_id", 3) == 1).alias("held_out")), profiles, keep=["doc_id", "held_out"])
