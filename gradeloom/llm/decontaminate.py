@@ -1,48 +1,61 @@
-"""Benchmark decontamination: a positional inverted index, distributed by document shard.
+"""Benchmark decontamination: a distributed positional inverted index over the training documents.
 
-Each task indexes the documents of its batches: a sorted list of positions per benchmark term.  The benchmark's windows
-go to every shard, block by block; a window's occurrences are the intersection of the term lists, shifted by the
-term's offset in the window, starting with the terms that are rarest in the shard.
+The index is sharded by document.  A shard holds the postings of all its words: the words' hashes in order, how often each
+occurs, and its positions, ascending.  ``build_index`` stores the shards as a table, so another benchmark is searched
+without reading the corpus again.  A window of benchmark words occurs where the lists of its words, each shifted by the
+word's offset, intersect; the search starts with the words that are rarest in the shard.
 """
 
 from __future__ import annotations
 
 import hashlib
-from itertools import repeat
+from collections import defaultdict
+from itertools import count
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, table
+from .common import annotate, discard, stored, table
 
 WINDOW = 13
-#: Benchmark text that is broadcast at once; more goes in further blocks over the same documents.
+#: Benchmark text that is broadcast at once; more is searched block by block, one broadcast at a time.
 BLOCK_BYTES = 64 << 20
-#: Tokens that a shard's index holds at a time.
-SHARD_TOKENS = 4_000_000
+#: Words and bytes of text in a shard, at most (or one document).
+SHARD_TOKENS, SHARD_BYTES = 1_000_000, 16 << 20
 #: Positions left free between documents, so that no window crosses from one to the next.
 GAP = 64
+#: Hits and items found so far, while a benchmark of several blocks is searched.
+SO_FAR = T.StructType([T.StructField("_marked", T.BinaryType()), T.StructField("_items", T.ArrayType(T.ArrayType(T.StringType())))])
 
 #: Words are maximal runs of ASCII letters and digits and of all non-ASCII characters; the rest becomes a blank.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def words(text: str | None) -> list[bytes]:
+    """The words of a text, lower-cased (A-Z); null has none."""
     return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split() if text else []
 
 
+def hashes(found) -> np.ndarray:
+    import xxhash
+
+    return np.array([xxhash.xxh64_intdigest(w) for w in found], dtype=np.uint64)
+
+
 class Windows:
-    """The windows of a block of benchmark items: term ids by offset (-1 beyond a window's end), and the items of each."""
+    """The windows of a block of benchmark items: word numbers by offset (-1 beyond a window's end), and the items of each."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], size: int):
-        self.terms: dict[bytes, int] = {}
+        terms: dict[bytes, int] = {}
         found: dict[tuple[int, ...], set[str]] = {}
         for item, text in items:
-            ids = [self.terms.setdefault(w, len(self.terms)) for w in words(text)]
+            ids = [terms.setdefault(w, len(terms)) for w in words(text)]
             for i in range(max(1, len(ids) - size + 1) if ids else 0):
                 found.setdefault(tuple(ids[i : i + size]), set()).update([item] if item is not None else [])
+        self.terms = hashes(terms)
         self.items = list(found.values())
         self.lengths = np.array([len(w) for w in found], dtype=np.int64)
         self.table = np.full((len(found), size), -1, dtype=np.int64)
@@ -50,30 +63,39 @@ class Windows:
             self.table[k, : len(w)] = w
 
 
-class Index:
-    """Positions of each benchmark term in a shard's documents, ascending."""
-
-    def __init__(self, docs: list[list[bytes]], terms: dict[bytes, int]):
-        self.starts = np.zeros(len(docs), dtype=np.int64)
-        parts, at = [], GAP
-        for k, tokens in enumerate(docs):
-            self.starts[k] = at
-            ids = np.fromiter(map(terms.get, tokens, repeat(-1)), dtype=np.int64, count=len(tokens))
-            known = np.flatnonzero(ids >= 0)
-            parts.append((known + at, ids[known]))
-            at += len(tokens) + GAP
-        self.end = at
-        places = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
-        ids = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
-        self.places = places[np.argsort(ids, kind="stable")]
-        self.counts = np.bincount(ids, minlength=len(terms))
-        self.ends = np.cumsum(self.counts)
+class Shard:
+    """Postings of some documents: hashes of the words, ascending; how often each occurs; its positions, ascending."""
+
+    def __init__(self, lengths: np.ndarray, terms: np.ndarray, counts: np.ndarray, places: np.ndarray):
+        self.lengths, self.terms, self.counts, self.places = lengths, terms, counts, places
+        self.starts = np.cumsum([GAP, *(lengths[:-1] + GAP)]) if len(lengths) else np.zeros(0, np.int64)
+        self.end = int(self.starts[-1] + lengths[-1] + GAP) if len(lengths) else GAP
+        self.ends = np.cumsum(counts, dtype=np.int64)
+
+    @classmethod
+    def of(cls, docs: list[list[bytes]]) -> Shard:
+        number: defaultdict[bytes, int] = defaultdict(count().__next__)
+        ids = [np.fromiter(map(number.__getitem__, tokens), dtype=np.int64, count=len(tokens)) for tokens in docs]
+        lengths = np.array([len(t) for t in docs], dtype=np.int64)
+        terms = hashes(number)
+        order = np.argsort(terms)
+        rank = np.empty(len(terms), dtype=np.int32)
+        rank[order] = np.arange(len(terms), dtype=np.int32)
+        flat = rank[np.concatenate(ids)] if len(terms) else np.zeros(0, np.int32)
+        shard = cls(lengths, terms[order], np.bincount(flat, minlength=len(terms)).astype(np.int32), np.zeros(0, np.int32))
+        at = np.repeat(shard.starts - np.cumsum([0, *lengths[:-1]]), lengths) + np.arange(len(flat)) if len(lengths) else np.zeros(0, np.int64)
+        shard.places = at[np.argsort(flat, kind="stable")].astype(np.int32)
+        return shard
+
+    def look_up(self, terms: np.ndarray) -> np.ndarray:
+        """The places of these hashes among the shard's terms; -1 where it lacks one."""
+        at = np.searchsorted(self.terms, terms)
+        there = at < len(self.terms)
+        there[there] = self.terms[at[there]] == terms[there]
+        return np.where(there, at, -1)
 
     def list_of(self, term: int) -> np.ndarray:
-        return self.places[self.ends[term] - self.counts[term] : self.ends[term]]
-
-    def doc_of(self, places: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.starts, places, side="right") - 1
+        return self.places[self.ends[term] - self.counts[term] : self.ends[term]].astype(np.int64)
 
     def occurrences(self, window: np.ndarray, slack: int = 0) -> np.ndarray:
         """Start positions at which every term stands at its offset, or within ``slack`` of it."""
@@ -92,82 +114,153 @@ class Index:
             starts = starts[ok]
         return starts
 
-
-def search(docs: list[list[bytes]], blocks, slack: int = 0) -> tuple[list[int], list[set[str]]]:
-    """For each document, how many of its words lie in an exact occurrence, and the items that occur.
-
-    With ``slack``, the count is that of the start positions with a match within it.  ``blocks``: Windows, one by one.
-    """
-    items: list[set[str]] = [set() for _ in docs]
-    marked = index = None
-    for windows in blocks:
-        index = Index(docs, windows.terms)
-        marked = np.zeros(index.end + GAP, dtype=bool) if marked is None else marked
+    def search(self, windows: Windows, slack: int, marked: np.ndarray, items: list[set[str]]) -> None:
+        """Mark the words in exact occurrences (with ``slack``: the start positions), and add the items to their documents'."""
         if not windows.items:
-            continue
-        present = np.where(windows.table >= 0, index.counts[windows.table], 1).min(axis=1) > 0
-        edges = np.zeros(index.end + GAP, dtype=np.int32)
-        for w in np.flatnonzero(present):
+            return
+        here = self.look_up(windows.terms)
+        cells = np.where(windows.table >= 0, here[windows.table], len(self.terms))
+        edges = np.zeros(self.end + GAP, dtype=np.int32)
+        for w in np.flatnonzero((cells >= 0).all(axis=1)):
             n = windows.lengths[w]
-            starts = index.occurrences(windows.table[w, :n], slack)
+            starts = self.occurrences(cells[w, :n], slack)
             if len(starts):
                 np.add.at(edges, starts, 1)
                 np.add.at(edges, starts + (1 if slack else n), -1)
                 # With slack, a start may lie just before the first word of its document.
-                for d in np.unique(index.doc_of(starts + slack)):
+                for d in np.unique(np.searchsorted(self.starts, starts + slack, side="right") - 1):
                     items[d] |= windows.items[w]
         marked |= np.cumsum(edges) > 0
-    if index is None:
-        return [0] * len(docs), items
-    upto = np.concatenate([[0], np.cumsum(marked)])
-    ends = index.starts + np.array([len(t) for t in docs], dtype=np.int64)
-    return (upto[ends] - upto[index.starts - slack]).tolist(), items
 
+    def count(self, marked: np.ndarray, slack: int) -> list[int]:
+        upto = np.concatenate([[0], np.cumsum(marked)])
+        return (upto[self.starts + self.lengths] - upto[self.starts - slack]).tolist()
 
-def _searcher(blocks, size: int, slack: int):
-    """blocks: broadcasts of lists of (item id, text).  Several are parsed anew for each shard, so that one at a time is held."""
 
-    def make():
-        ready = [Windows(blocks[0].value, size)] if len(blocks) == 1 else None
-
-        def work(texts):
-            n_words, n_hit, found = [], [], []
-            shard: list[list[bytes]] = []
-
-            def flush():
-                hits, items = search(shard, ready or (Windows(b.value, size) for b in blocks), slack)
-                n_words.extend(len(t) for t in shard)
-                n_hit.extend(hits)
-                found.extend(items)
-                shard.clear()
-
-            held = 0
-            for text in texts:
-                tokens = words(text.as_py())
-                shard.append(tokens)
-                held += len(tokens) + GAP
-                if held >= SHARD_TOKENS:
-                    flush()
-                    held = 0
-            if shard:
-                flush()
-            return n_words, n_hit, found
-
-        return work
-
-    return make
-
-
-def _blocks(spark: SparkSession, bench: DataFrame, item_col: str, text_col: str, limit: int):
-    """The benchmark in broadcasts of at most ``limit`` bytes of text (or one item)."""
-    blocks, held, size = [], [], 0
+def _shards(texts):
+    """Index the texts in turn: (how many, Shard)."""
+    held, size, n = [], 0, 0
+    for text in texts:
+        found = text.as_py()
+        held.append(words(found))
+        size += len(found or "")
+        n += len(held[-1])
+        if n >= SHARD_TOKENS or size >= SHARD_BYTES:
+            yield len(held), Shard.of(held)
+            held, size, n = [], 0, 0
+    if held:
+        yield len(held), Shard.of(held)
+
+
+def build_index(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The stored index: a row for each shard, with arrays of the kept columns' values and the postings.
+
+    A shard has documents of one partition; nothing is shuffled.  Null and empty texts are documents without words.
+    """
+    kept = [f for f in docs.schema.fields if f.name in (keep if keep is not None else docs.columns)]
+    names = [f.name for f in kept]
+    schema = T.StructType([*[T.StructField(f.name, T.ArrayType(f.dataType)) for f in kept], T.StructField("_lengths", T.BinaryType()), T.StructField("_terms", T.BinaryType()), T.StructField("_counts", T.BinaryType()), T.StructField("_places", T.BinaryType())])
+
+    def run(batches):
+        for batch in batches:
+            at = 0
+            for n, shard in _shards(batch.column("_text")):
+                lists = [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), batch.column(c).slice(at, n)) for c in names]
+                parts = [pa.array([x.tobytes()], pa.binary()) for x in (shard.lengths, shard.terms, shard.counts, shard.places)]
+                yield pa.RecordBatch.from_arrays([*lists, *parts], names=[*names, "_lengths", "_terms", "_counts", "_places"])
+                at += n
+
+    source = docs.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{text_col}`").alias("_text"))
+    return stored(source.mapInArrow(run, schema))
+
+
+def search_index(index: DataFrame, bench: DataFrame, fields: list[T.StructField], finish, slack: int = 0, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """One row per indexed document: its kept columns, and what ``finish(lengths, hits, items)`` makes of a shard.
+
+    A benchmark of several blocks is searched block by block: the hits so far are stored between them, and a block's
+    broadcast is dropped before the next, so executors hold one at a time.
+    """
+    check_slack(slack)
+    spark = index.sparkSession
+    kept = [f for f in index.schema.fields if not f.name.startswith("_")]
+    names, new = [f.name for f in kept], {f.name.lower() for f in fields}
+    out_fields = [T.StructField(f.name, f.dataType.elementType) for f in kept if f.name.lower() not in new]
+    sent = None
+
+    def searched(batches, sent, last):
+        windows = Windows(sent.value, window)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                shard = Shard(*[np.frombuffer(batch.column(c)[k].as_py(), dtype=t) for c, t in (("_lengths", np.int64), ("_terms", np.uint64), ("_counts", np.int32), ("_places", np.int32))])
+                marked, items = np.zeros(shard.end + GAP, dtype=bool), [set() for _ in shard.lengths]
+                if "_marked" in batch.schema.names:
+                    marked = np.unpackbits(np.frombuffer(batch.column("_marked")[k].as_py(), np.uint8), count=shard.end + GAP).astype(bool)
+                    items = [set(x) for x in batch.column("_items")[k].as_py()]
+                shard.search(windows, slack, marked, items)
+                if last:
+                    made = [x if isinstance(x, pa.Array) else pa.array(x) for x in finish(shard.lengths.tolist(), shard.count(marked, slack), items)]
+                    lists = [batch.column(f.name)[k].values for f in out_fields]
+                    yield pa.RecordBatch.from_arrays([*lists, *made], names=[f.name for f in [*out_fields, *fields]])
+                else:
+                    before = [batch.column(c).slice(k, 1) for c in [*names, "_lengths", "_terms", "_counts", "_places"]]
+                    so_far = [pa.array([np.packbits(marked).tobytes()], pa.binary()), pa.array([[sorted(x) for x in items]], pa.list_(pa.list_(pa.string())))]
+                    yield pa.RecordBatch.from_arrays([*before, *so_far], names=[*names, "_lengths", "_terms", "_counts", "_places", "_marked", "_items"])
+
+    state = index
+    for block, last in _blocks(bench, item_col, text_col, BLOCK_BYTES):
+        sent = spark.sparkContext.broadcast(block)
+        if last:
+            return state.mapInArrow(lambda b, sent=sent: searched(b, sent, True), T.StructType([*out_fields, *fields]))
+        plain = [f for f in index.schema.fields]
+        following = stored(state.mapInArrow(lambda b, sent=sent: searched(b, sent, False), T.StructType([*plain, *SO_FAR.fields])))
+        sent.destroy()
+        if state is not index:
+            discard(state)
+        state = following
+
+
+def check_slack(slack: int) -> None:
+    if not 0 <= slack < GAP // 2:
+        raise ValueError(f"slack must be less than {GAP // 2}: matches would reach into the next document")
+
+
+def _blocks(bench: DataFrame, item_col: str, text_col: str, limit: int):
+    """The benchmark in lists of at most ``limit`` bytes of text (or one item), one at a time, and whether each is the last."""
+    held, size = [], 0
     for item, text in bench.select(F.col(item_col).cast("string"), text_col).toLocalIterator(prefetchPartitions=True):
+        if held and size >= limit:
+            yield held, False
+            held, size = [], 0
         held.append((item, text))
         size += len(text or "") * 4 + 64
-        if size >= limit:
-            blocks.append(spark.sparkContext.broadcast(held))
-            held, size = [], 0
-    return [*blocks, spark.sparkContext.broadcast(held)] if held or not blocks else blocks
+    yield held, True
+
+
+def _found(docs: DataFrame, bench: DataFrame, fields: list[T.StructField], finish, slack: int, text_col: str, item_col: str, window: int, keep: list[str] | None) -> DataFrame:
+    """Through the stored index; where the texts themselves are kept, each shard is searched when it is indexed instead, so
+    that they aren't written twice, unless the benchmark has several blocks."""
+    check_slack(slack)
+    blocks = _blocks(bench, item_col, "text", BLOCK_BYTES)
+    block, only = next(blocks)
+    if not only or (keep is not None and text_col not in keep):
+        blocks.close()
+        return search_index(build_index(docs, text_col, keep), bench, fields, finish, slack, item_col, "text", window)
+    sent = docs.sparkSession.sparkContext.broadcast(block)
+
+    def make():
+        windows = Windows(sent.value, window)
+
+        def run(texts):
+            parts = []
+            for _, shard in _shards(texts):
+                marked, items = np.zeros(shard.end + GAP, dtype=bool), [set() for _ in shard.lengths]
+                shard.search(windows, slack, marked, items)
+                parts.append([x.to_pylist() if isinstance(x, pa.Array) else x for x in finish(shard.lengths.tolist(), shard.count(marked, slack), items)])
+            return [pa.array([v for part in column for v in part], type=pa.list_(pa.string())) if isinstance(f.dataType, T.ArrayType) else [v for part in column for v in part] for f, column in zip(fields, zip(*parts, strict=True), strict=True)]
+
+        return run
+
+    return annotate(docs, [text_col], make, fields, keep)
 
 
 def find_contamination(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
@@ -180,22 +273,14 @@ def find_contamination(docs: DataFrame, bench: DataFrame, text_col: str = "text"
 
     A null text has no words, 0 hits and isn't contaminated; items of null text or without words have no windows; items
     with a null id hit, but aren't listed.  Repeated items count once by id.  Input columns with the names of the new
-    ones are replaced.  The benchmark is sent to the shards in blocks of ``BLOCK_BYTES``.
+    ones are replaced.  Words are told apart by 64 bits of their hash.
     """
-    blocks = _blocks(docs.sparkSession, bench, item_col, "text", BLOCK_BYTES)
-    inner = _searcher(blocks, window, 0)
 
-    def make():
-        work = inner()
+    def finish(lengths, hits, items):
+        sha = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
+        return lengths, hits, [len(x) for x in items], sha, [h > 0 and 20 * h >= n for h, n in zip(hits, lengths, strict=True)]
 
-        def run(texts):
-            n_words, n_hit, found = work(texts)
-            sha = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in found]
-            return n_words, n_hit, [len(x) for x in found], sha, [h > 0 and 20 * h >= n for h, n in zip(n_hit, n_words, strict=True)]
-
-        return run
-
-    return annotate(docs, [text_col], make, RESULT, keep)
+    return _found(docs, bench, RESULT, finish, 0, text_col, item_col, window, keep)
 
 
 RESULT = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())]
@@ -207,28 +292,18 @@ def find_near(docs: DataFrame, bench: DataFrame, slack: int = 2, text_col: str =
     Adds ``n_places`` (long: places with a match) and ``near_items`` (array of item ids, sorted).  Exact occurrences
     match too.  Nulls and clashing names as in ``find_contamination``.
     """
-    inner = _searcher(_blocks(docs.sparkSession, bench, item_col, "text", BLOCK_BYTES), window, slack)
-
-    def make():
-        work = inner()
-
-        def run(texts):
-            import pyarrow as pa
-
-            _, places, found = work(texts)
-            return places, pa.array([sorted(x) for x in found], type=pa.list_(pa.string()))
-
-        return run
-
-    return annotate(docs, [text_col], make, [T.StructField("n_places", T.LongType()), T.StructField("near_items", T.ArrayType(T.StringType()))], keep)
+    fields = [T.StructField("n_places", T.LongType()), T.StructField("near_items", T.ArrayType(T.StringType()))]
+    return _found(docs, bench, fields, lambda lengths, hits, items: (hits, pa.array([sorted(x) for x in items], type=pa.list_(pa.string()))), slack, text_col, item_col, window, keep)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words, hits and items, from the stored index."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
 
 def llm_proximity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's places and items of near matches, from the stored index."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     near = find_near(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return near.select("doc_id", "n_places", F.array_join("near_items", ",").alias("near_items"))
