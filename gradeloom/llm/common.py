@@ -13,6 +13,8 @@ from ..sources.scratch import scratch_folder
 
 #: Words are maximal runs of anything but these ASCII white-space characters (fixed by the contracts).
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a table of buckets that are broadcast at most: some 30 MB.
+MOST_BUCKETS = 1 << 19
 
 
 def fold(doc_id: str | Column, mod: int) -> Column:
@@ -87,12 +89,18 @@ def bucket_sums(df: DataFrame, group: list[str], size: str, bucket: Column) -> D
     return stored(df.groupBy(*group, bucket.alias("_bucket")).agg(F.sum(size).alias("_sum")))
 
 
+def broadcast_if_small(stored_table: DataFrame) -> DataFrame:
+    """Hint a stored table for a broadcast join if it has at most MOST_BUCKETS rows; else Spark joins it by a shuffle."""
+    return F.broadcast(stored_table) if stored_table.count() <= MOST_BUCKETS else stored_table
+
+
 def with_running_total(df: DataFrame, group: list[str], size: str, order: list[Column], bucket: Column, out: str, sums: DataFrame | None = None) -> DataFrame:
     """Add ``out``: the sum of ``size`` over the rows before this one in its group.
 
     Works in two levels, so no task sorts a whole group: the stored sums per (group, bucket) are summed over the buckets,
     and each bucket is ordered by itself, which shuffles the rows once.  ``bucket`` must be the leading part of the order,
-    and coarse enough for the table of buckets to stay small; Spark broadcasts it only if it is.  ``order`` must end with
+    and coarse enough for the table of buckets to stay small; it is broadcast up to MOST_BUCKETS rows, and joined by a
+    shuffle beyond that.  ``order`` must end with
     columns that make it total.  ``sums``: what ``bucket_sums`` has given for the same rows.
     """
     totals = sums if sums is not None else bucket_sums(df, group, size, bucket)
@@ -100,6 +108,7 @@ def with_running_total(df: DataFrame, group: list[str], size: str, order: list[C
     keys = [*group, "_bucket"]
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = stored(totals.select(*[F.col(k).alias(f"_t_{k}") for k in keys], F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before")))
+    totals = broadcast_if_small(totals)
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("_inside", F.coalesce(F.sum(size).over(inside), F.lit(0)))
     same = [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, bucket_sums, table, with_running_total
+from .common import WORD, broadcast_if_small, bucket_sums, stored, table, with_running_total
 
 BLANK = r"[\x20\x09-\x0D]"
 #: Most times that a source is taken.
@@ -79,7 +79,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     totals = sums.groupBy(F.col(source_col).alias("source")).agg(F.sum("_sum").alias("source_size"))
     targets = source_targets(totals).withColumnRenamed("source", "_source")
     slope, bend = curve(F.nullif(F.sum("target").over(Window.partitionBy()), F.lit(0.0)), F.col("weight"), F.col("target"))
-    targets = targets.withColumns({"_slope": slope, "_bend": bend})
+    targets = broadcast_if_small(stored(targets.withColumns({"_slope": slope, "_bend": bend})))
     order = [F.col("_hash"), F.col(id_col), F.col("size")]
     placed = with_running_total(sized, [source_col], "size", order, bucket, "offset", sums)
     joined = placed.join(targets, F.col(source_col).eqNullSafe(F.col("_source")), "left")
