@@ -13,7 +13,6 @@ for each kind of feature and size of row, by Newton steps over gradients that le
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 from itertools import repeat
 from zlib import crc32
 
@@ -46,6 +45,8 @@ HEAD, HEAD_BYTES = 1 << 17, 8 << 20
 LONGEST = 256
 #: Distinct tokens that a task counts before it passes them on, and their bytes.
 HELD, HELD_BYTES = 1 << 20, 64 << 20
+#: Ends of tokens whose groups are held.
+MOST_ENDS = 1 << 16
 ALPHA = 0.1
 ONES = np.ones(CLASSES, np.float32)
 
@@ -81,16 +82,23 @@ def token_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-@lru_cache(1 << 16)
-def _group_of_end(end: str) -> int:
-    half = CLASSES // 2
-    return (half + crc32(end[-1:].encode()) % half) * GROUPS + crc32(end.encode()) % GROUPS
+class EndGroups(dict):
+    """Groups by the last two characters: the class goes by the last one, the group within it by both.
+
+    Filled as ends come up, and emptied when MOST_ENDS are held.  A plain dict, so that it travels by value.
+    """
+
+    def __missing__(self, end: str) -> int:
+        half = CLASSES // 2
+        if len(self) >= MOST_ENDS:
+            self.clear()
+        self[end] = group = (half + crc32(end[-1:].encode()) % half) * GROUPS + crc32(end.encode()) % GROUPS
+        return group
 
 
-def _tail_group(token: bytes) -> int:
-    """The class goes by the last character, the group within it by the last two."""
+def _tail_group(token: bytes, ends: EndGroups) -> int:
     end = token[-2:]
-    return _group_of_end(end.decode() if end.isascii() else token[-8:].decode("utf-8", "replace")[-2:])
+    return ends[end.decode() if end.isascii() else token[-8:].decode("utf-8", "replace")[-2:]]
 
 
 class Vocabulary:
@@ -100,7 +108,8 @@ class Vocabulary:
         toks = [t.encode("utf-8", "surrogatepass") for t in head]
         self.ids = {t: k for k, t in enumerate(toks)}
         self.counts = counts
-        self.groups = np.array([k if k < OWN_GROUP else _tail_group(t) for k, t in enumerate(toks)], dtype=np.int64)
+        self.ends = EndGroups()
+        self.groups = np.array([k if k < OWN_GROUP else _tail_group(t, self.ends) for k, t in enumerate(toks)], dtype=np.int64)
         self.hashes = np.array([crc32(t) for t in toks], dtype=np.int64)
 
     def read(self, toks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
@@ -111,7 +120,7 @@ class Vocabulary:
         hashes = self.hashes[ids] if len(self.hashes) else np.zeros(len(ids), np.int64)
         names = [toks[k] for k in rare.tolist()]
         if names:
-            groups[rare] = np.fromiter(map(_tail_group, names), dtype=np.int64, count=len(names))
+            groups[rare] = np.fromiter(map(_tail_group, names, repeat(self.ends)), dtype=np.int64, count=len(names))
             hashes[rare] = np.fromiter(map(crc32, names), dtype=np.int64, count=len(names))
         return ids, groups, hashes, names
 
@@ -341,8 +350,9 @@ def group_mass(counts: DataFrame, head: list[tuple[str, int]]) -> np.ndarray:
     mass = np.full(CLASSES * GROUPS, ALPHA)
     for row in counts.groupBy(group.cast("int").alias("g")).agg(F.sum(F.col("n") + ALPHA).alias("m")).collect():
         mass[row["g"]] += row["m"]
+    ends = EndGroups()
     for k, (token, n) in enumerate(head[:OWN_GROUP]):
-        mass[_tail_group(token.encode("utf-8", "surrogatepass"))] -= n + ALPHA
+        mass[_tail_group(token.encode("utf-8", "surrogatepass"), ends)] -= n + ALPHA
         mass[k] += n
     return np.maximum(np.round(mass, 6), ALPHA)
 

@@ -84,7 +84,7 @@ def small():
     vocab = lm_scoring.Vocabulary([t.decode() for t in head], np.array([counts[t] for t in head]))
     from zlib import crc32
 
-    group = lambda t: head.index(t) if t in head else lm_scoring._tail_group(t)
+    group = lambda t: head.index(t) if t in head else lm_scoring._tail_group(t, lm_scoring.EndGroups())
     read = [([group(t) for t in doc], [crc32(t) for t in doc]) for doc in toks]
     share = np.bincount([g for gs, _ in read for g in gs], minlength=lm_scoring.CLASSES * lm_scoring.GROUPS) + 0.1
     share = share / share.sum()
