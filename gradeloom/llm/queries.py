@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, language_id, line_dedup, lm_scoring, media, mixing, sharding, simhash, toxicity
+from . import decontaminate, html_text, language_id, line_dedup, lm_scoring, media, mixing, pii, sharding, simhash, spelling, toxicity, word_runs
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,7 +15,10 @@ QUERIES = {
     "op8_html_extraction": html_text.op8_html_extraction,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_simhash_dedup": simhash.op10_simhash_dedup,
+    "op11_pii": pii.op11_pii,
+    "op12_periodic_runs": word_runs.op12_periodic_runs,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
     "llm_proximity_matches": decontaminate.llm_proximity_matches,
 }
 
-ORACLE = line_dedup.ORACLE | decontaminate.ORACLE | mixing.ORACLE
+ORACLE = line_dedup.ORACLE | decontaminate.ORACLE | mixing.ORACLE | pii.ORACLE
