@@ -19,10 +19,17 @@ def apply_null_policy(df: DataFrame, policy: str = "drop") -> DataFrame:
     return df.withColumn("pred", F.coalesce("pred", F.lit(word)))
 
 
+def fold_other(df: DataFrame, labels: list[str] | None = None) -> DataFrame:
+    """Predictions outside ``labels`` as one bucket, unless they are right; all as they are without labels."""
+    if labels is None:
+        return df
+    known = F.col("pred").isin(labels) | (F.col("pred") == F.col("gold"))
+    return df.withColumn("pred", F.when(known, F.col("pred")).otherwise(F.lit(OTHER)))
+
+
 def confusion(df: DataFrame, keys: list[str], labels: list[str] | None = None) -> DataFrame:
     """Rows per (keys, gold, pred).  With fixed labels, all other predictions are one bucket, so free text can't widen the groups."""
-    pred = F.col("pred") if labels is None else F.when(F.col("pred").isin(labels), F.col("pred")).otherwise(F.when(F.col("pred") == F.col("gold"), F.col("pred")).otherwise(F.lit(OTHER)))
-    return df.withColumn("pred", pred).groupBy(*keys, "gold", "pred").agg(F.count(F.lit(1)).alias("n"))
+    return fold_other(df, labels).groupBy(*keys, "gold", "pred").agg(F.count(F.lit(1)).alias("n"))
 
 
 def class_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -70,7 +77,6 @@ def metrics_by_task(df: DataFrame, keys: list[str]) -> DataFrame:
     inside = F.col("_labels").isNull() | F.array_contains("_labels", F.col("label"))
     p, r = _ratio(F.col("tp"), F.col("predicted")), _ratio(F.col("tp"), F.col("support"))
     f1 = _ratio(2 * F.col("tp"), F.col("support") + F.col("predicted"))
-    k = F.coalesce(F.max(F.size("_labels")), F.count(F.lit(1)))
     k = F.when(F.max(F.col("_labels").isNotNull()), F.max(F.size("_labels"))).otherwise(F.count(F.lit(1)))
     mean = lambda x: F.coalesce(F.sum(F.when(inside, x)), F.lit(0.0)) / k
     accs = F.map_from_entries(F.sort_array(F.collect_list(F.when(inside & (F.col("support") > 0), F.struct("label", (F.col("tp") / F.col("support")).alias("acc"))))))

@@ -535,13 +535,18 @@ def word_error_rate(spark, sf_dir):
     return rounded(W.word_error_rate(pairs, ["role"], "text", "heard"), "wer")
 
 
-@query("SELECT CAST(user_id % 4 AS BIGINT) AS model, event_type AS gold, CASE WHEN value > 50 THEN event_type ELSE 'other' END AS pred, count(*) AS n FROM events GROUP BY ALL")
+@query("""SELECT CAST(user_id % 4 AS BIGINT) AS model, event_type AS gold,
+CASE WHEN event_id % 7 = 0 THEN 'early' WHEN value > 50 THEN event_type ELSE 'other' END AS pred, count(*) AS n FROM events GROUP BY ALL""")
 def streamed_confusion(spark, sf_dir):
-    """The events as a stream, worked off once; equal to the batch counts."""
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    # The glob lets a stream read a single file as well as a folder of them.
-    stream = spark.readStream.schema(schema).parquet(f"{path}*")
-    rows = stream.select(F.col("ts").cast("timestamp").alias("ts"), "event_id", (F.col("user_id") % 4).cast("long").alias("model"), F.col("event_type").alias("gold"), F.when(F.col("value") > 50, F.col("event_type")).otherwise("other").alias("pred"))
-    kinds = [r[0] for r in spark.read.parquet(path).select("event_type").distinct().collect()]
-    return S.run_to_end(S.stream_confusion(rows, ["model"], [*kinds, "other"], id_col="event_id"), scratch_folder(spark), scratch_folder(spark))
+    """The events as a stream of several batches, with items sent again: some later, which changes nothing, and some with
+    an earlier time, which takes the place of what has been counted."""
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 4).cast("long").alias("model"), F.col("event_type").alias("gold"), F.when(F.col("value") > 50, F.col("event_type")).otherwise("other").alias("pred"))
+    path = scratch_folder(spark)
+    again = events.filter("event_id % 5 = 0").withColumns({"ts": F.expr("ts + INTERVAL 1 HOUR"), "pred": F.lit("late")})
+    earlier = events.filter("event_id % 7 = 0").withColumns({"ts": F.expr("ts - INTERVAL 1 HOUR"), "pred": F.lit("early")})
+    for part in (again, events, earlier):
+        part.write.mode("append").parquet(path)
+    third = -(-len(spark.read.parquet(path).inputFiles()) // 3)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", third).parquet(path)
+    kinds = [r[0] for r in events.select("gold").distinct().collect()]
+    return S.run_to_end(S.stream_confusion(stream, ["model"], [*kinds, "other", "early", "late"], id_col="event_id"), scratch_folder(spark), scratch_folder(spark))

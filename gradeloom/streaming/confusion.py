@@ -1,28 +1,86 @@
-"""Confusion counts over a stream of predictions; the batch result equals the stream's."""
+"""Confusion counts over a stream of predictions, equal to the batch counts whatever the order of arrival.
+
+Each item's standing row is kept as keyed state without a time limit, so no row is too late.  A row that changes it gives
+changes of counts, +1 for the new cell and -1 for the old one; each batch's changes are summed and stored in a folder of
+their own, named by the batch.  A batch that runs again after a failure starts from the state before it and replaces its
+folder, so nothing counts twice.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupStateTimeout
+
+from ..operators.metrics import fold_other
+
+#: Later than any time: rows without one stand only until one with a time comes.
+NO_TIME = (1 << 63) - 1
+
+
+def _places(predictions: DataFrame, keys: list[str], labels: list[str] | None, time_col: str) -> DataFrame:
+    """``_at`` and ``_row``: by the least of both an item's standing row is chosen."""
+    cell = F.to_json(F.struct(*keys, "gold", "pred"))
+    at = F.coalesce(F.unix_micros(F.col(time_col).cast("timestamp")), F.lit(NO_TIME))
+    return fold_other(predictions, labels).withColumns({"_at": at, "_row": cell})
+
+
+def _cell_type(predictions: DataFrame, keys: list[str]) -> T.StructType:
+    return T.StructType([T.StructField(n, predictions.schema[n].dataType) for n in [*keys, "gold", "pred"]])
 
-from ..operators.metrics import confusion
 
+def batch_confusion(predictions: DataFrame, keys: list[str], labels: list[str] | None, time_col: str = "ts", id_col: str = "item_id") -> DataFrame:
+    """Counts per (keys, gold, pred) of a table, each item once: what ``stream_confusion`` gives for the same rows."""
+    rows = _places(predictions, keys, labels, time_col)
+    standing = rows.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(F.struct("_at", "_row")).alias("_first")).select("_first._row")
+    cells = standing.union(rows.filter(F.col(id_col).isNull()).select("_row")).select(F.from_json("_row", _cell_type(predictions, keys)).alias("c"))
+    return cells.groupBy("c").agg(F.count(F.lit(1)).alias("n")).select("c.*", "n")
 
-def stream_confusion(predictions: DataFrame, keys: list[str], labels: list[str], late: str = "1 hour", time_col: str = "ts", id_col: str = "item_id") -> DataFrame:
-    """Running counts per (keys, gold, pred) of a streaming DataFrame; an item that arrives twice within ``late`` counts once.
 
-    Wrong answers outside ``labels`` share one bucket, so free text can't widen the state.
+def stream_confusion(predictions: DataFrame, keys: list[str], labels: list[str] | None, time_col: str = "ts", id_col: str = "item_id") -> DataFrame:
+    """Changes of the counts per (keys, gold, pred) of a streaming DataFrame: the keys, gold, pred and ``change``.
+
+    An item counts once: of its rows the one with the earliest time stands (of equal ones the first by its cell), however
+    late it arrives; a row without a time is the latest.  Rows without an id count each.  Wrong answers outside
+    ``labels`` share one bucket.  The state holds a time and a cell for each item; on a cluster keep it in RocksDB
+    (``spark.sql.streaming.stateStore.providerClass``).
     """
-    once = predictions.withWatermark(time_col, late).dropDuplicatesWithinWatermark([id_col])
-    return confusion(once, keys, labels)
+    rows = _places(predictions, keys, labels, time_col)
+
+    def settle(key, frames, state):
+        import pandas as pd
+
+        old = new = tuple(state.get) if state.exists else None
+        for frame in frames:
+            for found in zip(frame["_at"].tolist(), frame["_row"].tolist(), strict=True):
+                new = found if new is None or found < new else new
+        if new != old:
+            state.update(new)
+            changes = [(new[1], 1), *([(old[1], -1)] if old else [])]
+            yield pd.DataFrame(changes, columns=["_row", "change"])
 
+    change = T.StructType([T.StructField("_row", T.StringType()), T.StructField("change", T.LongType())])
+    kept = T.StructType([T.StructField("at", T.LongType()), T.StructField("row", T.StringType())])
+    named = rows.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), "_at", "_row")
+    changes = named.groupBy("_id").applyInPandasWithState(settle, change, kept, "update", GroupStateTimeout.NoTimeout)
+    nameless = rows.filter(F.col(id_col).isNull()).select("_row", F.lit(1).cast("long").alias("change"))
+    return changes.union(nameless).select(F.from_json("_row", _cell_type(predictions, keys)).alias("c"), "change").select("c.*", "change")
 
-def run_to_end(counts: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Work off all that has arrived; each batch's counts replace those in ``path``, which executors write and read."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+def run_to_end(changes: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Work off all that has arrived; may be called again with the same folders when more has, or after a failure."""
+    cell = [c for c in changes.columns if c != "change"]
 
-    query = counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def write(batch: DataFrame, number: int) -> None:
+        batch.groupBy(*cell).agg(F.sum("change").alias("change")).filter("change <> 0").write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = changes.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return counts.sparkSession.read.schema(counts.schema).parquet(path)
+    return counts_so_far(changes.sparkSession, path, T.StructType([*changes.select(*cell).schema.fields, T.StructField("change", T.LongType())]))
+
+
+def counts_so_far(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The counts after all batches stored in ``path``; cells that have emptied are left out."""
+    changes = spark.read.schema(schema).option("basePath", path).parquet(f"{path}/batch=*")
+    return changes.groupBy(*[c for c in schema.names if c != "change"]).agg(F.sum("change").alias("n")).filter("n <> 0")
