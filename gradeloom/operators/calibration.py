@@ -1,7 +1,7 @@
 """Threshold sweeps, selective prediction, AUROC and separability of scored predictions.
 
 Every sweep first counts rows per (run, score), then takes running sums over the distinct scores: n log n, where checking
-each threshold against each row would be quadratic.
+each threshold against each row would be quadratic.  A run is ordered by one task, or with ``buckets`` part by part.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..sources.scratch import stored
 from .keys import join_on
 from .metrics import from_confusion
 from .partitions import in_order
@@ -61,28 +62,48 @@ def auroc(counts: DataFrame, keys: list[str], score: str = "score", buckets: int
     return ranked.groupBy(*keys).agg(F.when(pairs > 0, won / (2 * pairs)).alias("auroc"))
 
 
+def _candidates(counts: DataFrame, keys: list[str], score: str, buckets: int | None) -> DataFrame:
+    """``thresholds`` with ``won``: twice the pairs that the positives of a score win, so AUROC comes from the same rows."""
+    rows = in_order(counts, keys, score, ["n_pos", "n_neg"], buckets).withColumnsRenamed({"n_pos_all": "P", "n_neg_all": "N"})
+    won = F.col("n_pos").cast("double") * (2.0 * F.col("n_neg_before") + F.col("n_neg"))
+    at = F.when(F.col("_prev").isNull(), F.col(score) - EDGE).otherwise((F.col("_prev") + F.col(score)) / 2)
+    here = F.struct(at.alias("t"), (F.col("P") - F.col("n_pos_before")).alias("tp"), (F.col("N") - F.col("n_neg_before")).alias("fp"), won.alias("won"))
+    above = F.struct((F.col(score) + EDGE).alias("t"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"), F.lit(0.0).alias("won"))
+    return rows.select(*keys, "P", "N", F.explode(F.when(F.col("_next").isNull(), F.array(here, above)).otherwise(F.array(here))).alias("c")).select(*keys, "P", "N", "c.*")
+
+
 def thresholds(counts: DataFrame, keys: list[str], score: str = "score", buckets: int | None = None) -> DataFrame:
     """Candidates: just below the least score, halfway between neighbours, just above the largest; with the counts at or above."""
-    rows = in_order(counts, keys, score, ["n_pos", "n_neg"], buckets).withColumnsRenamed({"n_pos_all": "P", "n_neg_all": "N"})
-    here = F.struct(F.when(F.col("_prev").isNull(), F.col(score) - EDGE).otherwise((F.col("_prev") + F.col(score)) / 2).alias("t"), (F.col("P") - F.col("n_pos_before")).alias("tp"), (F.col("N") - F.col("n_neg_before")).alias("fp"))
-    above = F.struct((F.col(score) + EDGE).alias("t"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"))
-    return rows.select(*keys, "P", "N", F.explode(F.when(F.col("_next").isNull(), F.array(here, above)).otherwise(F.array(here))).alias("c")).select(*keys, "P", "N", "c.t", "c.tp", "c.fp")
+    return _candidates(counts, keys, score, buckets).drop("won")
 
 
-def best_threshold(counts: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
-    """The threshold (positive at or above) of the best macro-F1; the smallest of equal ones.  With its accuracies."""
-    c = thresholds(counts, keys, score).withColumns({"fn": F.col("P") - F.col("tp"), "tn": F.col("N") - F.col("fp")})
+def threshold_figures(counts: DataFrame, keys: list[str], score: str = "score", buckets: int | None = None) -> DataFrame:
+    """AUROC and the best threshold's figures of each run, ``auroc`` and ``best``, from one ordering of its scores."""
+    c = _candidates(counts, keys, score, buckets).withColumns({"fn": F.col("P") - F.col("tp"), "tn": F.col("N") - F.col("fp")})
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     f1 = (ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")) + ratio(2 * F.col("tn"), 2 * F.col("tn") + F.col("fp") + F.col("fn"))) / 2
     c = c.withColumns({"macro_f1": f1, "accuracy": (F.col("tp") + F.col("tn")) / (F.col("P") + F.col("N")), "balanced_accuracy": (ratio(F.col("tp"), F.col("P")) + ratio(F.col("tn"), F.col("N"))) / 2})
-    best = c.groupBy(*keys).agg(F.max_by(F.struct("macro_f1", "accuracy", "balanced_accuracy", F.col("t").alias("threshold")), F.struct("macro_f1", -F.col("t"))).alias("b"))
-    return best.select(*keys, "b.*")
+    pairs = F.max("P").cast("double") * F.max("N").cast("double")
+    best = F.max_by(F.struct("macro_f1", "accuracy", "balanced_accuracy", F.col("t").alias("threshold")), F.struct("macro_f1", -F.col("t")))
+    return c.groupBy(*keys).agg(F.when(pairs > 0, F.sum("won") / (2 * pairs)).alias("auroc"), best.alias("best"))
+
 
+def best_threshold(counts: DataFrame, keys: list[str], score: str = "score", buckets: int | None = None) -> DataFrame:
+    """The threshold (positive at or above) of the best macro-F1; the smallest of equal ones.  With its accuracies.
 
-def selective(df: DataFrame, keys: list[str], margin: str = "margin", correct: str = "correct", coverage: float = 0.8) -> DataFrame:
+    The best of each part of a run is found by itself, then the best of those.  ``buckets``: see ``in_order``.
+    """
+    return threshold_figures(counts, keys, score, buckets).select(*keys, "best.*")
+
+
+def selective(df: DataFrame, keys: list[str], margin: str = "margin", correct: str = "correct", coverage: float = 0.8, buckets: int | None = None) -> DataFrame:
     """The margin threshold with the best accuracy of the rows kept, among those that keep ``coverage`` of all; smallest of equal ones."""
-    counts = df.groupBy(*keys, margin).agg(F.count_if(correct).alias("n_pos"), F.count_if(~F.col(correct)).alias("n_neg"))
-    c = thresholds(counts, keys, margin).withColumns({"kept": F.col("tp") + F.col("fp"), "all": F.col("P") + F.col("N")})
+    return selective_figures(score_counts(df, keys, margin, correct), keys, margin, coverage, buckets)
+
+
+def selective_figures(counts: DataFrame, keys: list[str], margin: str = "margin", coverage: float = 0.8, buckets: int | None = None) -> DataFrame:
+    """``selective`` from the right (``n_pos``) and wrong (``n_neg``) rows of each margin."""
+    c = thresholds(counts, keys, margin, buckets).withColumns({"kept": F.col("tp") + F.col("fp"), "all": F.col("P") + F.col("N")})
     c = c.filter((F.col("kept") > 0) & (F.col("kept") / F.col("all") >= coverage)).withColumns({"coverage": F.col("kept") / F.col("all"), "kept_accuracy": F.col("tp") / F.col("kept")})
     best = c.groupBy(*keys).agg(F.max_by(F.struct("coverage", "kept_accuracy", F.col("t").alias("threshold")), F.struct("kept_accuracy", -F.col("t"))).alias("b"))
     return best.select(*keys, "b.*")
@@ -99,33 +120,68 @@ def mean_margins(df: DataFrame, keys: list[str], margin: str = "margin", correct
     return df.groupBy(*keys).agg(F.avg(margin).alias("mean_margin"), F.avg(F.when(F.col(correct), F.col(margin))).alias("mean_margin_correct"), F.avg(F.when(~F.col(correct), F.col(margin))).alias("mean_margin_wrong"))
 
 
-def audit(df: DataFrame, keys: list[str], scores: str = "scores") -> DataFrame:
+def histogram(df: DataFrame, keys: list[str], scores: str = "scores") -> DataFrame:
+    """Rows per (keys, gold, pred, is_pos, score, margin, ``_k``: the run's number of labels), stored; all that an audit needs.
+
+    Rows that the audit leaves out are there with a null gold.  The input is read once: its maps are stored first, since a
+    run's labels come from all of them.
+    """
+    taken = [*keys, "gold", scores]
+    maps = stored(df.select(*taken))
+    judged = scored_rows(maps, keys, scores).withColumn("gold", F.upper("gold")).filter(F.array_contains("_labels", F.col("gold")))
+    figures = ["gold", "pred", "is_pos", "score", "margin", "_k"]
+    judged = judged.withColumns({"is_pos": F.col("gold") == F.col("positive"), "_k": F.size("_labels")})
+    counted = judged.groupBy(*keys, *figures).agg(F.count(F.lit(1)).alias("n"))
+    everything = maps.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    left_out = everything.select(*keys, *[F.lit(None).cast(judged.schema[c].dataType).alias(c) for c in figures], "n")
+    return stored(counted.union(left_out))
+
+
+def audit(df: DataFrame, keys: list[str], scores: str = "scores", buckets: int | None = None) -> DataFrame:
     """One row per run with all of the above; threshold figures for runs of two labels only.
 
     Rows without a score for each of the run's labels, or with a gold label that isn't one of them, are left out and
-    counted in ``n_skipped``.  The baseline is the label of the best score.
+    counted in ``n_skipped``; a run without any row left has no row.  The baseline is the label of the best score.  All
+    figures come from one stored histogram.  ``buckets``: see ``in_order``, for runs of very many scores.
     """
-    rows = scored_rows(df, keys, scores).withColumn("gold", F.upper("gold")).filter(F.array_contains("_labels", F.col("gold")))
-    rows = rows.withColumns({"is_pos": F.col("gold") == F.col("positive"), "correct": F.col("gold") == F.col("pred"), "_two": F.size("_labels") == 2})
-    two = rows.filter("_two")
-    counts = score_counts(two, keys)
+    rows = histogram(df, keys, scores).withColumn("correct", F.col("gold") == F.col("pred"))
+    n, right, pos = F.col("n"), F.col("correct"), F.col("is_pos")
+    some = lambda cond, x=n: F.sum(F.when(cond, x))
+    mean = lambda cond, x: some(cond, n * F.col(x)) / some(cond)
+    kept, two = F.col("gold").isNotNull(), F.col("_k") == 2
+    ratio = lambda a, b: F.coalesce(F.coalesce(a, F.lit(0)) / b, F.lit(0.0))
+    base = rows.groupBy(*keys).agg(
+        F.coalesce(some(kept), F.lit(0)).alias("n"),
+        (some(~kept) - F.coalesce(some(kept), F.lit(0))).alias("n_skipped"),
+        ratio(some(right), some(kept)).alias("baseline_accuracy"),
+        F.max("_k").alias("_k"),
+        F.when(F.max("_k") == 2, (ratio(some(two & pos & right), some(two & pos)) + ratio(some(two & ~pos & right), some(two & ~pos))) / 2).alias("baseline_balanced_accuracy"),
+        mean(kept, "margin").alias("mean_margin"),
+        mean(right, "margin").alias("mean_margin_correct"),
+        mean(~right, "margin").alias("mean_margin_wrong"),
+        mean(two & pos, "score").alias("mean_pos"),
+        mean(two & ~pos, "score").alias("mean_neg"),
+    ).filter("n > 0")
+    # Deviations from the means, in a second pass over the histogram: sums of squares would lose digits.
+    spread = join_on(rows.filter(kept & two), base.select(*keys, "mean_pos", "mean_neg"), keys, "inner")
+    square = lambda m: n * F.pow(F.col("score") - F.col(m), 2)
+    variance = lambda cond, m: some(cond, square(m)) / some(cond)
+    spread = spread.groupBy(*keys).agg(F.sqrt((variance(pos, "mean_pos") + variance(~pos, "mean_neg")) / 2).alias("_pooled"))
+    confused = rows.filter(kept).groupBy(*keys, "gold", "pred").agg(F.sum("n").alias("n"))
     # The run's labels that no row shows count with an F1 of 0.
-    base = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("correct").cast("double")).alias("baseline_accuracy"), F.max(F.size("_labels")).alias("_k"))
-    confused = rows.groupBy(*keys, "gold", "pred").agg(F.count(F.lit(1)).alias("n"))
-    seen = confused.select(*keys, F.explode(F.array("gold", "pred")).alias("_x")).groupBy(*keys).agg(F.count_distinct("_x").alias("_seen"))
-    f1 = from_confusion(confused, keys, None).select(*keys, F.col("F1_macro").alias("_f1"))
-    sides = two.groupBy(*keys).agg(*[(F.count_if(side & F.col("correct")) / F.nullif(F.count_if(side), F.lit(0))).alias(n) for n, side in (("_tpr", F.col("is_pos")), ("_tnr", ~F.col("is_pos")))])
-    balanced = sides.select(*keys, ((F.coalesce("_tpr", F.lit(0.0)) + F.coalesce("_tnr", F.lit(0.0))) / 2).alias("baseline_balanced_accuracy"))
-    whole = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
+    seen = from_confusion(confused, keys, None).select(*keys, F.col("F1_macro").alias("_f1"))
+    shown = confused.select(*keys, F.explode(F.array("gold", "pred")).alias("_x")).groupBy(*keys).agg(F.count_distinct("_x").alias("_seen"))
+    tally = lambda by, hit: rows.filter(kept & two).groupBy(*keys, by).agg(F.coalesce(some(hit), F.lit(0)).alias("n_pos"), F.coalesce(some(~hit), F.lit(0)).alias("n_neg"))
+    best = threshold_figures(tally("score", pos), keys, "score", buckets)
+    margins = selective_figures(tally("margin", right), keys, "margin", buckets=buckets)
+    best = best.select(*keys, "auroc", *[F.col(f"best.{c}").alias(f"threshold_best_{c}") for c in ("macro_f1", "accuracy", "balanced_accuracy", "threshold")])
+    margins = margins.select(*keys, *[F.col(c).alias(f"margin_selective_{c}") for c in margins.columns if c not in keys])
     out = base
-    for part in (whole, seen, f1, balanced, mean_margins(rows, keys), auroc(counts, keys), d_prime(two, keys)):
+    for part in (spread, seen, shown, best, margins):
         out = join_on(out, part, keys)
-    out = out.withColumns({"n_skipped": F.col("_all") - F.col("n"), "baseline_macro_f1": F.col("_f1") * F.col("_seen") / F.col("_k"), "type": F.when(F.col("_k") == 2, "binary").otherwise("multiclass")}).drop("_all", "_seen", "_f1", "_k")
-    best = best_threshold(counts, keys)
-    best = best.select(*keys, *[F.col(c).alias(f"threshold_best_{c}") for c in best.columns if c not in keys])
-    kept = selective(two, keys)
-    kept = kept.select(*keys, *[F.col(c).alias(f"margin_selective_{c}") for c in kept.columns if c not in keys])
-    return join_on(join_on(out, best, keys), kept, keys)
+    d_prime_ = F.when(F.col("_pooled") > 0, (F.col("mean_pos") - F.col("mean_neg")) / F.col("_pooled"))
+    out = out.withColumns({"baseline_macro_f1": F.col("_f1") * F.col("_seen") / F.col("_k"), "type": F.when(F.col("_k") == 2, "binary").otherwise("multiclass"), "d_prime": d_prime_})
+    return out.drop("_k", "_pooled", "_f1", "_seen")
 
 
 def calibration_gain(audited: DataFrame, keys: list[str]) -> DataFrame:
