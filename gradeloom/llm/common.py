@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.scratch import scratch_folder
+from ..sources.scratch import discard, stored  # noqa: F401 - operators import them from here
 
 #: Words are maximal runs of anything but these ASCII white-space characters (fixed by the contracts).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,34 +27,6 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: the lineage ends there, and no work runs twice.
-
-    Spark knows the size of what it reads back, so it broadcasts such a table only below its threshold.  The files go when
-    the session's JVM ends, or before that by ``discard``.
-    """
-    spark = df.sparkSession
-    path = scratch_folder(spark)
-    df.write.parquet(path)
-    fs, target = _folder(spark, path)
-    fs.deleteOnExit(target)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
-def discard(*stored_tables: DataFrame) -> None:
-    """Delete the files of tables from ``stored`` that nothing will read again."""
-    for df in stored_tables:
-        fs, target = _folder(df.sparkSession, df._stored_at)
-        fs.delete(target, True)
-
-
-def _folder(spark: SparkSession, path: str):
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
-
-
 def annotate(df: DataFrame, inputs: list[str], make: Callable, fields: list[T.StructField], keep: list[str] | None = None) -> DataFrame:
     """Append columns that are computed batch by batch, without a shuffle.
 
