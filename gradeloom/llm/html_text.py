@@ -29,8 +29,9 @@ AROUND = frozenset("nav footer aside form menu dialog label fieldset".split())
 AROUND_NAMES = re.compile(
     r"(?:^|[^a-z])(?:ad|ads|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|footer\w*|header|masthead|sidebar\w*|side|widget\w*|notice\w*|cookie\w*|consent|gdpr|alert|popup|modal|overlay|share|sharing|social|related|recommend\w*|newsletter|subscri\w*|signup|login|search|pager|pagination|toolbar|complementary|contentinfo|navigation)(?:$|[^a-z])"
 )
-#: Names of reader comments.  They are prose with the ratios of an article, so only the name tells them apart.
-READERS = re.compile(r"(?:^|[^a-z])(?:comment\w*|disqus|reply|replies|respond)(?:$|[^a-z])")
+#: Names of reader comments, of which each is a whole one: commentary, or a reply that an article quotes, is its own.  Comments
+#: are prose with the ratios of an article, so they weigh far less.
+READERS = re.compile(r"(?:^|[-_])comments?(?:$|[-_])|^disqus\w*$|^(?:reply|replies|respond)$|^repl(?:y|ies)[-_](?:list|form|box|area|section)$")
 #: Names that only say what a wrapper holds or lacks, and those of an article's own head.
 WRAPPER_NAMES = re.compile(r"(?:^|[-_])(?:with|without|no|not|has|have|hide|show|is)[-_]|(?:^|[-_])(?:article|entry|post|story|section|content)[-_]*header$")
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
@@ -41,12 +42,12 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 #: A block ends an open paragraph; items and cells end their like.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "body": ("head",)}
 STOPS = frozenset("ul ol table dl article section div main body".split())
-#: Elements deeper than this are read as if they stood here.
+#: Elements deeper than this have no path of their own; where they begin and end is kept track of all the same.
 DEPTH = 128
 #: Half width of the smoothing over leaves in page order.
 SMOOTH = 2
 #: A path is content from this part of the page's mean score on; what surrounds an article by its name weighs less than that.
-STRICT, WEIGHT = 0.4, 0.05
+STRICT, WEIGHT, READERS_WEIGHT = 0.4, 0.05, 0.05**3
 #: Short blocks go with the container in which this share of the text is content.
 SHARE = 0.6
 
@@ -54,12 +55,17 @@ SHARE = 0.6
 class Path:
     """A root-to-leaf tag path below <body>: its names, and the sums over the leaves that have it."""
 
-    __slots__ = ("parent", "tag", "depth", "called", "around", "unseen", "main", "n", "length", "marks")
+    __slots__ = ("parent", "tag", "depth", "called", "around", "unseen", "main", "wraps", "n", "length", "marks")
 
     def __init__(self, parent: Path | None, tag: str, called: str, around: bool, unseen: bool):
         self.parent, self.tag, self.called, self.around, self.unseen = parent, tag, called, around, unseen
         self.depth = parent.depth + 1 if parent else 0
         self.main = tag in ("article", "main") or (parent is not None and parent.main)
+        #: Whether an article or main stands within it.
+        self.wraps = False
+        if self.main and not (parent is not None and parent.main):
+            while parent is not None:
+                parent.wraps, parent = True, parent.parent
         self.n = self.length = self.marks = 0
 
 
@@ -126,14 +132,23 @@ def leaves_of(page: str) -> list[Leaf]:
     known: dict[tuple[int, str, str], Path] = {}
     stack: list[tuple[str, Path, Path]] = []  # name, path inside, path outside
     opened: dict[str, int] = {}
+    deep: list[str] = []  # the elements beyond DEPTH
+    deep_opened: dict[str, int] = {}
     out: list[Leaf] = []
     leaf: Leaf | None = None
     here = root
 
+    def rise(depth: int) -> None:
+        """Close the elements beyond DEPTH from ``depth`` on."""
+        for name in deep[depth:]:
+            deep_opened[name] -= 1
+        del deep[depth:]
+
     def close(depth: int) -> bool:
         """Close the elements from ``depth`` on; true if one of them has a path of its own."""
         nonlocal here
         own = False
+        rise(0)
         for name, inner, outer in stack[depth:]:
             opened[name] -= 1
             own |= inner is not outer
@@ -150,7 +165,14 @@ def leaves_of(page: str) -> list[Leaf]:
             continue
         name = m[2].lower()
         if m[1]:
-            if opened.get(name):
+            if deep_opened.get(name):
+                depth = len(deep) - 1
+                while deep[depth] != name:
+                    depth -= 1
+                rise(depth)
+                if name in BLOCKS:
+                    leaf = None
+            elif opened.get(name):
                 depth = len(stack) - 1
                 while stack[depth][0] != name:
                     depth -= 1
@@ -165,15 +187,25 @@ def leaves_of(page: str) -> list[Leaf]:
             continue
         if name in BLOCKS:
             leaf = None
-            ends = (*ENDS.get(name, ()), "p")
-            if any(opened.get(x) for x in ends):
+            ends, met = (*ENDS.get(name, ()), "p"), len(deep) > DEPTH
+            for k in range(len(deep) - 1, max(-1, len(deep) - 1 - DEPTH), -1):
+                met = met or deep[k] in ends or deep[k] in STOPS
+                if met:
+                    if deep[k] in ends:
+                        rise(k)
+                    break
+            if not met and any(opened.get(x) for x in ends):
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] in ends:
                         close(k)
                         break
                     if stack[k][0] in STOPS:
                         break
-        if m[3].endswith("/") or len(stack) >= DEPTH:
+        if m[3].endswith("/"):
+            continue
+        if len(stack) >= DEPTH:
+            deep.append(name)
+            deep_opened[name] = deep_opened.get(name, 0) + 1
             continue
         names = {k.lower(): (a or b or c).lower() for k, a, b, c in NAMES.findall(m[3])} if "=" in m[3] else {}
         called = around_name(" ".join(names.values()), here.main or name in ("article", "main")) if names and name not in ("html", "body") else ""
@@ -190,35 +222,6 @@ def leaves_of(page: str) -> list[Leaf]:
     return out
 
 
-def counted_names(leaves: list[Leaf]) -> set[str]:
-    """The names that count: those that cover at most half of the page's text, or outside all of whose text an article or main stands."""
-    covered: dict[str, list] = {}
-    mains = sum(x.path.main for x in leaves)
-    for leaf in leaves:
-        p, names = leaf.path, set()
-        while p is not None:
-            if p.called:
-                names.add(p.called)
-            p = p.parent
-        for name in names:
-            c = covered.setdefault(name, [0, 0])
-            c[0] += len(leaf.text)
-            c[1] += leaf.path.main
-    whole = sum(len(x.text) for x in leaves)
-    counted = {name for name, (size, main) in covered.items() if 2 * size <= whole or (mains and not main)}
-    left = sum(len(x.text) for x in leaves if not any(name in counted for name in names_above(x.path)))
-    return counted if left else set()
-
-
-def names_above(path: Path) -> list[str]:
-    names = []
-    while path is not None:
-        if path.called:
-            names.append(path.called)
-        path = path.parent
-    return names
-
-
 def likeness(a: Path, b: Path) -> float:
     """Share of two paths that is the same, from the root: 1 for equal ones; text blocks side by side are half alike at least."""
     if a is b:
@@ -234,14 +237,14 @@ def likeness(a: Path, b: Path) -> float:
 
 
 def path_scores(leaves: list[Leaf], lists: bool = True, ratios: bool = True) -> tuple[np.ndarray, dict[int, float]]:
-    """The score of each leaf's path in the place of the leaf, and the weight of each path (by id; 0: never content).
+    """The score of each leaf's path in the place of the leaf, and the weight of each path (by id).
 
     A path's two ratios are the length of its text and its punctuation per leaf, both times the root of the path's text
     over that of the page's largest path (by weight).  They are smoothed over the leaves in page order, by the likeness of the paths,
-    and fused as their geometric mean.  What surrounds an article by its element or name weighs WEIGHT for each.
+    and fused as their geometric mean.  What surrounds an article by its element or name weighs WEIGHT for each, reader
+    comments READERS_WEIGHT.  A name doesn't weigh on a box that an article or main stands in.
     ``lists`` and ``ratios`` switch either part off, for tests.
     """
-    counted = counted_names(leaves) if lists else set()
     weights: dict[int, float] = {}
 
     def weight(p: Path | None) -> float:
@@ -253,8 +256,8 @@ def path_scores(leaves: list[Leaf], lists: bool = True, ratios: bool = True) ->
         for q in reversed(todo):
             if lists and q.around:
                 w *= WEIGHT
-            if q.called in counted:
-                w *= 0.0 if READERS.search(q.called) else WEIGHT
+            if lists and q.called and not q.wraps:
+                w *= READERS_WEIGHT if any(READERS.search(x) for x in q.called.split()) else WEIGHT
             weights[id(q)] = w
         return w
 
@@ -265,7 +268,7 @@ def path_scores(leaves: list[Leaf], lists: bool = True, ratios: bool = True) ->
     weighed = np.array([weight(x.path) for x in leaves])
     if not ratios:
         return weighed, weights
-    most = max(x.path.length * (weights[id(x.path)] or WEIGHT) for x in leaves)
+    most = max(x.path.length * weights[id(x.path)] for x in leaves)
     own = np.array([(x.path.length / x.path.n, x.path.marks / x.path.n) for x in leaves]) * np.sqrt([[min(1.0, x.path.length / most)] for x in leaves])
     total, mass = own.copy(), np.ones(n)
     for k in range(1, SMOOTH + 1):
@@ -300,9 +303,9 @@ def extract(page: str | None, lists: bool = True, ratios: bool = True) -> str:
     least = STRICT * float((scores * sizes)[judged].sum() / sizes[judged].sum())
     for i in range(len(leaves) - 1, -1, -1):
         if leaves[i].path.tag in HEADINGS and i + 1 < len(leaves):
-            after = max((scores[j] / weights[id(leaves[j].path)] if weights[id(leaves[j].path)] else 0.0) * min(1.0, weights[id(leaves[j].path)] / (weights[id(leaves[i].path)] or 1.0)) for j in range(i + 1, min(i + 4, len(leaves))))
+            after = max(scores[j] / weights[id(leaves[j].path)] * min(1.0, weights[id(leaves[j].path)] / weights[id(leaves[i].path)]) for j in range(i + 1, min(i + 4, len(leaves))))
             scores[i] = max(scores[i], after * weights[id(leaves[i].path)])
-    content = (scores >= least) & (scores > 0)
+    content = scores >= least
     if not content.any():
         content = scores >= scores.max()
     # Text of each path and of those below it in the same surroundings, and what of it is content.
@@ -326,7 +329,7 @@ def extract(page: str | None, lists: bool = True, ratios: bool = True) -> str:
     for p in sorted(order.values(), key=lambda p: p.depth):
         s = sums[id(p)]
         same = p.parent is not None and weights[id(p)] == weights[id(p.parent)]
-        inside[id(p)] = weights[id(p)] > 0 and p.parent is not None and (0 < s[0] * SHARE <= s[1] or (same and inside[id(p.parent)]))
+        inside[id(p)] = p.parent is not None and (0 < s[0] * SHARE <= s[1] or (same and inside[id(p.parent)]))
     return "\n".join(leaf.text for leaf, good in zip(leaves, content, strict=True) if good or inside[id(leaf.path)])
 
 

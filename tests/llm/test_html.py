@@ -103,3 +103,59 @@ def test_deep_and_unclosed_pages():
     assert html_text.extract("a <b") == "a <b"
     assert html_text.extract("x<script>var a = '<p>';</script >y, z") == "xy, z"
     assert html_text.extract("<p>one<!-- <p>two --><p>three &amp four") == "one\nthree & four"
+
+
+ARTICLE = "<p>The article text, which is long enough to be read. It goes on, and on.</p>"
+SAID = "The article text, which is long enough to be read. It goes on, and on."
+READER = "<p>First comment here, I like it. Really, well.</p><p>Second one, no.</p>"
+
+
+@pytest.mark.parametrize("depth", [50, 120, 125, 126, 127, 128, 130, 300, 5000])
+@pytest.mark.parametrize("tag", ["div", "section"])
+def test_boxes_end_where_they_end_at_any_depth(depth, tag):
+    """Elements beyond DEPTH have ends of their own, which don't close boxes outside them."""
+    nested = lambda x: f"<{tag}>" * depth + x + f"</{tag}>" * depth
+    page = f"<{tag}>{nested(ARTICLE * 3)}<{tag} class='comments'>{nested(READER)}</{tag}></{tag}><footer><p>Imprint.</p></footer>"
+    assert html_text.extract(page) == "\n".join([SAID] * 3)
+
+
+def test_items_and_paragraphs_end_beyond_the_depth():
+    deep = "<div>" * 200
+    page = f"{deep}<ul><li>One, item of text. Long.<li>Two, item of text. Long.</ul><p>Three, text. More.<p>Four, text. More.<div>Five, text. More.</div>" + "</div>" * 200 + "<p>Six, text. More.</p>"
+    assert html_text.extract(page).split("\n") == ["One, item of text. Long.", "Two, item of text. Long.", "Three, text. More.", "Four, text. More.", "Five, text. More.", "Six, text. More."]
+
+
+@pytest.mark.parametrize("name", ["commentary", "reply-quote", "respond-to-critics", "commented", "uncommented", "replying"])
+def test_names_like_those_of_comments_stay(name):
+    page = f"<article>{ARTICLE}<div class='{name}'><p>A paragraph, which stays.</p></div>{ARTICLE}</article>"
+    assert html_text.extract(page) == f"{SAID}\nA paragraph, which stays.\n{SAID}"
+
+
+@pytest.mark.parametrize("name", ["comments", "comment", "comment-list", "post-comments", "user_comment", "disqus_thread", "replies", "reply", "respond", "reply-list"])
+def test_reader_comments_go(name):
+    page = f"<article>{ARTICLE * 2}</article><div class='{name}'>{READER * 5}</div>"
+    assert html_text.extract(page) == f"{SAID}\n{SAID}"
+    assert html_text.extract(f"<div class='post'>{ARTICLE * 2}<div id='{name}'>{READER}</div></div>") == f"{SAID}\n{SAID}"
+
+
+@pytest.mark.parametrize("times", [1, 4, 40])
+def test_a_notice_of_any_length_goes(times):
+    notice = "".join(f"<p>We use cookies, and more of them, on every page you see. Number {k}.</p>" for k in range(times))
+    page = f"<div class='notice'>{notice}</div><div class='text'><h1>Title</h1>{ARTICLE * 3}</div><div class='footer'>Imprint, x.</div>"
+    assert html_text.extract(page) == "\n".join(["Title", *[SAID] * 3])
+
+
+@pytest.mark.parametrize("name", ["sidebar-right", "layout sidebar", "has-ads", "promo-page"])
+def test_a_named_wrapper_of_all_keeps_its_text(name):
+    page = f"<div class='{name}'><h1>Title</h1>{ARTICLE * 3}</div><div class='footer'>Imprint, x.</div><a href='#'>Skip</a>"
+    assert html_text.extract(page).split("\n")[:4] == ["Title", *[SAID] * 3]
+    page = f"<div class='{name}'><main><h1>Title</h1>{ARTICLE * 3}</main></div><div class='sidebar'><p>Other, text.</p></div>"
+    assert html_text.extract(page).split("\n") == ["Title", *[SAID] * 3]
+
+
+def test_clashing_names_and_odd_rows(spark):
+    rows = [(1, "u", "<p>a, b.</p>", "old"), (None, None, None, None), (2, "u", "", "x"), (1, "u", "<p>a, b.</p>", "old")]
+    out = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, TEXT string"))
+    assert out.columns == ["page_id", "url", "html", "text", "n_chars"]
+    assert sorted(map(str, out.select("page_id", "text", "n_chars").collect())) == sorted(map(str, out.sparkSession.createDataFrame([(1, "a, b.", 5), (None, "", 0), (2, "", 0), (1, "a, b.", 5)], "page_id long, text string, n_chars long").collect()))
+    assert html_text.extract_text(out.limit(0).select("page_id", "html")).count() == 0
