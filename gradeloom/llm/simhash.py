@@ -121,7 +121,8 @@ def near_links(nodes: DataFrame) -> DataFrame:
     masks = _masks()
     keyed = nodes.select("node", "fp", F.explode(F.array(*[F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for k, m in enumerate(masks)])).alias("s"))
     keyed = keyed.select("node", "fp", "s.part", "s.bits")
-    sizes = keyed.groupBy("part", "bits").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Stored, so that the aggregate doesn't fix the join's partitions and Spark splits a shard that very many share.
+    sizes = stored(keyed.groupBy("part", "bits").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     shared = keyed.join(sizes, ["part", "bits"])
     subs = F.array(*[F.array(*[F.lit(m).cast("long") for m in group]) for group in _split_masks()])
     small = F.array(F.struct(F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("more")))
