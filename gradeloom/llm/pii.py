@@ -60,7 +60,7 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", ".", PARTS, base=True, words=r"\bip\b|address|host|server|adresse|direcci|serv", others="version|release|section|kapitel|chapter"),
     Kind("card", r"[0-9](?:[\x20-]?+[0-9])++", r"[0-9]([\x20-]?[0-9])+", "", f"length({DIGITS}) BETWEEN 12 AND 19 AND {LUHN}", base=True, score=0.7, words="card|visa|master|amex|credit|debit|karte|carte|tarjeta", others="order|invoice|serial|tracking|isbn|token"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", "+", f"length({DIGITS}) BETWEEN 9 AND 15", base=True, score=0.7, words=_PHONE_WORDS),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}(?:(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?|[A-Z0-9]{11,30})", r"[A-Z]{2}[0-9]{2}((\x20[A-Z0-9]{4}){2,7}(\x20[A-Z0-9]{1,3})?|[A-Z0-9]{11,30})", "", f"length({COMPACT}) BETWEEN 15 AND 34 AND {MOD97}", "NOT (s.l rlike '[A-Za-z0-9]' OR s.r rlike '[A-Za-z0-9]')", words="iban|account|konto|compte|cuenta|bank", against=0.0),
+    Kind("iban", r"[A-Z]{2}[0-9]{2}(?:(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?|[A-Z0-9]{11,30})", r"[A-Z]{2}[0-9]{2}((\x20[A-Z0-9]{4}){2,7}(\x20[A-Z0-9]{1,3})?|[A-Z0-9]{11,30})", "", f"length({COMPACT}) BETWEEN 15 AND 34 AND {MOD97}", "NOT (s.l rlike '[A-Za-z0-9]$' OR s.r rlike '^[A-Za-z0-9]')", words="iban|account|konto|compte|cuenta|bank", against=0.0),
     Kind("national_phone", r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}", r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}", "", "true", r"NOT (s.l rlike '[A-Za-z0-9+.-]$|[+][0-9]{1,3}[ .(-]{0,2}$' OR s.r rlike '^[.-]?[A-Za-z0-9]')", score=0.3, words=_PHONE_WORDS, others="order|invoice|serial|tracking|isbn|token"),
     Kind("social_security", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "-", "NOT (s.m rlike '^(000|666|9)|-00-|-0000$')", "NOT (s.l rlike '[A-Za-z0-9.-]$' OR s.r rlike '^[.-]?[A-Za-z0-9]')", score=0.3, words=r"\bssn\b|social|security"),
     Kind("birth_date", r"[0-9]{1,4}[./-][0-9]{1,2}[./-][0-9]{1,4}", r"[0-9]{1,4}[./-][0-9]{1,2}[./-][0-9]{1,4}", "", "s.m rlike '^([0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4}|[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2})$'", "NOT (s.l rlike '[A-Za-z0-9./-]$' OR s.r rlike '^[./-]?[A-Za-z0-9]')", score=0.2, words=r"born|birth|\bdob\b|gebor|geburt|n.e? le|naissance|nacid|nacim"),
