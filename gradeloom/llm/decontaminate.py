@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +21,12 @@ from pyspark.sql import types as T
 from .common import annotate, discard, stored, table
 
 WINDOW = 13
-#: Benchmark text that is broadcast at once; more is searched block by block, one broadcast at a time.
-BLOCK_BYTES = 64 << 20
+#: Windows of the benchmark that are broadcast at once, some 40 bytes each; more are searched block by block, one broadcast at a time.
+BLOCK_WINDOWS = 1 << 20
 #: Words and bytes of text in a shard, at most (or one document).
 SHARD_TOKENS, SHARD_BYTES = 1_000_000, 16 << 20
+#: Windows, and places of their rarest words, that are looked at together.
+SEARCHED_WINDOWS, SEARCHED_PLACES = 1 << 15, 1 << 19
 #: Positions left free between documents, so that no window crosses from one to the next.
 GAP = 64
 #: Hits and items found so far, while a benchmark of several blocks is searched.
@@ -46,21 +48,61 @@ def hashes(found) -> np.ndarray:
 
 
 class Windows:
-    """The windows of a block of benchmark items: word numbers by offset (-1 beyond a window's end), and the items of each."""
-
-    def __init__(self, items: list[tuple[str | None, str | None]], size: int):
-        terms: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            ids = [terms.setdefault(w, len(terms)) for w in words(text)]
-            for i in range(max(1, len(ids) - size + 1) if ids else 0):
-                found.setdefault(tuple(ids[i : i + size]), set()).update([item] if item is not None else [])
-        self.terms = hashes(terms)
-        self.items = list(found.values())
-        self.lengths = np.array([len(w) for w in found], dtype=np.int64)
-        self.table = np.full((len(found), size), -1, dtype=np.int64)
-        for k, w in enumerate(found):
-            self.table[k, : len(w)] = w
+    """The distinct windows of a block of benchmark items, as flat arrays that travel to executors as they are.
+
+    ``terms``: hashes of the block's words; ``tokens``: the items' word numbers, one item after the other; ``starts`` and
+    ``lengths``: each window's place in ``tokens``; ``edges`` and ``owners``: for each window a stretch of item numbers;
+    ``names``: the items' ids.
+    """
+
+    def __init__(self, arrays: tuple):
+        self.terms, self.tokens, self.starts, self.lengths, self.edges, self.owners, self.names = arrays
+
+    def present(self, here: np.ndarray) -> np.ndarray:
+        """The windows all of whose words a shard has; ``here``: the words' places in it, -1 for none."""
+        lacking = np.concatenate([[0], np.cumsum(here[self.tokens] < 0, dtype=np.int32)])
+        return np.flatnonzero(lacking[self.starts + self.lengths] == lacking[self.starts])
+
+    def words_of(self, window: int) -> np.ndarray:
+        return self.tokens[self.starts[window] : self.starts[window] + self.lengths[window]]
+
+    def items_of(self, window: int) -> list[str]:
+        return [self.names[k] for k in self.owners[self.edges[window] : self.edges[window + 1]].tolist()]
+
+
+def windows_of(items: list[tuple[str | None, list[bytes]]], size: int) -> tuple:
+    """The arrays of ``Windows`` for items (id, words).  Equal windows are one; an item without an id owns none."""
+    number: defaultdict[bytes, int] = defaultdict(count().__next__)
+    held, starts, lengths, owners, names, at = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [], 0
+    for item, found in items:
+        if found:
+            n = max(1, len(found) - size + 1)
+            held.append(np.fromiter(map(number.__getitem__, found), dtype=np.int32, count=len(found)))
+            starts.append(np.arange(at, at + n))
+            lengths.append(np.full(n, min(len(found), size)))
+            owners.append(np.full(n, len(names) if item is not None else -1, dtype=np.int32))
+            names += [item] if item is not None else []
+            at += len(found)
+    tokens, starts, lengths, owners = (np.concatenate(x) for x in (held, starts, lengths, owners))
+    padded = np.concatenate([tokens, np.zeros(size, np.int32)])
+    mixed = (padded.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    key = lengths.astype(np.uint64)
+    for k in range(size):
+        key = key * np.uint64(0xBF58476D1CE4E5B9) + np.where(k < lengths, mixed[starts + k], np.uint64(0))
+    _, first, group = np.unique(key, return_index=True, return_inverse=True)
+    other = starts[first[group]]
+    same = lengths == lengths[first[group]]
+    for k in range(size):
+        same &= (k >= lengths) | (padded[starts + k] == padded[other + k])
+    # Windows whose keys only happen to be equal stand for themselves.
+    odd = np.flatnonzero(~same)
+    group[odd] = len(first) + np.arange(len(odd))
+    chosen = np.concatenate([first, odd])
+    named = np.flatnonzero(owners >= 0)
+    named = named[np.argsort(group[named], kind="stable")]
+    edges = np.concatenate([[0], np.cumsum(np.bincount(group[named], minlength=len(chosen)))])
+    return hashes(number), tokens, starts[chosen].astype(np.int32), lengths[chosen].astype(np.int32), edges, owners[named], names
 
 
 class Shard:
@@ -114,22 +156,58 @@ class Shard:
             starts = starts[ok]
         return starts
 
+    def near(self, windows: Windows, here: np.ndarray, slack: int):
+        """(windows, start positions) of the places within ``slack``, window by window."""
+        for w in windows.present(here).tolist():
+            starts = self.occurrences(here[windows.words_of(w)], slack)
+            if len(starts):
+                yield np.full(len(starts), w), starts
+
+    def exact(self, windows: Windows, here: np.ndarray):
+        """(windows, start positions) of exact occurrences, many windows at a time.
+
+        Each window's candidates are the places of its rarest word, moved by that word's offset; those stay at which
+        every other word has a place too.  ``text`` has the lists turned round: which word is at a place.
+        """
+        if not len(self.terms):
+            return
+        text = np.full(self.end + GAP, -1, dtype=np.int32)
+        text[self.places] = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.counts)
+        present, size = windows.present(here), int(windows.lengths.max(initial=0))
+        for lo in range(0, len(present), SEARCHED_WINDOWS):
+            chosen = present[lo : lo + SEARCHED_WINDOWS]
+            inside = np.arange(size) < windows.lengths[chosen][:, None]
+            cells = np.where(inside, here[windows.tokens[np.where(inside, windows.starts[chosen][:, None] + np.arange(size), 0)]], 0)
+            often = np.where(inside, self.counts[cells], np.iinfo(np.int32).max)
+            offset = often.argmin(axis=1)
+            term, n = cells[np.arange(len(chosen)), offset], often.min(axis=1).astype(np.int64)
+            upto = np.cumsum(n)
+            at = 0
+            while at < len(chosen):
+                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SEARCHED_PLACES, side="right")))
+                of = np.repeat(np.arange(at, to), n[at:to])
+                first = self.ends[term[at:to]] - n[at:to]
+                within = np.arange(len(of)) - np.repeat(np.cumsum(n[at:to]) - n[at:to], n[at:to])
+                starts = self.places[np.repeat(first, n[at:to]) + within].astype(np.int64) - offset[of]
+                for k in range(size):
+                    ok = (text[starts + k] == cells[of, k]) | ~inside[of, k]
+                    of, starts = of[ok], starts[ok]
+                if len(of):
+                    yield chosen[of], starts
+                at = to
+
     def search(self, windows: Windows, slack: int, marked: np.ndarray, items: list[set[str]]) -> None:
         """Mark the words in exact occurrences (with ``slack``: the start positions), and add the items to their documents'."""
-        if not windows.items:
-            return
         here = self.look_up(windows.terms)
-        cells = np.where(windows.table >= 0, here[windows.table], len(self.terms))
         edges = np.zeros(self.end + GAP, dtype=np.int32)
-        for w in np.flatnonzero((cells >= 0).all(axis=1)):
-            n = windows.lengths[w]
-            starts = self.occurrences(cells[w, :n], slack)
-            if len(starts):
-                np.add.at(edges, starts, 1)
-                np.add.at(edges, starts + (1 if slack else n), -1)
-                # With slack, a start may lie just before the first word of its document.
-                for d in np.unique(np.searchsorted(self.starts, starts + slack, side="right") - 1):
-                    items[d] |= windows.items[w]
+        found = self.near(windows, here, slack) if slack else self.exact(windows, here)
+        for w, starts in found:
+            np.add.at(edges, starts, 1)
+            np.add.at(edges, starts + (1 if slack else windows.lengths[w]), -1)
+            # With slack, a start may lie just before the first word of its document.
+            at = np.searchsorted(self.starts, starts + slack, side="right") - 1
+            for d, k in set(zip(at.tolist(), w.tolist(), strict=True)):
+                items[d].update(windows.items_of(k))
         marked |= np.cumsum(edges) > 0
 
     def count(self, marked: np.ndarray, slack: int) -> list[int]:
@@ -181,6 +259,10 @@ def search_index(index: DataFrame, bench: DataFrame, fields: list[T.StructField]
     broadcast is dropped before the next, so executors hold one at a time.
     """
     check_slack(slack)
+    return _search_blocks(index, _blocks(bench, item_col, text_col, window), fields, finish, slack)
+
+
+def _search_blocks(index: DataFrame, blocks, fields: list[T.StructField], finish, slack: int) -> DataFrame:
     spark = index.sparkSession
     kept = [f for f in index.schema.fields if not f.name.startswith("_")]
     names, new = [f.name for f in kept], {f.name.lower() for f in fields}
@@ -188,7 +270,7 @@ def search_index(index: DataFrame, bench: DataFrame, fields: list[T.StructField]
     sent = None
 
     def searched(batches, sent, last):
-        windows = Windows(sent.value, window)
+        windows = Windows(sent.value)
         for batch in batches:
             for k in range(batch.num_rows):
                 shard = Shard(*[np.frombuffer(batch.column(c)[k].as_py(), dtype=t) for c, t in (("_lengths", np.int64), ("_terms", np.uint64), ("_counts", np.int32), ("_places", np.int32))])
@@ -207,7 +289,7 @@ def search_index(index: DataFrame, bench: DataFrame, fields: list[T.StructField]
                     yield pa.RecordBatch.from_arrays([*before, *so_far], names=[*names, "_lengths", "_terms", "_counts", "_places", "_marked", "_items"])
 
     state = index
-    for block, last in _blocks(bench, item_col, text_col, BLOCK_BYTES):
+    for block, last in blocks:
         sent = spark.sparkContext.broadcast(block)
         if last:
             return state.mapInArrow(lambda b, sent=sent: searched(b, sent, True), T.StructType([*out_fields, *fields]))
@@ -224,31 +306,32 @@ def check_slack(slack: int) -> None:
         raise ValueError(f"slack must be less than {GAP // 2}: matches would reach into the next document")
 
 
-def _blocks(bench: DataFrame, item_col: str, text_col: str, limit: int):
-    """The benchmark in lists of at most ``limit`` bytes of text (or one item), one at a time, and whether each is the last."""
-    held, size = [], 0
+def _blocks(bench: DataFrame, item_col: str, text_col: str, size: int):
+    """The benchmark's windows in blocks of about BLOCK_WINDOWS (or one item), one at a time, and whether each is the last."""
+    if size > GAP:
+        raise ValueError(f"windows of over {GAP} words would reach into the next document")
+    held, n = [], 0
     for item, text in bench.select(F.col(item_col).cast("string"), text_col).toLocalIterator(prefetchPartitions=True):
-        if held and size >= limit:
-            yield held, False
-            held, size = [], 0
-        held.append((item, text))
-        size += len(text or "") * 4 + 64
-    yield held, True
+        if held and n >= BLOCK_WINDOWS:
+            yield windows_of(held, size), False
+            held, n = [], 0
+        held.append((item, words(text)))
+        n += len(held[-1][1]) + 1
+    yield windows_of(held, size), True
 
 
 def _found(docs: DataFrame, bench: DataFrame, fields: list[T.StructField], finish, slack: int, text_col: str, item_col: str, window: int, keep: list[str] | None) -> DataFrame:
     """Through the stored index; where the texts themselves are kept, each shard is searched when it is indexed instead, so
     that they aren't written twice, unless the benchmark has several blocks."""
     check_slack(slack)
-    blocks = _blocks(bench, item_col, "text", BLOCK_BYTES)
+    blocks = _blocks(bench, item_col, "text", window)
     block, only = next(blocks)
     if not only or (keep is not None and text_col not in keep):
-        blocks.close()
-        return search_index(build_index(docs, text_col, keep), bench, fields, finish, slack, item_col, "text", window)
+        return _search_blocks(build_index(docs, text_col, keep), chain([(block, only)], blocks), fields, finish, slack)
     sent = docs.sparkSession.sparkContext.broadcast(block)
 
     def make():
-        windows = Windows(sent.value, window)
+        windows = Windows(sent.value)
 
         def run(texts):
             parts = []

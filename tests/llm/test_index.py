@@ -18,10 +18,10 @@ def brute_near(w, windows, slack):
     return places, items
 
 
-@pytest.mark.parametrize("block, tokens", [(64 << 20, 1_000_000), (1, 1_000_000), (1, 30), (200, 7)])
+@pytest.mark.parametrize("block, tokens", [(1 << 20, 1_000_000), (1, 1_000_000), (1, 30), (50, 7)])
 @pytest.mark.parametrize("keep", [["doc_id"], None])
 def test_against_brute_force(spark, monkeypatch, block, tokens, keep):
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", block)
     monkeypatch.setattr(decontaminate, "SHARD_TOKENS", tokens)
     rng = random.Random(2)
     bench = [(k, " ".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 20)))) for k in range(12)] + [(99, None), (98, " .. "), (None, "a b c"), (3, "g f e")]
@@ -63,3 +63,36 @@ def test_very_long_and_empty(spark):
     assert got == {1: (400_000, 400_000, True), 2: (1, 1, True), 3: (0, 0, False)}
     assert decontaminate.find_contamination(docs.limit(0), bench, keep=["doc_id"]).count() == 0
     assert {r.n_hit for r in decontaminate.find_contamination(docs, bench.limit(0), keep=["doc_id"]).collect()} == {0}
+
+
+def test_windows_are_few_bytes(monkeypatch):
+    """Two million windows take below 300 MB and a few seconds; those of equal keys that differ stay apart."""
+    import time
+    import tracemalloc
+
+    rng = random.Random(6)
+    vocabulary = [f"word{k}".encode() for k in range(50_000)]
+    items = [(str(k), rng.choices(vocabulary, k=2_000)) for k in range(1_000)]
+    began = time.process_time()
+    tracemalloc.start()
+    arrays = decontaminate.windows_of([*items, items[0]], 13)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    windows = decontaminate.Windows(arrays)
+    assert len(windows.starts) == 1_000 * 1_988 and peak < 300 << 20
+    assert sum(x.nbytes for x in arrays[:-1]) < 60 << 20 and time.process_time() - began < 20
+    assert windows.items_of(0).count("0") in (0, 2)
+
+
+def test_windows_against_a_plain_dictionary():
+    rng = random.Random(7)
+    for _ in range(50):
+        items = [(rng.choice([None, str(k)]), [rng.choice([b"a", b"b"]) for _ in range(rng.randint(0, 9))]) for k in range(8)]
+        size, want = rng.randint(1, 5), {}
+        for item, w in items:
+            for i in range(max(1, len(w) - size + 1) if w else 0):
+                want.setdefault(tuple(w[i : i + size]), set()).update([item] if item else [])
+        made = decontaminate.Windows(decontaminate.windows_of(items, size))
+        names = {h: w for w, h in zip([b"a", b"b"], decontaminate.hashes([b"a", b"b"]).tolist())}
+        got = {tuple(names[made.terms[t]] for t in made.words_of(k).tolist()): set(made.items_of(k)) for k in range(len(made.starts))}
+        assert got == want and len(made.starts) == len(want)

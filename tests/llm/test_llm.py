@@ -111,7 +111,7 @@ def cut(text):
 @pytest.mark.parametrize("block", [None, 1])
 def test_decontamination(docs, empty, spark, monkeypatch, block):
     if block:
-        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+        monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", block)
     got = decontaminate.find_contamination(docs.withColumn("n_hit", F.lit("clash")), bench(spark)).collect()
     windows = set()
     for item, text in BENCH:
