@@ -71,7 +71,9 @@ def parse_label(text: Column, task: str, strategy: str = "boundary", missing: st
     if strategy == "raw":
         return strip(upper)
     if task == "intent":
-        return F.when(strip(text) == "", none).otherwise(strip(text))
+        # An open set: the answer itself is the label; ``boundary`` compares it in upper case.
+        said = strip(upper) if strategy == "boundary" else strip(text)
+        return F.when(said == "", none).otherwise(said)
     if strategy == "boundary":
         labels = sorted(LABELS[task], key=lambda x: (-len(x), x))
         return _cases([(upper.rlike(rf"\b{x}\b"), x) for x in labels], none)
@@ -154,6 +156,13 @@ def clip_text(c: Column, n: int | None) -> Column:
     return F.when(F.length(s) > n, F.concat(F.rtrim(F.substring(s, 1, n - 1)), F.lit("…"))).otherwise(s)
 
 
+def strip_prefixes(path: Column) -> Column:
+    """The path without the folders that data sets put before it, each taken off once, in this order."""
+    for prefix in ("data/", "/data/", "Audio/", "/Audio/"):
+        path = F.when(path.startswith(prefix), F.substr(path, F.lit(len(prefix) + 1))).otherwise(path)
+    return path
+
+
 def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 

@@ -79,11 +79,18 @@ def match_files(df: DataFrame, files: DataFrame, name: str = "file_name", path:
     exact = listed.groupBy("_base").agg(F.min("_path").alias("_p1"))
     kinds = F.array_position(F.array(F.lit("wav"), F.lit("flac"), F.lit("mp3")), F.lower(F.regexp_extract("_base", r"\.([^.]+)$", 1)))
     guessed = listed.withColumn("_rank", kinds).filter("_rank > 0").groupBy(L.stem(F.col("_base")).alias("_stem")).agg(F.min_by("_path", F.struct("_rank", "_path")).alias("_p2"))
-    keyed = df.withColumn("_base", L.base_name(F.col(name)))
+    keyed = df.withColumn("_base", L.base_name(L.strip_prefixes(F.col(name))))
     joined = keyed.join(exact, "_base", "left").join(guessed, F.col("_base") == F.col("_stem"), "left")
     return joined.withColumn("audio_path", F.coalesce("_p1", F.when(~F.col("_base").contains("."), F.col("_p2")))).drop("_base", "_stem", "_p1", "_p2")
 
 
+def file_report(df: DataFrame, files: DataFrame, name: str = "file_name") -> DataFrame:
+    """``match_files`` for a listing with sizes: adds ``audio_path``, ``found`` and ``size`` (null where nothing was found)."""
+    matched = match_files(df, files, name)
+    sizes = files.select(F.col("path").alias("_listed"), "size")
+    return matched.join(sizes, F.col("audio_path") == F.col("_listed"), "left").drop("_listed").withColumn("found", F.col("audio_path").isNotNull())
+
+
 def missing_parts(expected: DataFrame, landed: DataFrame, keys: list[str]) -> DataFrame:
     return expected.join(landed.select(*keys).distinct(), keys, "left_anti")
 

@@ -84,5 +84,4 @@ def named_clips(df: DataFrame, order: str, transcript: str = "transcript", file_
 
 def composition(df: DataFrame) -> DataFrame:
     """Clips and hypotheses of a subset, by difficulty and by label."""
-    df.createOrReplaceTempView("_gradeloom_subset")
-    return df.sparkSession.sql("SELECT difficulty, gold, count(*) AS n, count(DISTINCT file_name) AS clips FROM _gradeloom_subset GROUP BY GROUPING SETS ((), (difficulty), (gold))")
+    return df.sparkSession.sql("SELECT difficulty, gold, count(*) AS n, count(DISTINCT file_name) AS clips FROM {df} GROUP BY GROUPING SETS ((), (difficulty), (gold))", df=df)

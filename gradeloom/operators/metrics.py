@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..sources.scratch import stored
 from .keys import join_on
 
 OTHER = "__other__"
+#: Observed labels that get a column each at most.
+MOST_LABELS = 1_000
 
 
 def apply_null_policy(df: DataFrame, policy: str = "drop") -> DataFrame:
@@ -179,3 +184,49 @@ def report(table: DataFrame, keys: list[str]) -> DataFrame:
     """Short names and four decimals as text; null as ''."""
     names = {"ACC": "ACC", "P_macro": "P", "R_macro": "R", "F1_macro": "F1"}
     return table.select(*keys, "N", *[F.coalesce(F.format_string("%.4f", F.col(c)), F.lit("")).alias(n) for c, n in names.items()])
+
+
+def distinct_sketches(df: DataFrame, keys: list[str], column: str, bits: int = 12) -> DataFrame:
+    """(keys, ``sketch``, ``bits``): a HyperLogLog sketch of the column's values for each part, to be stored and united later."""
+    return df.groupBy(*keys).agg(F.hll_sketch_agg(F.col(column), bits).alias("sketch")).withColumn("bits", F.lit(bits))
+
+
+def united_distinct(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ``estimate``): distinct values over all parts; within 3 x 1.04 / sqrt(2^bits) in all but some of a thousand cases."""
+    return sketches.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"))
+
+
+def column_names(labels: list[str | None], prefix: str = "ACC_", upper: bool = True) -> dict[str | None, str]:
+    """A column name for each label: safe (letters, digits and underscores), and unlike any other's whatever the case.
+
+    Labels are taken in order, the missing one last; one whose name is taken gets the next free number.
+    """
+    names, taken = {}, set()
+    for label in sorted(labels, key=lambda x: (x is None, x)):
+        plain = re.sub(r"\W", "_", L.safe_name("null" if label is None else label, upper))
+        name, k = f"{prefix}{plain}", 1
+        while name.lower() in taken:
+            k += 1
+            name = f"{prefix}{plain}_{k}"
+        taken.add(name.lower())
+        names[label] = name
+    return names
+
+
+def metrics_observed(df: DataFrame, keys: list[str], policy: str = "drop", upper: bool = True, absent: float | None = None) -> DataFrame:
+    """``metrics`` over the labels that occur, with a column for the accuracy of each label that gold or pred shows.
+
+    The confusion counts are stored and their labels collected: at most MOST_LABELS, more are an error, since each is a
+    column.  A class that a group's gold labels lack has ``absent``, so one that is only predicted has it everywhere.
+    """
+    counts = stored(confusion(apply_null_policy(df, policy), keys))
+    labels = [r["x"] for r in counts.select(F.explode(F.array("gold", "pred")).alias("x")).distinct().limit(MOST_LABELS + 1).collect()]
+    if len(labels) > MOST_LABELS:
+        raise ValueError(f"over {MOST_LABELS} labels; a column for each is of no use")
+    names = column_names(labels, upper=upper)
+    hit = lambda x: F.col("gold").eqNullSafe(F.lit(x))
+    accs = [_ratio(F.sum(F.when(hit(x) & (F.col("gold") == F.col("pred")), F.col("n")).otherwise(0)), F.sum(F.when(hit(x), F.col("n")).otherwise(0)), absent).alias(name) for x, name in names.items()]
+    base = from_confusion(counts, keys, None)
+    if not accs:
+        return base
+    return join_on(base, counts.groupBy(*keys).agg(*accs), keys)

@@ -76,3 +76,19 @@ def in_order(df: DataFrame, keys: list[str], order: str, values: list[str], buck
 def prefix_by_partition(df: DataFrame, order: str, values: list[str], buckets: int = 256) -> DataFrame:
     """Add ``{value}_before``: the sum over all rows of smaller ``order`` (distinct numbers), with the table as one group."""
     return in_order(df, [], order, values, buckets).drop("_prev", "_next", *[f"{v}_all" for v in values])
+
+
+def with_rank(df: DataFrame, *order: Column | str, out: str = "rank") -> DataFrame:
+    """Add each row's place in the whole table's ``order``, from 1, without a task that sorts it all.
+
+    Rows are dealt into ranges and stored; each range is numbered by itself and shifted by the rows before it.  ``order``
+    must be total, or else equal rows get their places in any order.
+    """
+    ranged = stored(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = sizes.select(F.col("_range").alias("_of"), before.alias("_before"))
+    placed = ranged.withColumn("_here", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    # One row for each range: as many as there are shuffle partitions.
+    joined = placed.join(F.broadcast(shifts), F.col("_range") == F.col("_of"))
+    return joined.withColumn(out, (F.col("_here") + F.col("_before")).cast("long")).drop("_range", "_of", "_here", "_before")

@@ -50,6 +50,9 @@ PARSED = [
     ("raw", "nli", " \tneutral\n", "NEUTRAL"),
     ("raw", "nli", None, ""),
     ("raw", "intent", "book a room", "BOOK A ROOM"),
+    ("boundary", "intent", " book a room\n", "BOOK A ROOM"),
+    ("boundary", "intent", " ", "UNPARSEABLE"),
+    ("substring", "intent", " Book a room\n", "Book a room"),
 ]
 
 
@@ -98,6 +101,38 @@ def test_published_figures(spark):
     assert round(low.ACC, 6) == 0.913793 and low.P_macro == low.F1_macro == 0 and low.ACC_PLAUSIBLE is None
 
 
+PUBLISHED = [
+    ("plausibility", [("PLAUSIBLE", "PLAUSIBLE", 38), ("PLAUSIBLE", "IMPLAUSIBLE", 2), ("IMPLAUSIBLE", "IMPLAUSIBLE", 38), ("IMPLAUSIBLE", "IMPLAUSIBLE\nWHY", 2)], (80, 0.95, 0.975, 0.95, 0.962179)),
+    ("consistency", [("CONSISTENT", "INCONSISTENT", 58), ("INCONSISTENT", "INCONSISTENT", 58)], (116, 0.5, 0.25, 0.5, 0.333333)),
+    ("consistency", [("CONSISTENT", "INCONSISTENT", 40), ("INCONSISTENT", "INCONSISTENT", 40)], (80, 0.5, 0.25, 0.5, 0.333333)),
+]
+
+
+@pytest.mark.parametrize("task, cells, want", PUBLISHED)
+def test_published_rows(spark, task, cells, want):
+    df = spark.createDataFrame([(g, p, 1) for g, p, n in cells for _ in range(n)], "gold string, pred string, k int")
+    r = M.metrics(df, ["k"], L.LABELS[task]).first()
+    assert (r.N, *[round(r[c], 6) for c in ("ACC", "P_macro", "R_macro", "F1_macro")]) == want
+
+
+def test_published_observed_labels(spark):
+    """206 answers with two labels that only answers show: the macro is over four, and each has a column."""
+    cells = [("CONSISTENT", "INCONSISTENT", 101), ("CONSISTENT", "CONFORMS", 1), ("CONSISTENT", "CON SENSENT", 1), ("INCONSISTENT", "INCONSISTENT", 103)]
+    r = M.metrics_observed(spark.createDataFrame([(g, p, "m") for g, p, n in cells for _ in range(n)], "gold string, pred string, alm string"), ["alm"]).first()
+    assert (r.N, r.ACC, round(r.P_macro, 6), r.R_macro, round(r.F1_macro, 6)) == (206, 0.5, 0.126225, 0.25, 0.167752)
+    assert (r.ACC_CONSISTENT, r.ACC_INCONSISTENT, r.ACC_CONFORMS, r.ACC_CON_SENSENT) == (0.0, 1.0, None, None)
+
+
+def test_published_icl_identity(spark):
+    """A row of the sweep: 103 right of 300, 11 unparseable."""
+    cells = [("ENTAILMENT", "ENTAILMENT", 3), ("ENTAILMENT", "NEUTRAL", 93), ("ENTAILMENT", "unparseable", 4), ("NEUTRAL", "NEUTRAL", 99), ("NEUTRAL", "unparseable", 1), ("CONTRADICTION", "CONTRADICTION", 1), ("CONTRADICTION", "NEUTRAL", 93), ("CONTRADICTION", "unparseable", 6)]
+    df = spark.createDataFrame([(g, p, "audio_only") for g, p, n in cells for _ in range(n)], "gold string, pred string, variant string")
+    r = M.pooled(df, [["variant"]], L.LABELS["nli"]).first()
+    assert (r.N, r.EACC, r.NACC, r.CACC) == (300, 0.03, 0.99, 0.01)
+    assert r.ACC == pytest.approx(0.3433333333333333) and r.R_macro == pytest.approx(r.ACC) and r.unparseable_rate == pytest.approx(0.03666666666666667)
+    assert r.parseable_ACC == pytest.approx(0.356401384083045) == r.ACC / (1 - r.unparseable_rate)
+
+
 def test_null_policies(spark):
     df = spark.createDataFrame([("A", "A"), ("A", None), (None, "A")], "gold string, pred string").withColumn("k", F.lit(1))
     assert M.metrics(df, ["k"]).first().N == 1
