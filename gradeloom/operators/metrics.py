@@ -92,18 +92,20 @@ def pooled(df: DataFrame, levels: list[list[str]], labels: list[str], unparseabl
     """Metrics at several levels from the same counts (never means of means), with the share of unparseable answers and the
     accuracy on the others.  Columns outside a level are null."""
     keys = list(dict.fromkeys(k for level in levels for k in level))
-    # Unparseable answers stay apart; they only differ from others in being counted.
-    counts = confusion(df.withColumn("_u", F.col("pred") == unparseable), [*keys, "_u"], labels)
-    out = None
-    for level in levels:
-        rolled = counts.groupBy(*level, "gold", "pred").agg(F.sum("n").alias("n"))
-        one = from_confusion(rolled, level, labels, absent=0.0)
-        share = counts.groupBy(*level).agg(F.sum(F.when(F.col("_u"), F.col("n")).otherwise(0)).alias("_bad"), F.sum("n").alias("_all"), F.sum(F.when(F.col("gold") == F.col("pred"), F.col("n")).otherwise(0)).alias("_ok"))
-        share = share.select(*level, (F.col("_bad") / F.col("_all")).alias("unparseable_rate"), _ratio(F.col("_ok"), F.col("_all") - F.col("_bad"), None).alias("parseable_ACC"))
-        one = join_on(one, share, level)
-        one = one.withColumn("level", F.lit("/".join(level)))
-        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
-    return out
+    # Unparseable answers stay apart; they only differ from others in being counted.  Stored: two aggregations read them.
+    counts = stored(confusion(df.withColumn("_u", F.col("pred") == unparseable), [*keys, "_u"], labels))
+    cell = ["gold", "pred", "_u"]
+    rolled = counts.groupingSets([[*level, *cell] for level in levels], *keys, *cell).agg(F.sum("n").alias("n"), F.grouping_id().alias("_level"))
+    at = ["_level", *keys]
+    figures = from_confusion(rolled, at, labels, absent=0.0)
+    right = F.col("gold") == F.col("pred")
+    some = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
+    share = rolled.groupBy(*at).agg(some(F.col("_u")).alias("_bad"), F.sum("n").alias("_all"), some(right).alias("_ok"))
+    share = share.select(*at, (F.col("_bad") / F.col("_all")).alias("unparseable_rate"), _ratio(F.col("_ok"), F.col("_all") - F.col("_bad"), None).alias("parseable_ACC"))
+    # A bit for each column that a level rolls up, the first column's the highest.
+    bits = lambda level: sum((k not in level) << (len(keys) + len(cell) - 1 - i) for i, k in enumerate(keys))
+    named = F.create_map(*[x for level in levels for x in (F.lit(bits(level)).cast("long"), F.lit("/".join(level)))])
+    return join_on(figures, share, at).withColumn("level", named[F.col("_level")]).drop("_level")
 
 
 def comprehensive(df: DataFrame) -> DataFrame:

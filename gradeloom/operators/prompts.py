@@ -220,12 +220,11 @@ def icl_fan_out(df: DataFrame, exemplars: list[dict], shots: list[int], variants
     return df.crossJoin(prefixes).withColumn("prompt", F.concat("_prefix", F.lit("\n"), target)).drop("_prefix", "_with")
 
 
-def overlay_output(output: Column, prefix: Column, task: str = "nli") -> Column:
-    """A record's hypothesis map with the prefix before each hypothesis; an absent key becomes an empty list."""
-    keys = [k for k, _ in TASK_KEYS[task]]
+def overlay_output(output: Column, prefix: Column, task: str = "nli", suffix: Column | None = None) -> Column:
+    """A record's hypothesis map with the prefix before each hypothesis, and ``suffix`` after it; an absent key becomes an empty list."""
     text = lambda v: F.coalesce(F.try_variant_get(v, "$.hypothesis", "string"), F.try_variant_get(v, "$", "string"))
-    lists = [F.transform(as_list(F.try_variant_get(output, f"$.{k}", "variant")), lambda v: F.concat(prefix, text(v))).alias(k) for k in keys]
-    return F.struct(*lists)
+    whole = lambda v: F.concat(prefix, text(v), *([suffix] if suffix is not None else []))
+    return F.struct(*[F.transform(as_list(F.try_variant_get(output, f"$.{k}", "variant")), whole).alias(k) for k, _ in TASK_KEYS[task]])
 
 
 def overlay_record(record: Column, prefix: Column, variant: str, shots: int, exemplars: int, task: str = "nli", transcript: bool | None = None, clip: int | None = None) -> Column:
@@ -239,9 +238,7 @@ def overlay_record(record: Column, prefix: Column, variant: str, shots: int, exe
     get = lambda k: L.strip(F.coalesce(F.try_variant_get(record, f"$.{k}", "string"), F.lit("")))
     output = F.try_variant_get(record, "$.output", "variant")
     target = F.concat(prefix, F.lit("Target AudioFile: "), L.base_name(get("file_name")), *([F.lit("\nTarget Transcript: "), L.clip_text(get("transcript"), clip)] if asked else []), F.lit("\nTarget Hypothesis: "))
-    keys = [k for k, _ in TASK_KEYS[task]]
-    text = lambda v: F.coalesce(F.try_variant_get(v, "$.hypothesis", "string"), F.try_variant_get(v, "$", "string"))
-    lists = F.struct(*[F.transform(as_list(F.try_variant_get(output, f"$.{k}", "variant")), lambda v: F.concat(target, text(v), F.lit("\nAnswer:"))).alias(k) for k in keys])
+    lists = overlay_output(output, target, task, F.lit("\nAnswer:"))
     settings = {"enabled": True, "variant": variant, "include_transcript": with_transcript, "include_exemplar_hypothesis": with_hypothesis, "include_target_transcript": asked, "max_transcript_chars": clip, "num_shots": shots, "exemplar_count": exemplars}
     how = F.struct(*[(F.lit(v).cast("int") if k == "max_transcript_chars" else F.lit(v)).alias(k) for k, v in settings.items()])
     object_there = F.coalesce(F.schema_of_variant(output).startswith("OBJECT"), F.lit(False))

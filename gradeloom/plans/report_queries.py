@@ -186,3 +186,47 @@ def generation_prompt_table(spark, sf_dir):
         one = G.generation_prompts(docs.filter(F.col("form") == form), templates, form)
         out = one if out is None else out.unionByName(one)
     return out.select("doc_id", "dataset", "task", "form", F.md5(F.col("system").cast("binary")).alias("system_md5"), F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
+
+
+# Two labels of each task; an intent is any text.
+TASK_LABELS = {"consistency": ("CONSISTENT", "INCONSISTENT"), "plausibility": ("PLAUSIBLE", "IMPLAUSIBLE"), "restraint": ("SUPPORTED", "UNSUPPORTED"), "accent_drift": ("TRUE", "FALSE"), "commonsense": ("YES", "NO"), "intent": ("Book a room", "Ask for help")}
+ANSWER = "CASE (l_orderkey + l_linenumber) % 11 WHEN 0 THEN a WHEN 1 THEN concat(' ', lower(b), '.') WHEN 2 THEN concat('Answer: ', a, ' because it is said so') WHEN 3 THEN concat('LABEL: ', lower(b)) WHEN 4 THEN concat('It is not ', lower(a)) WHEN 5 THEN concat(a, ', not ', b) WHEN 6 THEN 'yes, it aligns' WHEN 7 THEN 'No way' WHEN 8 THEN ' ' WHEN 9 THEN 't' END"
+ANSWERS = f"SELECT task, {ANSWER} AS p FROM (SELECT *, CASE l_partkey % 6 {' '.join(f'WHEN {k} THEN {_quoted(t)}' for k, t in enumerate(TASK_LABELS))} END AS task, CASE l_partkey % 6 {' '.join(f'WHEN {k} THEN {_quoted(x[0])}' for k, x in enumerate(TASK_LABELS.values()))} END AS a, CASE l_partkey % 6 {' '.join(f'WHEN {k} THEN {_quoted(x[1])}' for k, x in enumerate(TASK_LABELS.values()))} END AS b FROM {{lineitem}})"
+
+
+def _parsers_sql() -> str:
+    """The five parsers in SQL, over answers p of each task; q is the stripped text, u that in upper case without its marks."""
+    word = lambda x: f"regexp_matches(upper(p), '\\b{x}\\b')"
+    has = lambda x: f"contains(lower(q), '{x}')"
+    parts = {
+        "consistency": (f"WHEN {has('consistent')} THEN 'CONSISTENT'", "WHEN contains(u, 'CONSISTENT') THEN 'CONSISTENT'"),
+        "plausibility": (f"WHEN {has('plausible')} THEN 'PLAUSIBLE'", "WHEN contains(u, 'PLAUSIBLE') THEN 'PLAUSIBLE'"),
+        "restraint": (f"WHEN {has('support')} AND NOT {has('not')} THEN 'SUPPORTED' WHEN {has('not support')} OR {has('unsupport')} THEN 'UNSUPPORTED'", "WHEN contains(u, 'SUPPORTED') THEN 'SUPPORTED'"),
+        "accent_drift": ("WHEN lower(q) LIKE 'true%' OR lower(q) = 't' THEN 'TRUE' WHEN lower(q) LIKE 'false%' OR lower(q) = 'f' THEN 'FALSE'", "WHEN contains(u, 'TRUE') OR contains(u, 'YES') THEN 'TRUE' WHEN contains(u, 'FALSE') OR contains(u, 'NO') THEN 'FALSE'"),
+        "commonsense": ("WHEN lower(q) LIKE 'yes%' OR lower(q) = 'y' THEN 'YES' WHEN lower(q) LIKE 'no%' OR lower(q) = 'n' THEN 'NO'", "WHEN contains(u, 'ALIGN') THEN 'ALIGNED'"),
+    }
+    out = []
+    for task, (a, b) in TASK_LABELS.items():
+        rows = f"FROM r WHERE task = '{task}'"
+        if task == "intent":
+            out += [f"SELECT task, '{s}' AS strategy, CASE WHEN {x} = '' THEN 'UNPARSEABLE' ELSE {x} END AS label {rows}" for s, x in (("boundary", "upper(q)"), ("ordered", "q"), ("substring", "q"), ("prefix_fallback", "q"))]
+        else:
+            long, short = sorted((a, b), key=lambda x: (-len(x), x))
+            sub, pre = parts[task]
+            out.append(f"SELECT task, 'boundary' AS strategy, CASE WHEN {word(long)} THEN '{long}' WHEN {word(short)} THEN '{short}' ELSE 'UNPARSEABLE' END AS label {rows}")
+            out.append(f"SELECT task, 'ordered', CASE WHEN {word(a)} THEN '{a.lower()}' WHEN {word(b)} THEN '{b.lower()}' ELSE 'unparseable' END {rows}")
+            out.append(f"SELECT task, 'substring', CASE {sub} ELSE 'UNPARSEABLE' END {rows}")
+            out.append(f"SELECT task, 'prefix_fallback', CASE WHEN p = '' THEN 'UNPARSEABLE' {pre} WHEN length(split_part(u, ' ', 1)) > 2 THEN split_part(u, ' ', 1) ELSE 'UNPARSEABLE' END {rows}")
+        out.append(f"SELECT task, 'raw', upper(q) {rows}")
+    answers = f"SELECT task, coalesce(p, '') AS p, trim(coalesce(p, '')) AS q, trim(replace(replace(trim(upper(coalesce(p, ''))), 'LABEL:', ''), 'ANSWER:', '')) AS u FROM ({ANSWERS.replace('{lineitem}', 'lineitem')})"
+    return f"WITH r AS ({answers}) SELECT task, strategy, label, count(*) AS n FROM ({' UNION ALL '.join(out)}) GROUP BY ALL"
+
+
+@query(_parsers_sql())
+def label_parsers_by_task(spark, sf_dir):
+    """The parsers that read any task's answers, side by side over the tasks other than NLI."""
+    rows = spark.sql(ANSWERS, lineitem=table(spark, sf_dir, "lineitem"))
+    strategies = ("boundary", "ordered", "substring", "prefix_fallback", "raw")
+    read = lambda s: F.coalesce(*[F.when(F.col("task") == t, L.parse_label(F.col("p"), t, s)) for t in TASK_LABELS])
+    each = rows.select("task", F.explode(F.array(*[F.struct(F.lit(s).alias("strategy"), read(s).alias("label")) for s in strategies])).alias("x"))
+    return each.groupBy("task", "x.strategy", "x.label").agg(F.count(F.lit(1)).alias("n"))
