@@ -82,7 +82,7 @@ def file_inventory(spark, sf_dir):
     return report.select("file_name", "found", L.base_name(F.col("audio_path")).alias("file"), "size")
 
 
-@query("""SELECT variant, shot, count(*) AS n_records, CAST(count(DISTINCT model) AS BIGINT) AS n_files, list_sort(list(DISTINCT concat(model, '.jsonl'))) AS files, ['lineitem'] AS sources, ['m0', 'm1', 'm2', 'm3'] AS models, CAST(7 AS INTEGER) AS seed FROM {preds} GROUP BY ALL""")
+@query("""SELECT variant, shot, count(*) AS n_records, CAST(count(DISTINCT model) AS BIGINT) AS n_files, array_to_string(list_sort(list(DISTINCT concat(model, '.jsonl'))), ',') AS files, 'lineitem' AS sources, 'm0,m1,m2,m3' AS models, CAST(7 AS INTEGER) AS seed FROM {preds} GROUP BY ALL""")
 def overlay_files(spark, sf_dir):
     """The manifest of a data set that was written, with the files of each part, their rows and the settings."""
     rows = preds(spark, sf_dir).withColumn("_tree", F.concat_ws("/", F.concat(F.lit("variant="), "variant"), F.concat(F.lit("shot="), "shot"), F.col("model")))
@@ -90,7 +90,8 @@ def overlay_files(spark, sf_dir):
     sinks.write_files(rows.select("gold", "pred_raw", "_tree"), path, "json", "_tree")
     # The folders' names give the keys.
     read = spark.read.schema("gold string, pred_raw string, variant string, shot int").json(path)
-    return sinks.manifest_of(read, ["variant", "shot"], sources=["lineitem"], models=["m0", "m1", "m2", "m3"], seed=7)
+    rows = sinks.manifest_of(read, ["variant", "shot"], sources=["lineitem"], models=["m0", "m1", "m2", "m3"], seed=7)
+    return rows.withColumns({c: F.array_join(c, ",") for c in ("files", "sources", "models")})
 
 
 SAID = "concat_ws(' ', substr(gold, 1, 1), dataset, CAST(l_linenumber AS STRING), CAST(CAST(l_quantity AS INT) AS STRING), CAST(CAST(round(l_tax * 100) AS INT) AS STRING))"
