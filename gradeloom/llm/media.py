@@ -50,6 +50,7 @@ def wav_length(b: bytes, at: int) -> int:
 
 
 def au_length(b: bytes, at: int) -> int:
+    """Length of the AU file at ``at`` if its header is sound and its data fit, else 0."""
     if len(b) < at + 24:
         return 0
     offset, size, encoding, rate, channels = struct.unpack_from(">5I", b, at + 4)
@@ -58,6 +59,7 @@ def au_length(b: bytes, at: int) -> int:
 
 
 def bmp_length(b: bytes, at: int) -> int:
+    """Length of the BMP file at ``at`` if its header is sound and its pixels fit, else 0."""
     if len(b) < at + 30:
         return 0
     size, reserved, offset, header, width, height, planes, bits = struct.unpack_from("<IIIIiiHH", b, at + 2)
@@ -68,6 +70,7 @@ def bmp_length(b: bytes, at: int) -> int:
 
 
 def png_length(b: bytes, at: int) -> int:
+    """Length of the PNG file at ``at`` if its chunks fit, their checksums hold and it ends, else 0."""
     p, first = at + 8, True
     while p + 12 <= len(b):
         n, kind = int.from_bytes(b[p : p + 4], "big"), b[p + 4 : p + 8]
@@ -80,6 +83,8 @@ def png_length(b: bytes, at: int) -> int:
 
 
 def gif_length(b: bytes, at: int) -> int:
+    """Length of the GIF file at ``at`` if its blocks fit and it ends, else 0."""
+
     def blocks(p: int) -> int:
         while p < len(b) and b[p]:
             p += b[p] + 1
@@ -101,6 +106,7 @@ def gif_length(b: bytes, at: int) -> int:
 
 
 def jpeg_length(b: bytes, at: int) -> int:
+    """Length of the JPEG file at ``at`` if its segments fit, it has a frame and it ends, else 0."""
     p, frame = at + 2, False
     while p + 4 <= len(b) and b[p] == 0xFF:
         kind, n = b[p + 1], int.from_bytes(b[p + 2 : p + 4], "big")
@@ -227,7 +233,10 @@ def sniff_column(df: DataFrame, data_col: str, declared_col: str | None = None,
 
 
 def carve(df: DataFrame, data_col: str) -> DataFrame:
-    """One row per embedded medium of a sniffed table: the input columns but the data, ``type``, and its bytes as ``carved``."""
+    """One row per embedded medium of a sniffed table: the input columns but the data, ``type``, and its bytes as ``carved``.
+
+    Rows whose list is null or empty give none.  Input columns named ``type`` or ``carved`` are replaced.
+    """
     rows = df.withColumn("_e", F.explode("embedded"))
     piece = F.substring(F.col(data_col), (F.col("_e.offset") + 1).cast("int"), F.col("_e.length").cast("int"))
     return rows.select(*[F.col(f"`{c}`") for c in df.columns if c not in (data_col, "embedded", "type", "carved")], F.col("_e.type").alias("type"), piece.alias("carved"))
@@ -292,6 +301,7 @@ def media_digest(docs: DataFrame, text_col: str = "text", keep: list[str] | None
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text stored as media and read back: sizes, hashes and features; rows as in ``media_digest``."""
     return media_digest(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
 
 
