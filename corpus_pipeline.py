@@ -27,7 +27,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of which benchmark windows cover 5 % or more."""
+    """Drops documents of which benchmark windows cover 5 % or more.
+
+    The texts are kept, so each shard of the index is searched when it is made and isn't stored; with a benchmark of
+    several blocks it is.
+    """
     judged = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
     return judged.filter(~F.col("contaminated")).select(*docs.columns)
 
