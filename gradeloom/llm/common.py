@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -56,6 +57,18 @@ def annotate(df: DataFrame, inputs: list[str], make: Callable, fields: list[T.St
     return df.mapInArrow(run, schema)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of at most ``rows`` rows for what runs within."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def bucket_sums(df: DataFrame, group: list[str], size: str, bucket: Column) -> DataFrame:
     """(group, ``_bucket``, ``_sum``): the sum of ``size`` in each bucket of each group, stored."""
     return stored(df.groupBy(*group, bucket.alias("_bucket")).agg(F.sum(size).alias("_sum")))

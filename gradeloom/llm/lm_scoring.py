@@ -13,16 +13,15 @@ for each kind of feature and size of row, by Newton steps over gradients that le
 from __future__ import annotations
 
 import math
-from itertools import repeat
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, fold, stored, table
+from .common import annotate, batches_of, fold, stored, table
 
 CLASSES, GROUPS = 32, 32
 #: The most frequent tokens have a group each; all others go by their last two characters.
@@ -47,6 +46,10 @@ LONGEST = 256
 HELD, HELD_BYTES = 1 << 20, 64 << 20
 #: Ends of tokens whose groups are held.
 MOST_ENDS = 1 << 16
+#: Tokens beside the frequent ones whose codes are held.
+MOST_CODES = 1 << 18
+#: Documents in a batch: what a worker and its executor hold of texts, tokens and scores at a time.
+BATCH_ROWS = 1 << 11
 ALPHA = 0.1
 ONES = np.ones(CLASSES, np.float32)
 
@@ -105,24 +108,68 @@ class Vocabulary:
     """Counts, groups and hashes of the frequent tokens, by number."""
 
     def __init__(self, head: list[str], counts: np.ndarray):
-        toks = [t.encode("utf-8", "surrogatepass") for t in head]
-        self.ids = {t: k for k, t in enumerate(toks)}
-        self.counts = counts
-        self.ends = EndGroups()
-        self.groups = np.array([k if k < OWN_GROUP else _tail_group(t, self.ends) for k, t in enumerate(toks)], dtype=np.int64)
+        toks, ends = [t.encode("utf-8", "surrogatepass") for t in head], EndGroups()
+        self.head, self.counts = head, counts
+        self.groups = np.array([k if k < OWN_GROUP else _tail_group(t, ends) for k, t in enumerate(toks)], dtype=np.int64)
         self.hashes = np.array([crc32(t) for t in toks], dtype=np.int64)
 
-    def read(self, toks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-        """Numbers (-1 for rare ones), groups and hashes of the tokens, and the rare tokens."""
-        ids = np.fromiter(map(self.ids.get, toks, repeat(-1)), dtype=np.int64, count=len(toks))
-        rare = np.flatnonzero(ids < 0)
-        groups = self.groups[ids] if len(self.groups) else np.zeros(len(ids), np.int64)
-        hashes = self.hashes[ids] if len(self.hashes) else np.zeros(len(ids), np.int64)
-        names = [toks[k] for k in rare.tolist()]
-        if names:
-            groups[rare] = np.fromiter(map(_tail_group, names, repeat(self.ends)), dtype=np.int64, count=len(names))
-            hashes[rare] = np.fromiter(map(crc32, names), dtype=np.int64, count=len(names))
-        return ids, groups, hashes, names
+
+class Codes(dict):
+    """Tokens to numbers: a frequent one's own, from 0; any other's is below zero and holds its hash and group.
+
+    Up to MOST_CODES of the others are held.
+    """
+
+    def __init__(self, head: list[str]):
+        super().__init__((t.encode("utf-8", "surrogatepass"), k) for k, t in enumerate(head))
+        self.ends, self.room = EndGroups(), MOST_CODES
+
+    def __missing__(self, token: bytes) -> int:
+        code = -1 - (crc32(token) * CLASSES * GROUPS + _tail_group(token, self.ends))
+        if self.room:
+            self[token] = code
+            self.room -= 1
+        return code
+
+    def read(self, toks: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, toks), dtype=np.int64, count=len(toks))
+
+
+def decode(codes: np.ndarray, groups: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Groups and hashes of coded tokens; ``groups`` and ``hashes`` are those of the frequent ones."""
+    rare, packed = codes < 0, -1 - codes
+    at = np.where(rare, 0, codes)
+    known = (groups[at], hashes[at]) if len(groups) else (0, 0)
+    return np.where(rare, packed % (CLASSES * GROUPS), known[0]), np.where(rare, packed // (CLASSES * GROUPS), known[1])
+
+
+def encode(texts: DataFrame, head, keep: list[str]) -> DataFrame:
+    """The kept columns of a table with ``_text``, and its tokens: ``_codes``, and each rare token of a text with its
+    count, ``_names`` and ``_times``.  Stored by ``_step``, so tokens are read from text once and a step reads its own."""
+
+    def make():
+        codes = Codes(head.value)
+
+        def run(texts):
+            from collections import Counter
+
+            coded, ends, names, times, edges = [], [0], [], [], [0]
+            for text in texts:
+                toks = tokens(text.as_py())
+                coded.append(codes.read(toks))
+                ends.append(ends[-1] + len(toks))
+                rare = Counter([toks[k] for k in np.flatnonzero(coded[-1] < 0).tolist()])
+                names.extend(rare)
+                times.extend(rare.values())
+                edges.append(len(names))
+            lists = lambda at, values: pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)
+            return lists(ends, pa.array(np.concatenate(coded))), lists(edges, pa.array(names, pa.binary()).cast(pa.string())), lists(edges, pa.array(times, pa.int64()))
+
+        return run
+
+    long, words = T.ArrayType(T.LongType()), T.ArrayType(T.StringType())
+    made = annotate(texts, ["_text"], make, [T.StructField("_codes", long), T.StructField("_names", words), T.StructField("_times", long)], keep=keep)
+    return stored(made, by=("_step",))
 
 
 def feature_rows(groups: np.ndarray, hashes: np.ndarray, starts: np.ndarray, rows: int) -> np.ndarray:
@@ -232,48 +279,49 @@ def weights_of(seen: tuple[np.ndarray, np.ndarray], share: np.ndarray) -> dict:
     }
 
 
-def _blocks(texts, vocab: Vocabulary, rows: int, size: int = BLOCK_TOKENS):
-    """Arrays (features, groups) of at most ``size`` tokens; features reach over a block's edge, never over a document's."""
-    groups, hashes, starts, held = [], [], [], 0
+def _stretches(column: pa.ListArray, groups: np.ndarray, hashes: np.ndarray, rows: int):
+    """(codes, groups, features, first positions of documents) of a column of codes, some whole documents at a time.
 
-    def out():
-        g, first = np.concatenate(groups), np.zeros(held, dtype=bool)
-        first[starts] = True
-        feats = feature_rows(g, np.concatenate(hashes), first, rows)
-        for lo in range(0, held, size):
+    Every document has a token, its end.
+    """
+    edges, codes = column.offsets.to_numpy().astype(np.int64), column.flatten().to_numpy()
+    edges = edges - edges[0]
+    lo = 0
+    while lo < len(edges) - 1:
+        hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + READ_TOKENS, side="right")) - 1)
+        part, begins = codes[edges[lo] : edges[hi]], edges[lo:hi] - edges[lo]
+        first = np.zeros(len(part), dtype=bool)
+        first[begins] = True
+        g, h = decode(part, groups, hashes)
+        yield part, g, feature_rows(g, h, first, rows), begins
+        lo = hi
+
+
+def _blocks(column: pa.ListArray, groups: np.ndarray, hashes: np.ndarray, rows: int, size: int = BLOCK_TOKENS):
+    """Arrays (features, groups) of at most ``size`` tokens; features reach over a block's edge, never over a document's."""
+    for _, g, feats, _ in _stretches(column, groups, hashes, rows):
+        for lo in range(0, len(g), size):
             yield feats[lo : lo + size], g[lo : lo + size]
 
-    for text in texts:
-        _, g, h, _ = vocab.read(tokens(text.as_py()))
-        groups.append(g)
-        hashes.append(h)
-        starts.append(held)
-        held += len(g)
-        if held >= READ_TOKENS:
-            yield from out()
-            groups, hashes, starts, held = [], [], [], 0
-    if held:
-        yield from out()
-
 
-def count_features(texts: DataFrame, vocab, rows: int) -> tuple[np.ndarray, np.ndarray]:
+def count_features(texts: DataFrame, numbers, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Occurrences of each class in each row, and of each group within its class; a table of bounded size reaches the driver."""
     names = [f"n{k}" for k in range(CLASSES)]
     assert CLASSES == GROUPS
 
     def count(batches):
-        seen = np.zeros((2, rows * CLASSES), dtype=np.int64)
-        lexicon = Vocabulary(*vocab.value)
+        seen = np.zeros((2, rows * CLASSES), dtype=np.int32)
         for batch in batches:
-            for feats, group in _blocks(batch.column(0), lexicon, rows, 1 << 18):
+            for feats, group in _blocks(batch.column(0), *numbers.value, rows):
                 cls = group // GROUPS
                 for k, (r, gold) in enumerate(((feats, cls), (inner_rows(feats, cls, rows), group % GROUPS))):
-                    seen[k] += np.bincount((r * CLASSES + gold[:, None]).ravel(), minlength=rows * CLASSES)
+                    # In place: a block touches few of the cells, of which there are millions.
+                    np.add.at(seen[k], (r * CLASSES + gold[:, None]).ravel(), np.int32(1))
         seen = seen.reshape(2 * rows, CLASSES)
         used = np.flatnonzero(seen.any(axis=1))
         for lo in range(0, len(used), 1 << 14):
             at = used[lo : lo + (1 << 14)]
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *[pa.array(np.ascontiguousarray(seen[at, k])) for k in range(CLASSES)]], names=["r", *names])
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *[pa.array(seen[at, k].astype(np.int64)) for k in range(CLASSES)]], names=["r", *names])
 
     sums = texts.mapInArrow(count, ", ".join(["r int", *[f"{n} long" for n in names]])).groupBy("r").agg(*[F.sum(n).alias(n) for n in names])
     # As bytes, a row of counts stays small on its way.
@@ -286,23 +334,23 @@ def count_features(texts: DataFrame, vocab, rows: int) -> tuple[np.ndarray, np.n
     return seen[:rows], seen[rows:]
 
 
-def train(texts: DataFrame, vocab, share: np.ndarray, rows: int, steps: int = STEPS) -> Model:
-    """``texts``: (text, step).  All documents are counted; each then takes part in the gradient of one step.
+def train(texts: DataFrame, numbers, share: np.ndarray, rows: int, steps: int = STEPS) -> Model:
+    """``texts``: (_codes, _step).  All documents are counted; each then takes part in the gradient of one step.
 
     The sums of a step are a few thousand numbers; they reach the driver from a distributed aggregation.
     """
     spark = texts.sparkSession
-    state = weights_of(count_features(texts.select("text"), vocab, rows), share)
+    state = weights_of(count_features(texts.select("_codes"), numbers, rows), share)
     factors = np.full((2, FEATURES, SIZES), 1.0 / FEATURES)
     shared = spark.sparkContext.broadcast(state)
     width = FEATURES * SIZES
     for step in range(steps):
 
         def climb(batches, factors=factors):
-            model, lexicon = Model(shared.value, factors), Vocabulary(*vocab.value)
+            model = Model(shared.value, factors)
             grad, outer = np.zeros((2, width)), np.zeros((2, width, width))
             for batch in batches:
-                for feats, group in _blocks(batch.column(0), lexicon, rows):
+                for feats, group in _blocks(batch.column(0), *numbers.value, rows):
                     g, o = model.gradients(feats, group)
                     grad += g
                     outer += o
@@ -310,7 +358,7 @@ def train(texts: DataFrame, vocab, share: np.ndarray, rows: int, steps: int = ST
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["k", "v"])
 
         sums = np.zeros(2 * width + 2 * width * width)
-        for row in texts.filter(F.col("step") == step).select("text").mapInArrow(climb, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
+        for row in texts.filter(F.col("_step") == step).select("_codes").mapInArrow(climb, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
             sums[row["k"]] = row["v"]
         grad, outer = sums[: 2 * width].reshape(2, width), sums[2 * width :].reshape(2, width, width)
         for k in range(2):
@@ -357,83 +405,70 @@ def group_mass(counts: DataFrame, head: list[tuple[str, int]]) -> np.ndarray:
     return np.maximum(np.round(mass, 6), ALPHA)
 
 
-def score_texts(docs: DataFrame, train_rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Learn from ``train_rows`` and score every row of ``docs``.
+def score_texts(docs: DataFrame, train_rows: DataFrame | Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Learn from ``train_rows`` and score every row of ``docs``.  ``train_rows``: a table, or a condition that picks rows of
+    ``docs``, whose tokens are then read once for both.
 
     Returns the columns of ``docs`` but the text, and ``n_tokens``, ``n_known``, ``train_tokens`` (long), ``base_score``
     (log10 probability under smoothed unigram counts) and ``score`` (under the model).
 
     A null text counts as empty: one end token.  A token that training lacks has the share of one unseen token of its
     group.  With no training rows all scores are those of the smoothing alone.  Rows that repeat an id are scored each
-    for itself; rows without an id take part in the first step.  Input columns with the names of the new ones are replaced.
+    for itself; rows without an id take part in the first step.  Input columns with the names of the new ones are
+    replaced; names that begin with an underscore and are used here (``_row``, ``_step``, ``_text``, ``_codes``, ``_names``,
+    ``_times``, ``_n_head``, ``_lex``, ``_inner``) are left out.
     """
-    made = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "_row")
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        return _score_texts(docs, train_rows, id_col, text_col)
+
+
+def _score_texts(docs: DataFrame, train_rows: DataFrame | Column, id_col: str, text_col: str) -> DataFrame:
+    """Everything that runs in Python ends in a stored table here, so it runs with the batches of ``score_texts``."""
+    made = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "_row", "_step", "_text", "_codes", "_names", "_times", "_n_head", "_lex", "_inner")
     kept = [c for c in docs.columns if c.lower() not in made and c != text_col]
-    spark = docs.sparkSession
-    step = F.coalesce(F.floor(F.crc32(F.col(id_col).cast("string").cast("binary")) / 10) % STEPS, F.lit(0))
-    training = train_rows.select(F.col(text_col).alias("text"), step.alias("step"))
-    counts = stored(token_counts(training.select("text")))
+    spark, text = docs.sparkSession, F.col(f"`{text_col}`")
+    step = F.coalesce(F.floor(F.crc32(F.col(id_col).cast("string").cast("binary")) / 10) % STEPS, F.lit(0)).cast("int")
+    one = isinstance(train_rows, Column)
+    counts = stored(token_counts((docs.filter(train_rows) if one else train_rows).select(text.alias("text"))))
     n_train, n_types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     head, least = head_of(counts)
     mass = group_mass(counts, head)
     log_mass = np.log10(mass)
     rows = min(MOST_ROWS, max(LEAST_ROWS, 1 << (max(1, n_train) // TOKENS_A_ROW).bit_length()))
     # Plain lists and arrays: executors need no class of this package to read them.
-    vocab = spark.sparkContext.broadcast(([t for t, _ in head], np.array([n for _, n in head], dtype=np.int64)))
-    model = train(training, vocab, mass / mass.sum(), rows)
-    shared = spark.sparkContext.broadcast(({**model.state, "seen": None}, model.factors))
+    vocab = Vocabulary([t for t, _ in head], np.array([n for _, n in head], dtype=np.int64))
+    words, numbers = spark.sparkContext.broadcast(vocab.head), spark.sparkContext.broadcast((vocab.groups, vocab.hashes))
+    trains = F.when(train_rows, step) if one else F.lit(None).cast("int")
+    source = docs.select(*[F.col(f"`{c}`") for c in kept], text.alias("_text"), trains.alias("_step"), F.monotonically_increasing_id().alias("_row"))
+    # Stored, so that row numbers stay as they are.
+    encoded = encode(source, words, [*kept, "_row", "_step"])
+    training = encoded if one else encode(train_rows.select(text.alias("_text"), step.alias("_step")), words, ["_step"])
+    model = train(training.filter("_step is not null").select("_codes", "_step"), numbers, mass / mass.sum(), rows)
+    shared, logs_known = spark.sparkContext.broadcast(({**model.state, "seen": None}, model.factors)), np.log10(vocab.counts + ALPHA)
 
     def make():
-        v, m = Vocabulary(*vocab.value), Model(*shared.value)
-        known = np.log10(v.counts + ALPHA)
-
-        def run(texts):
-            from collections import Counter
+        m = Model(*shared.value)
 
-            n_tokens, n_head, lexical, inner, names, times = [], [], [], [], [], []
-            ids, groups, hashes, held = [], [], [], 0
-
-            def flush():
-                flat, g = np.concatenate(ids), np.concatenate(groups)
-                begins = np.cumsum([0, *[len(x) for x in ids[:-1]]])
-                first = np.zeros(held, dtype=bool)
-                first[begins] = True
-                feats, logs = feature_rows(g, np.concatenate(hashes), first, m.rows), np.empty(held)
-                for lo in range(0, held, BLOCK_TOKENS):
+        def run(column):
+            n_head, lexical, inner = [], [], []
+            for codes, g, feats, begins in _stretches(column, *numbers.value, m.rows):
+                logs = np.empty(len(g))
+                for lo in range(0, len(g), BLOCK_TOKENS):
                     part = slice(lo, lo + BLOCK_TOKENS)
                     logs[part] = m.log_probs(feats[part], g[part])
-                logs = logs / math.log(10)
                 # A group of one token has no share to multiply.
-                logs -= log_mass[g]
-                inner.extend(np.add.reduceat(logs, begins).tolist())
-                lex = np.where(flat >= 0, known[flat] if len(known) else 0.0, 0.0)
-                lexical.extend(np.add.reduceat(lex, begins).tolist())
-
-            for text in texts:
-                i, g, h, rare = v.read(tokens(text.as_py()))
-                n_tokens.append(len(i))
-                n_head.append(len(i) - len(rare))
-                tf = Counter(rare)
-                names.append([w.decode("utf-8", "surrogatepass") for w in tf])
-                times.append(list(tf.values()))
-                ids.append(i)
-                groups.append(g)
-                hashes.append(h)
-                held += len(i)
-                if held >= READ_TOKENS:
-                    flush()
-                    ids, groups, hashes, held = [], [], [], 0
-            if ids:
-                flush()
-            return n_tokens, n_head, lexical, inner, pa.array(names, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))
+                inner.append(np.add.reduceat(logs / math.log(10) - log_mass[g], begins))
+                there = codes >= 0
+                lexical.append(np.add.reduceat(np.where(there, logs_known[np.where(there, codes, 0)] if len(logs_known) else 0.0, 0.0), begins))
+                n_head.append(np.add.reduceat(there.astype(np.int64), begins))
+            n = column.value_lengths().cast(pa.int64())
+            return n, *[pa.array(np.concatenate(x)) for x in (n_head, lexical, inner)]
 
         return run
 
-    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("_n_head", T.LongType()), T.StructField("_lex", T.DoubleType()), T.StructField("_inner", T.DoubleType()), T.StructField("_names", T.ArrayType(T.StringType())), T.StructField("_times", T.ArrayType(T.LongType()))]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias("_text"), F.monotonically_increasing_id().alias("_row"))
-    # Stored, so that row numbers stay as they are.
-    scored = stored(annotate(source, ["_text"], make, fields, keep=[*kept, "_row"]))
-    rare = scored.select("_row", F.explode(F.arrays_zip("_names", "_times")).alias("x")).select("_row", F.col("x._names").alias("token"), F.col("x._times").alias("tf"))
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("_n_head", T.LongType()), T.StructField("_lex", T.DoubleType()), T.StructField("_inner", T.DoubleType())]
+    scored = stored(annotate(encoded, ["_codes"], make, fields, keep=[*kept, "_row"]))
+    rare = encoded.select("_row", F.explode(F.arrays_zip("_names", "_times")).alias("x")).select("_row", F.col("x._names").alias("token"), F.col("x._times").alias("tf"))
     known = rare.join(counts.filter((F.col("n") < least) | (F.octet_length("token") > LONGEST)), "token", "left")
     sums = known.groupBy("_row").agg(F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + ALPHA)).alias("_rare_lex"), F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("_rare_known"))
     out = scored.join(sums, "_row", "left")
@@ -452,7 +487,7 @@ def score_texts(docs: DataFrame, train_rows: DataFrame, id_col: str = "doc_id",
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's scores; documents of fold 0 of 10 are held out of training."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = score_texts(docs, docs.filter(fold("doc_id", 10) != 0))
+    scored = score_texts(docs, fold("doc_id", 10) != 0)
     return scored.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
