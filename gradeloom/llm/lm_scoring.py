@@ -46,6 +46,8 @@ LONGEST = 256
 HELD, HELD_BYTES = 1 << 20, 64 << 20
 #: Ends of tokens whose groups are held.
 MOST_ENDS = 1 << 16
+#: Hashes of tokens keep 21 bits, so that one and a group fit into 31: some 30 times as many as rows of weights.
+HASH_SHIFT = 11
 #: Tokens beside the frequent ones whose codes are held.
 MOST_CODES = 1 << 18
 #: Documents in a batch: what a worker and its executor hold of texts, tokens and scores at a time.
@@ -111,7 +113,7 @@ class Vocabulary:
         toks, ends = [t.encode("utf-8", "surrogatepass") for t in head], EndGroups()
         self.head, self.counts = head, counts
         self.groups = np.array([k if k < OWN_GROUP else _tail_group(t, ends) for k, t in enumerate(toks)], dtype=np.int64)
-        self.hashes = np.array([crc32(t) for t in toks], dtype=np.int64)
+        self.hashes = np.array([crc32(t) >> HASH_SHIFT for t in toks], dtype=np.int64)
 
 
 class Codes(dict):
@@ -125,14 +127,14 @@ class Codes(dict):
         self.ends, self.room = EndGroups(), MOST_CODES
 
     def __missing__(self, token: bytes) -> int:
-        code = -1 - (crc32(token) * CLASSES * GROUPS + _tail_group(token, self.ends))
+        code = -1 - ((crc32(token) >> HASH_SHIFT) * CLASSES * GROUPS + _tail_group(token, self.ends))
         if self.room:
             self[token] = code
             self.room -= 1
         return code
 
     def read(self, toks: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, toks), dtype=np.int64, count=len(toks))
+        return np.fromiter(map(self.__getitem__, toks), dtype=np.int32, count=len(toks))
 
 
 def decode(codes: np.ndarray, groups: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,8 +169,8 @@ def encode(texts: DataFrame, head, keep: list[str]) -> DataFrame:
 
         return run
 
-    long, words = T.ArrayType(T.LongType()), T.ArrayType(T.StringType())
-    made = annotate(texts, ["_text"], make, [T.StructField("_codes", long), T.StructField("_names", words), T.StructField("_times", long)], keep=keep)
+    fields = [T.StructField("_codes", T.ArrayType(T.IntegerType())), T.StructField("_names", T.ArrayType(T.StringType())), T.StructField("_times", T.ArrayType(T.LongType()))]
+    made = annotate(texts, ["_text"], make, fields, keep=keep)
     return stored(made, by=("_step",))
 
 
@@ -284,7 +286,7 @@ def _stretches(column: pa.ListArray, groups: np.ndarray, hashes: np.ndarray, row
 
     Every document has a token, its end.
     """
-    edges, codes = column.offsets.to_numpy().astype(np.int64), column.flatten().to_numpy()
+    edges, codes = column.offsets.to_numpy().astype(np.int64), column.flatten().to_numpy().astype(np.int64)
     edges = edges - edges[0]
     lo = 0
     while lo < len(edges) - 1:
@@ -340,7 +342,10 @@ def train(texts: DataFrame, numbers, share: np.ndarray, rows: int, steps: int =
     The sums of a step are a few thousand numbers; they reach the driver from a distributed aggregation.
     """
     spark = texts.sparkSession
-    state = weights_of(count_features(texts.select("_codes"), numbers, rows), share)
+    # The steps' folders have a file each from every task that wrote them: counted together again, so that there are no more
+    # tables of counts than texts had partitions.
+    together = texts.select("_codes").coalesce(max(1, texts.rdd.getNumPartitions() // STEPS))
+    state = weights_of(count_features(together, numbers, rows), share)
     factors = np.full((2, FEATURES, SIZES), 1.0 / FEATURES)
     shared = spark.sparkContext.broadcast(state)
     width = FEATURES * SIZES

@@ -85,7 +85,7 @@ def small():
     from zlib import crc32
 
     group = lambda t: head.index(t) if t in head else lm_scoring._tail_group(t, lm_scoring.EndGroups())
-    read = [([group(t) for t in doc], [crc32(t) for t in doc]) for doc in toks]
+    read = [([group(t) for t in doc], [crc32(t) >> lm_scoring.HASH_SHIFT for t in doc]) for doc in toks]
     share = np.bincount([g for gs, _ in read for g in gs], minlength=lm_scoring.CLASSES * lm_scoring.GROUPS) + 0.1
     share = share / share.sum()
     placed = [(brute_rows(g, h, rows), g) for g, h in read]
@@ -97,7 +97,7 @@ def test_scores_and_gradients_against_brute_force(small):
 
     rows, docs, vocab, share, placed = small
     codes = lm_scoring.Codes(vocab.head)
-    column = pa.array([codes.read(lm_scoring.tokens(t)).tolist() for _, t in docs], pa.list_(pa.int64()))
+    column = pa.array([codes.read(lm_scoring.tokens(t)).tolist() for _, t in docs], pa.list_(pa.int32()))
     blocks = list(lm_scoring._blocks(column.slice(0, 7), vocab.groups, vocab.hashes, rows, 50)) + list(lm_scoring._blocks(column.slice(7), vocab.groups, vocab.hashes, rows))
     feats, groups = np.concatenate([b[0] for b in blocks]), np.concatenate([b[1] for b in blocks])
     assert feats.tolist() == [f for fs, _ in placed for f in fs] and groups.tolist() == [g for _, gs in placed for g in gs]
