@@ -83,3 +83,20 @@ def test_batch_counts_by_hand(spark):
     got = S.batch_confusion(spark.createDataFrame(rows, SCHEMA), ["model"], LABELS)
     assert cells(got) == sorted(map(str, [("m", "A", "A", 2), ("m", "A", "__other__", 2)]))
     assert S.batch_confusion(spark.createDataFrame([], SCHEMA), ["model"], LABELS).collect() == []
+
+
+def test_items_are_settled_by_shares(spark, tmp_path):
+    """State and Python calls go by share, not by item; ids of other types and times beyond a double's digits count exactly."""
+    from pyspark.sql import functions as F
+
+    late = 253402300799000000 - 10  # the end of year 9999, where doubles are 32 apart
+    rows = [(k, late + 5, "m", "A", "AB"[k % 2]) for k in range(3000)]
+    again = [(k, late + (4 if k % 3 == 0 else 6), "m", "A", "AB"[k % 5 == 0]) for k in range(0, 3000, 2)] + [(9999, late, "m", "B", "A")] * 50
+    for kind, name in ((F.col("n"), "long"), (F.array("n"), "array"), (F.col("n").cast("decimal(20,2)"), "decimal")):
+        tables = [spark.createDataFrame(r, "n long, t long, model string, gold string, pred string").select(kind.alias("item_id"), F.timestamp_micros("t").alias("ts"), "model", "gold", "pred").coalesce(1) for r in (rows, again)]
+        for t in tables:
+            t.write.mode("append").parquet(f"{tmp_path}/{name}/in")
+        source = spark.readStream.schema(tables[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}/in")
+        got = S.run_to_end(S.stream_confusion(source, ["model"], LABELS, shares=8), f"{tmp_path}/{name}/out", f"{tmp_path}/{name}/checkpoint")
+        assert cells(got) == cells(S.batch_confusion(tables[0].union(tables[1]), ["model"], LABELS))
+        assert spark.read.format("statestore").load(f"{tmp_path}/{name}/checkpoint").count() <= 8
