@@ -60,7 +60,9 @@ def sweep_scan(spark, sf_dir):
     rows = preds(spark, sf_dir).withColumn("_tree", F.concat_ws("/", "variant", "model", "dataset", F.concat(F.lit("shot"), "shot"), F.lit("predictions")))
     path = scratch_folder(spark)
     sinks.write_files(rows.select("gold", "pred_raw", "_tree"), path, "json", "_tree")
-    return R.with_sweep_keys(R.read_predictions(spark, path)).groupBy("variant", "model", "dataset", "shot").agg(F.count(F.lit(1)).alias("n"))
+    # Rows are counted by file; the keys of a path are taken once a file.
+    files = R.read_predictions(spark, path).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    return R.with_sweep_keys(files).groupBy("variant", "model", "dataset", "shot").agg(F.sum("n").alias("n"))
 
 
 @query("""WITH s AS (SELECT source, CAST(substr(source, 4) AS BIGINT) AS k, sum(strlen(text) + 1) AS size FROM documents WHERE source IS NOT NULL GROUP BY ALL),

@@ -48,8 +48,12 @@ def with_family_keys(df: DataFrame, path: str = "path") -> DataFrame:
 
 def with_sweep_keys(df: DataFrame, path: str = "path") -> DataFrame:
     """Keys from ``variant/model/dataset/shot{n}/predictions.jsonl``."""
-    part = lambda n: F.regexp_extract(path, r"([^/]+)/([^/]+)/([^/]+)/shot(\d+)/[^/]+$", n)
-    return df.withColumns({"variant": part(1), "model": part(2), "dataset": part(3), "shot": F.try_to_number(part(4), F.lit("999999")).cast("int")})
+    # Split once: a pattern that may begin anywhere in a long path is tried from every character, for each row and key.
+    parts = F.split(path, "/")
+    at = lambda n: F.try_element_at(parts, F.lit(-n))
+    fits = (F.size(parts) >= 5) & (at(1) != "") & at(2).rlike(r"^shot[0-9]+\z") & (at(3) != "") & (at(4) != "") & (at(5) != "")
+    part = lambda x: F.when(F.col(path).isNotNull(), F.when(fits, x).otherwise(""))
+    return df.withColumns({"variant": part(at(5)), "model": part(at(4)), "dataset": part(at(3)), "shot": F.try_to_number(part(F.substr(at(2), F.lit(5))), F.lit("999999")).cast("int")})
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None, na: bool = False) -> DataFrame:

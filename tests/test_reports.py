@@ -209,3 +209,10 @@ def test_scanned_tree_keys(spark, tmp_path):
     sinks.write_files(df, f"{tmp_path}/t", "json", "tree")
     got = {(r.asr_model, r.text_llm, r.task, r.dataset, r.gold) for r in R.with_cascade_keys(R.read_predictions(spark, f"{tmp_path}/t")).collect()}
     assert got == {("whisper", "llama", "nli", "afri200", "X"), ("granite", "llama", "consistency", "medical", "Y")}
+
+
+def test_sweep_keys_are_split_not_searched(spark):
+    cases = {"r/v/m/d/shot3/p.jsonl": ("v", "m", "d", 3), "v/m/d/shot10/x": ("v", "m", "d", 10), "m/d/shot3/x": ("", "", "", None), "v//d/shot3/x": ("", "", "", None), "v/m/d/shotx/x": ("", "", "", None), "v/m/d/shot3/": ("", "", "", None), "v/m/d/shot3\n/x": ("", "", "", None), "": ("", "", "", None), None: (None, None, None, None)}
+    out = R.with_sweep_keys(spark.createDataFrame([(p,) for p in cases], "path string"))
+    assert {r.path: tuple(r)[1:] for r in out.collect()} == cases
+    assert "regexp_extract" not in out._jdf.queryExecution().optimizedPlan().toString()
