@@ -44,19 +44,22 @@ def write_files(df: DataFrame, path: str, kind: str, name: str | Column = "task"
             made = f"{safe}_{k}"
         taken.add(made.lower())
         files[value] = f"{made}.{ending}" if ending else made
-    numbered = spark.createDataFrame([(v, k) for k, v in enumerate(files)], "_name string, _file int")
+    found = {r["_name"]: r["n_rows"] for r in counts}
+    # Largest first, so that the longest tasks begin first.
+    numbers = sorted(files, key=lambda v: -found[v])
+    numbered = spark.createDataFrame([(v, k) for k, v in enumerate(numbers)], "_name string, _file int")
     # A file of lines has no column for its own name.
     placed = rows.join(F.broadcast(numbered), "_name").drop("_name", *([name] if kind == "text" and isinstance(name, str) else []))
-    # By number: one partition holds all of a file, and writes one part of it.
-    placed = placed.repartition(max(1, min(len(files), 1000)), "_file").sortWithinPartitions("_file", *(order or []))
+    # The partition of a file has its number and nothing else, so no two files meet in one task and none is sorted to part them.
+    placed = placed.repartitionById(max(1, len(files)), "_file").drop("_file")
+    placed = placed.sortWithinPartitions(*order) if order else placed
     made = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    writer = placed.write.option("maxRecordsPerFile", 0).partitionBy("_file")
+    writer = placed.write.option("maxRecordsPerFile", 0)
     for key, value in CSV.items() if kind == "csv" else ():
         writer = writer.option(key, value)
     writer.format(kind).save(f"{made}/parts")
-    _name_parts(spark, made, list(files.values()))
+    _name_parts(spark, made, [files[v] for v in numbers])
     _swap(spark, made, path)
-    found = {r["_name"]: r["n_rows"] for r in counts}
     return spark.createDataFrame([(v, f, found[v]) for v, f in files.items()], "name string, file string, n_rows long")
 
 
@@ -64,8 +67,11 @@ def _name_parts(spark: SparkSession, folder: str, names: list[str]) -> None:
     """Rename the one part of each file; a missing or second part is an error."""
     fs, root = file_system(spark, folder)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    # A part's name begins with part- and the number of the partition that wrote it.
+    made = [s.getPath() for s in fs.listStatus(path(f"{folder}/parts")) if not s.getPath().getName().startswith(("_", "."))]
+    numbers = [int(p.getName().split("-")[1]) for p in made]
     for k, name in enumerate(names):
-        parts = [s.getPath() for s in fs.listStatus(path(f"{folder}/parts/_file={k}")) if not s.getPath().getName().startswith(("_", "."))]
+        parts = [p for p, n in zip(made, numbers, strict=True) if n == k]
         if len(parts) != 1:
             raise OSError(f"{name} has {len(parts)} parts")
         target = path(f"{folder}/files/{name}")

@@ -211,6 +211,22 @@ def test_scanned_tree_keys(spark, tmp_path):
     assert got == {("whisper", "llama", "nli", "afri200", "X"), ("granite", "llama", "consistency", "medical", "Y")}
 
 
+def test_each_file_has_a_task_of_its_own(spark, tmp_path):
+    """No two files meet in one task: dealt by hash, several of twenty did, and were sorted to part them."""
+    import pathlib
+
+    df = spark.createDataFrame([(f"t{k}", n) for k in range(20) for n in range(k + 1)], "task string, n int")
+    made, seen = sinks._name_parts, []
+    sinks._name_parts = lambda s, folder, names: (seen.extend(p.name for p in pathlib.Path(folder, "parts").rglob("part-*")), made(s, folder, names))[1]
+    try:
+        files = sinks.write_files(df.repartition(4), f"{tmp_path}/out", "json")
+    finally:
+        sinks._name_parts = made
+    assert sorted(int(p.split("-")[1]) for p in seen) == list(range(20))
+    read = spark.read.json(f"{tmp_path}/out").groupBy(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("f"), "task").count()
+    assert {(r.f, r.task, r["count"]) for r in read.collect()} == {(f"t{k}.jsonl", f"t{k}", k + 1) for k in range(20)} == {(r.file, r.name, r.n_rows) for r in files.collect()}
+
+
 def test_sweep_keys_are_split_not_searched(spark):
     cases = {"r/v/m/d/shot3/p.jsonl": ("v", "m", "d", 3), "v/m/d/shot10/x": ("v", "m", "d", 10), "m/d/shot3/x": ("", "", "", None), "v//d/shot3/x": ("", "", "", None), "v/m/d/shotx/x": ("", "", "", None), "v/m/d/shot3/": ("", "", "", None), "v/m/d/shot3\n/x": ("", "", "", None), "": ("", "", "", None), None: (None, None, None, None)}
     out = R.with_sweep_keys(spark.createDataFrame([(p,) for p in cases], "path string"))
