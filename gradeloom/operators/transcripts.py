@@ -115,10 +115,21 @@ def word_alignment(reference: Column, heard: Column) -> Column:
     return steps(reference, heard)
 
 
+def _pair_kinds(df: DataFrame, keys: list[str], reference: str, heard: str, nli: bool = False) -> DataFrame:
+    """(keys, ``_k``, ``_n``): kinds of edits of each distinct pair of texts, aligned once, and the rows that have it.
+
+    ``nli`` also tells the rows apart whose pred is gold, as ``_nli``.
+    """
+    taken = [*keys, F.col(reference).alias("_x"), F.col(heard).alias("_y"), *([F.coalesce(F.col("gold") == F.col("pred"), F.lit(False)).alias("_nli")] if nli else [])]
+    rows = df.select(*taken)
+    pairs = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
+    return pairs.withColumn("_k", word_edit_kinds(F.col("_x"), F.col("_y"))).drop("_x", "_y")
+
+
 def error_kinds(df: DataFrame, keys: list[str], reference: str, heard: str) -> DataFrame:
     """Hits, substitutions, deletions, insertions, words of the references and the error rate, over all rows of each group."""
-    rows = df.withColumn("_k", word_edit_kinds(F.col(reference), F.col(heard)))
-    sums = rows.groupBy(*keys).agg(*[F.sum(f"_k.{n}").alias(n) for n in KINDS.names])
+    rows = _pair_kinds(df, keys, reference, heard)
+    sums = rows.groupBy(*keys).agg(*[F.sum(F.col(f"_k.{n}") * F.col("_n")).alias(n) for n in KINDS.names])
     words = F.col("hits") + F.col("substitutions") + F.col("deletions")
     return sums.withColumns({"words": words, "wer": F.when(words > 0, (F.col("substitutions") + F.col("deletions") + F.col("insertions")) / words)})
 
@@ -134,9 +145,9 @@ def asr_by_nli(df: DataFrame, keys: list[str], reference: str, heard: str, most_
     edits = kinds["substitutions"] + kinds["deletions"] + kinds["insertions"]
     words = kinds["hits"] + kinds["substitutions"] + kinds["deletions"]
     ok = F.when(words > 0, edits / words <= most_wer).otherwise(edits == 0)
-    rows = df.withColumn("_k", word_edit_kinds(F.col(reference), F.col(heard))).select(*keys, ok.alias("_asr"), F.coalesce(F.col("gold") == F.col("pred"), F.lit(False)).alias("_nli"))
+    rows = _pair_kinds(df, keys, reference, heard, nli=True).select(*keys, ok.alias("_asr"), "_nli", "_n")
     cells = [(a, b) for a in (True, False) for b in (True, False)]
-    counts = rows.groupBy(*keys).agg(*[F.count_if((F.col("_asr") == a) & (F.col("_nli") == b)).alias(f"_{a}_{b}") for a, b in cells])
+    counts = rows.groupBy(*keys).agg(*[F.coalesce(F.sum(F.when((F.col("_asr") == a) & (F.col("_nli") == b), F.col("_n"))), F.lit(0)).alias(f"_{a}_{b}") for a, b in cells])
     table = F.array(*[F.struct(F.lit(a).alias("asr_ok"), F.lit(b).alias("nli_ok"), F.col(f"_{a}_{b}").alias("n"), (F.col(f"_{a}_True") + F.col(f"_{a}_False")).alias("_all")) for a, b in cells])
     out = counts.select(*keys, F.explode(table).alias("c")).select(*keys, "c.*")
     return out.withColumn("share", F.when(F.col("_all") > 0, F.col("n") / F.col("_all"))).drop("_all")

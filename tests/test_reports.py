@@ -232,3 +232,15 @@ def test_sweep_keys_are_split_not_searched(spark):
     out = R.with_sweep_keys(spark.createDataFrame([(p,) for p in cases], "path string"))
     assert {r.path: tuple(r)[1:] for r in out.collect()} == cases
     assert "regexp_extract" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_equal_pairs_are_aligned_once(spark):
+    """A thousand rows of three pairs: three alignments, and the figures of all rows."""
+    texts = [("a b c", "a x c"), ("a b c", "a b c"), (None, "a")]
+    df = spark.createDataFrame([("m", *texts[k % 3], "A", "AB"[k % 2] if k % 5 else None) for k in range(1000)], "model string, said string, heard string, gold string, pred string")
+    pairs = W._pair_kinds(df, ["model"], "said", "heard").collect()
+    assert sorted(r["_n"] for r in pairs) == [333, 333, 334]
+    assert [tuple(r) for r in W.error_kinds(df, ["model"], "said", "heard").collect()] == [("m", 334 * 2 + 333 * 3, 334, 0, 333, 2001, 667 / 2001)]
+    right = lambda k: k % 5 and k % 2 == 0
+    want = {(a, b): sum((k % 3 == 1) == a and bool(right(k)) == b for k in range(1000)) for a in (True, False) for b in (True, False)}
+    assert {(r.asr_ok, r.nli_ok): r.n for r in W.asr_by_nli(df, ["model"], "said", "heard").collect()} == want
