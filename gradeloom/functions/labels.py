@@ -130,9 +130,11 @@ def resolve_prediction(raw: Column, pred: Column, task: str) -> Column:
 def strip_icl_prefix(c: Column) -> Column:
     """What stands between the first ``Target Hypothesis:`` and the next line ``Answer:``; the whole text if either is missing; null gives ''."""
     c = F.coalesce(c, F.lit(""))
-    rest = F.substr(c, F.instr(c, "Target Hypothesis:") + len("Target Hypothesis:"))
-    marked = c.contains("Target Hypothesis:") & rest.contains("\nAnswer:")
-    return strip(F.when(marked, F.substring_index(rest, "\nAnswer:", 1)).otherwise(c))
+    mark, end = "Target Hypothesis:", "\nAnswer:"
+    # Split once by a literal, which skips through a long prompt; what follows is looked at in one place, so it is made once.
+    rest = F.slice(F.split(c, mark, 2), 2, 1)
+    found = F.transform(rest, lambda r: F.when(r.contains(end), F.substring_index(r, end, 1)))
+    return strip(F.coalesce(F.try_element_at(found, F.lit(1)), c))
 
 
 def assistant_tail(c: Column) -> Column:

@@ -309,3 +309,12 @@ def test_icl_fan_out_query_brute(spark, tmp_path):
                 want.add((r["file_name"], variant, shot, hashlib.md5(prompt.encode()).hexdigest(), r["hypothesis"]))
     got = [tuple(r) for r in QUERIES["icl_fan_out"](spark, str(tmp_path)).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_targets_of_long_prompts(spark):
+    """The target behind a prompt of examples, found in one pass: no place is counted in characters from its start."""
+    cases = {"Target Hypothesis: a\nAnswer:": "a", "é" * 9 + "Target Hypothesis: b\nTarget Hypothesis: c\nAnswer: x\nAnswer:": "b\nTarget Hypothesis: c", "Target Hypothesis:": "Target Hypothesis:", "\nAnswer: Target Hypothesis: d": "\nAnswer: Target Hypothesis: d".strip(), "Target Hypothesis:\nAnswer:": "", "": "", None: ""}
+    out = spark.createDataFrame([(p,) for p in cases], "p string").select("p", L.strip_icl_prefix(F.col("p")).alias("t"))
+    assert {r.p: r.t for r in out.collect()} == cases
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "instr(" not in plan and plan.count("Target Hypothesis:") == 1
