@@ -32,10 +32,11 @@ def task_files(spark, sf_dir):
         path = scratch_folder(spark)
         files = sinks.write_files(docs, path, kind, order=["doc_id"])
         schema = "doc_id long, text string, task string"
-        rows = {"csv": lambda p: spark.read.schema(schema).options(**sinks.CSV_READ).csv(p), "json": lambda p: spark.read.schema(schema).json(p), "parquet": lambda p: spark.read.schema(schema).parquet(p)}[kind](path)
-        read = rows.select("text", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"))
-        found = read.join(files.withColumnRenamed("name", "task"), "file")
-        one = found.groupBy("task").agg(F.count_distinct("file").cast("int").alias("n_files"), F.count(F.lit(1)).alias("n"), _hash_sum("text").alias("texts")).withColumn("kind", F.lit(kind))
+        rows = sinks.read_csv(spark, path, schema) if kind == "csv" else spark.read.schema(schema).format(kind).load(path).select("text", "_metadata.file_path")
+        # Texts are hashed where they are read; only a file's figures are joined with its task.
+        read = rows.groupBy(F.element_at(F.split("file_path", "/"), -1).alias("file")).agg(F.count(F.lit(1)).alias("n"), _hash_sum("text").alias("texts"))
+        found = read.join(files.select("file", F.col("name").alias("task")), "file")
+        one = found.groupBy("task").agg(F.count("file").cast("int").alias("n_files"), F.sum("n").alias("n"), F.sum("texts").alias("texts")).withColumn("kind", F.lit(kind))
         out = one if out is None else out.unionByName(one)
     return out
 
