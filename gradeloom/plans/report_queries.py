@@ -12,7 +12,7 @@ from ..operators import partitions
 from ..operators import transcripts as W
 from ..sources import records as R
 from ..sources import sinks
-from ..sources.scratch import scratch_folder
+from ..sources.scratch import discard, drop_folder, scratch_folder, stored
 from .queries import BOUNDARY, parsed, preds, query, rounded, table
 
 HASH = "CAST(sum(CAST(concat('0x', substr(md5({0}), 1, 8)) AS BIGINT)) AS BIGINT)"
@@ -37,6 +37,10 @@ def task_files(spark, sf_dir):
         read = rows.groupBy(F.element_at(F.split("file_path", "/"), -1).alias("file")).agg(F.count(F.lit(1)).alias("n"), _hash_sum("text").alias("texts"))
         found = read.join(files.select("file", F.col("name").alias("task")), "file")
         one = found.groupBy("task").agg(F.count("file").cast("int").alias("n_files"), F.sum("n").alias("n"), F.sum("texts").alias("texts")).withColumn("kind", F.lit(kind))
+        # Only the figures are kept, so that one kind's files are there at a time.
+        one = stored(one)
+        drop_folder(spark, path)
+        discard(*[rows] if kind == "csv" else [])
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -200,7 +200,7 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
     As quoted texts may hold line ends, that reader takes each file whole in one task.  Here lines are read in splits: a
     line begins a row where the quotes before it in its file are even in number, since those in a text are doubled.  Rows
-    that cross the ends of splits are put together from their pieces.
+    that cross the ends of splits are put together from their pieces.  The rows are stored; ``discard`` deletes them.
     """
     # Lines of a task come split by split, in the order of the file.
     lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("_split"))
@@ -264,7 +264,9 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     whole = pieces.groupBy("file_path", "_begun").agg(F.bool_or("_first").alias("_first"), F.array_join(texts, "\n").alias("_row"))
     both = rows.filter("_piece is null").select("file_path", "_first", "_row").unionByName(whole.select("file_path", "_first", "_row"))
     # The first row of a file has the names.
-    return both.filter("not _first and _row <> ''").select(F.from_csv("_row", schema, CSV_READ).alias("_row"), "file_path").select("_row.*", "file_path")
+    out = both.filter("not _first and _row <> ''").select(F.from_csv("_row", schema, CSV_READ).alias("_row"), "file_path").select("_row.*", "file_path")
+    out._stored_at = rows._stored_at
+    return out
 
 
 def list_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
