@@ -149,12 +149,16 @@ def _join_parts(spark: SparkSession, folder: str, names: list[str], head: bytes,
 
     def copy(one):
         part, to, at = one
+        # A part goes when it has been copied, so that rows don't lie there twice; a task that runs again finds it gone.
+        if not os.path.exists(part):
+            return
         # Opened without cutting it, as other tasks write their places at the same time.
         with open(part, "rb") as source, os.fdopen(os.open(to, os.O_WRONLY | os.O_CREAT, 0o666), "wb") as sink:
             if at == len(head):
                 sink.write(head)
             sink.seek(at)
             shutil.copyfileobj(source, sink, 1 << 20)
+        os.remove(part)
 
     spark.sparkContext.parallelize(copies, n_tasks).foreach(copy)
     for name, length in lengths.items():

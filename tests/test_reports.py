@@ -256,9 +256,10 @@ def test_a_large_file_is_written_by_several_tasks(spark, tmp_path, monkeypatch,
     df, order = (df.select("text", "task"), None) if kind == "text" else (df.withColumnRenamed("k", 'k,"x'), ['k,"x'])
     sinks.write_files(df, f"{tmp_path}/whole", kind, order=order)
     monkeypatch.setattr(sinks, "SHARE", 1000)
-    made, seen = sinks._join_parts, []
-    monkeypatch.setattr(sinks, "_join_parts", lambda s, folder, *rest: (seen.extend((p.parent.name, p.stat().st_size) for p in pathlib.Path(folder, "parts").rglob("part-*")), made(s, folder, *rest)))
+    made, seen, left = sinks._join_parts, [], []
+    monkeypatch.setattr(sinks, "_join_parts", lambda s, folder, *rest: (seen.extend((p.parent.name, p.stat().st_size) for p in pathlib.Path(folder, "parts").rglob("part-*")), made(s, folder, *rest), left.extend(pathlib.Path(folder, "parts").rglob("part-*"))))
     files = sinks.write_files(df, f"{tmp_path}/shares", kind, order=order)
+    assert not left  # no second copy
     there = {p.relative_to(f"{tmp_path}/whole") for p in (tmp_path / "whole").rglob("*") if p.is_file() and not p.name.startswith(".")}
     assert there == {p.relative_to(f"{tmp_path}/shares") for p in (tmp_path / "shares").rglob("*") if p.is_file() and not p.name.startswith(".")} and len(there) == 5
     assert {r.name: r.n_rows for r in files.collect()} == {r[0]: r[1] for r in df.groupBy("task").count().collect()}
